@@ -68,3 +68,21 @@ def slices(batch: pa.RecordBatch, text_index: int = 1, limit: int = BATCH_CHARS)
         held += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``df`` with the 1-based place of each row in the order of ``order``, nulls last.
+
+    Rows are range-partitioned and written, numbered within their partition, and
+    moved on by the partitions' row counts, so no task sees all rows.
+    """
+    from functools import reduce
+
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    part = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    part = materialize(part, "numbered")
+    sums = part.groupBy("__part").count()
+    before = sums.select("__part", F.coalesce(F.expr("sum(count) over (order by __part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("__before"))
+    listing = reduce(lambda a, b: f"{a}, {b}", (f"`{c}` nulls last" for c in order))
+    own = F.expr(f"row_number() over (partition by __part order by {listing})")
+    return part.withColumn(name, own).join(before, "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")

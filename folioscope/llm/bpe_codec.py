@@ -134,7 +134,7 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "size", "payload"))))
-        coder = tokenizing.WordCoder(lambda keys: tokenizing.code_keys(tokenizer, keys), limit=1 << 62)
+        coder = tokenizing.WordCoder(tokenizing.encoder(tokenizer).code_keys, limit=1 << 62)
         out = []
         width = np.dtype(tokenizing.id_type(tokenizer)).itemsize
         for chunk, n, size, payload in rows:

@@ -13,11 +13,8 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-import public_tokenizers
-
 from folioscope.llm import tokenizing
 from folioscope.llm.common import id_text, slices
 
@@ -75,20 +72,18 @@ class Counter:
     def __init__(self, path: str):
         self.path = path
         self.of_byte, self.merges = merge_table(path)
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
         self.words = tokenizing.WordCoder(self.count_keys)
-        self.pieces = tokenizing.WordCoder(lambda x: [self.count_piece(y) for y in x], tokenizing.MEMO_WORDS // 2)
+        self.pieces = tokenizing.WordCoder(lambda x: [self.count_piece(y) for y in x])
 
     def count_piece(self, piece: str) -> int:
         of_byte = self.of_byte
         return merged_length([of_byte[b] for b in piece.encode()], self.merges)
 
     def count_keys(self, keys: list[str]) -> list[int | None]:
-        words = [tokenizing.key_word(x) for x in keys]
-        split = [self.parts(x) if x else [] for x in words]
-        self.pieces.learn(split)
+        split = [tokenizing.key_pieces(x) for x in keys]
+        self.pieces.learn([x for x in split if x])
         look = self.pieces.memo.__getitem__
-        return [None if w is None else sum(map(look, x)) for w, x in zip(words, split)]
+        return [None if x is None else sum(map(look, x)) for x in split]
 
     def count_whole(self, text: str) -> int:
         """Cut at the special string (one token each) and by the library's own pre-tokenizer."""

@@ -56,13 +56,15 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        dtype = tokenizing.id_type(tokenizer)
+        end = np.array([end_id], dtype).tobytes()
         part, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
             for x in slices(batch):
-                ids = [np.append(y, end_id) for y in tokenizing.encode_texts(tokenizer, x.column(1).to_pylist())]
-                sizes = np.array([len(y) for y in ids], np.int64)
+                ids = [y + end for y in tokenizing.encode_bytes(tokenizer, x.column(1).to_pylist())]
+                sizes = np.array([len(y) for y in ids], np.int64) // len(end)
                 ends = np.cumsum(sizes)
-                values = np.concatenate(ids).astype(np.int32)
+                values = np.frombuffer(b"".join(ids), dtype).astype(np.int32)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(values))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
@@ -86,7 +88,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` from the files; ``start`` counts the ids of all documents before.
 
     The sums over the parts read two integer columns; the parts are as many as
-    the writing job's tasks, so their running total is a small window.
+    the writing job's tasks, so their running total is a small window and small enough to broadcast.
     """
     files = spark.read.orc(path)
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
@@ -94,7 +96,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "part",
         F.coalesce(F.expr("sum(tokens) over (order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("before"),
     )
-    return files.join(before, "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return files.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

@@ -12,16 +12,19 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import regex
 
 #: The tokenizer file and the special string it knows (fixed values of the file).
 BYTE_BPE = "byte_bpe_50k.json"
 END_OF_TEXT = "<|endoftext|>"
 #: Code points whose class all Unicode versions in use agree on.
-_AGREED = re.compile(r"[\x00-՗‐-⁯₠-⿿぀-龥가-힣]*")
+_AGREED = re.compile("[\\x00-\\u0557\\u2010-\\u206f\\u20a0-\\u2fff\\u3040-\\u9fa5\\uac00-\\ud7a3]*")
+_PIECES = regex.compile(public_tokenizers.PATTERN).findall
 #: Distinct words in each generation of a worker's table.
 MEMO_WORDS = 350_000
 
@@ -60,12 +63,18 @@ def split_words(text: str) -> list[str] | None:
     return keys
 
 
-def key_word(key: str) -> str | None:
-    """The word of a key; None where white space follows the space, since the pattern
-    may then join it with white space in front."""
+def key_pieces(key: str) -> list[str] | None:
+    """The pieces of a key's word by the byte-level pattern; None where white space follows the
+    space, since the pattern may then join it with white space in front."""
     if key[:1] == " ":
-        return key[1:]
-    return " " + key if key and not key[0].isspace() else None
+        return _PIECES(key[1:])
+    if key.isalpha():
+        return [" " + key]
+    if not key or key[0].isspace():
+        return None
+    if key[-1] in ".,;:!?" and key[:-1].isalpha():
+        return [" " + key[:-1], key[-1]]
+    return _PIECES(" " + key)
 
 
 class WordCoder:
@@ -94,44 +103,55 @@ class WordCoder:
         self.memo.update(zip(new, self.code_keys(new)))
 
 
-def library_ids(path: str, texts: list[str]) -> list[list[int]]:
-    return [x.ids for x in library(path).encode_batch_fast(texts, add_special_tokens=False)]
-
-
 def id_type(path: str) -> type:
     return np.uint16 if library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
 
 
-def code_keys(path: str, keys: list[str]) -> list[bytes | None]:
-    """Each key's ids as bytes of ``id_type``, None where the whole text has to be encoded."""
-    kind, out = id_type(path), []
-    for i in range(0, len(keys), 20_000):
-        words = [key_word(x) for x in keys[i : i + 20_000]]
-        ids = library_ids(path, [x or "" for x in words])
-        out += [None if w is None else np.array(x, kind).tobytes() for w, x in zip(words, ids)]
-    return out
+class Encoder:
+    """Ids of one worker's words and pieces, as bytes of ``id_type``, by the library's model."""
 
+    def __init__(self, path: str):
+        self.tokenize = library(path).model.tokenize
+        self.code = "H" if id_type(path) is np.uint16 else "I"
+        self.alphabet = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
+        self.pieces = WordCoder(lambda x: [self.code_piece(y) for y in x])
+        self.words = WordCoder(self.code_keys)
 
-@functools.lru_cache(maxsize=4)
-def id_coder(path: str) -> WordCoder:
-    return WordCoder(functools.partial(code_keys, path))
+    def code_piece(self, piece: str) -> bytes:
+        symbols = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
+
+    def code_keys(self, keys: list[str]) -> list[bytes | None]:
+        """Each key's ids; None where the whole text has to be encoded."""
+        out: list[bytes | None] = []
+        for i in range(0, len(keys), 100_000):
+            split = [key_pieces(x) for x in keys[i : i + 100_000]]
+            self.pieces.learn([x for x in split if x])
+            look = self.pieces.memo.__getitem__
+            out += [None if x is None else b"".join(map(look, x)) for x in split]
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode_whole(path: str, text: str) -> np.ndarray:
     return np.array(library(path).encode(text, add_special_tokens=False).ids, id_type(path))
 
 
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text, as the library's ``encode`` gives them."""
-    coder, kind = id_coder(path), id_type(path)
+def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of each text, as the library's ``encode`` gives them, as bytes of ``id_type``."""
+    words = encoder(path).words
     split = [split_words(x) for x in texts]
-    coder.learn([x for x in split if x is not None])
-    look, out = coder.memo.__getitem__, []
+    words.learn([x for x in split if x is not None])
+    look, out = words.memo.__getitem__, []
     for text, keys in zip(texts, split):
         try:
-            out.append(np.frombuffer(b"".join(map(look, keys)), kind))
+            out.append(b"".join(map(look, keys)))
         except TypeError:  # no keys, or a key that can't stand alone
-            out.append(encode_whole(path, text))
+            out.append(encode_whole(path, text).tobytes())
     return out
 
 

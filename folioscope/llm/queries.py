@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe_codec, mixing, mpeg_audio, reply_trees, secret_scan, token_counts, token_files
+from folioscope.llm import bpe_codec, mixing, mpeg_audio, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op6_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -41,12 +49,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_vector_topk": op6_vector_topk,
     "op7_token_counts": op7_token_counts,
     "op8_reply_trees": op8_reply_trees,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES = {"op8_reply_trees": reply_trees.ORACLE}
+ORACLES = {"op6_vector_topk": vector_topk.ORACLE, "op8_reply_trees": reply_trees.ORACLE}

@@ -4,10 +4,13 @@ Two sets with ``|r| <= |s|`` that link differ in at most
 ``h = floor(|r| * (den - num) / num)`` elements. So when hashed elements fall into
 more than ``h`` segments, at least one segment holds the same subset in both. Size
 bands fix the number of segments; a set is indexed under the subsets of its own
-band and of each lower band that it may reach. A few spare segments pay for
-leaving out empty ones, which would otherwise be keys that many sets share; a set
-with more empty segments than spare ones takes the one-deletion neighbourhoods of its
-segments instead. What shares a key is compared exactly, on the words.
+band and of each lower band that it may reach. A segment indexed with its
+one-deletion neighbourhood counts twice, as it finds pairs that differ there by one.
+Each band gets the cheapest split in plain and deleting segments, with a few spare
+ones that pay for leaving out empty segments, which many sets would share; the rare
+set with more empty segments takes keys of single elements besides. Elements that
+very many sets hold stay out of the segments. What shares a
+key is compared exactly, on the words.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from folioscope.llm.components import components
 
 #: Production parameters: words in a shingle and the least Jaccard similarity as a fraction.
 WORDS, NUM, DEN = 3, 90, 100
-#: Ratio of a size band's ends, and the cost of a key that many sets share, in keys.
-BAND_RATIO, SHARED_COST = 1.5, 10_000
+#: Ratios of a size band's ends to choose from, the least mean size of a segment, and the cost of a key of one element.
+BAND_RATIOS, LEAST_SUBSET, PREFIX_COST = (1.12, 1.25, 1.5), 3.0, 50.0
+#: Documents in the sample that finds frequent elements, how many of them hold one at least, and most frequent elements.
+SAMPLE, LEAST_HOLDERS, FREQUENT = 4_000, 8, 100_000
 #: Bounds of what one comparing task holds: sets, and elements of them.
 BLOCK_SETS, BLOCK_ELEMENTS = 2_000, 2_000_000
 #: Index keys that a task combines before it passes them on.
@@ -40,14 +45,24 @@ COMBINE = 1_000_000
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes ``low`` to ``high`` - 1 fall in ``segments`` segments, of which ``spare`` may be left out."""
+    """Sizes ``low`` to ``high`` - 1 fall in ``segments`` segments.
+
+    The first ``deleting`` ones are indexed with their one-deletion neighbourhoods and
+    count twice. ``spare`` is what all count beyond the largest difference of two links.
+    """
 
     number: int
     low: int
     high: int
     segments: int
+    deleting: int
     spare: int
 
+    def keys(self, n: int) -> float:
+        """Expected keys of a set of ``n`` elements, and what those of a set with too many empty segments cost."""
+        empty = (self.segments + self.deleting) * (1 - 1 / self.segments) ** n if self.segments > 1 else 0.0
+        return self.segments + self.deleting * n / self.segments + poisson_tail(empty, self.spare + 1) * PREFIX_COST * n
+
 
 def poisson_tail(mean: float, k: int) -> float:
     """P(X >= k)."""
@@ -60,33 +75,43 @@ def poisson_tail(mean: float, k: int) -> float:
 
 @functools.lru_cache(maxsize=8)
 def bands(num: int, den: int) -> tuple[Band, ...]:
-    """Size bands with the number of spare segments that costs the fewest keys.
+    """Size bands of the ratio, and in each the allocation, that cost the fewest keys.
 
-    Each set pays for its segments, for deletions if it has more empty segments than
-    spare ones, and for a key that many sets share if it has two more.
+    Segments hold ``LEAST_SUBSET`` elements or more on average, as smaller subsets are
+    equal too often; where that makes them too few, some get deletions.
     """
-    out: list[Band] = []
-    low = -(-num // (den - num)) if den > num else 1 << 40
-    while low < 1 << 40:
-        high = max(low + 1, int(low * BAND_RATIO))
-        need = (high - 1) * (den - num) // num + 1
-        best = None
-        for spare in range(0, 3 + need):
-            m = need + spare
-            empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
-            cost = m + poisson_tail(empty, spare + 1) * (low + m) + poisson_tail(empty, spare + 2) * SHARED_COST
-            if best is None or cost < best[0]:
-                best = (cost, spare)
-            elif spare > best[1] + 20:
-                break
-        out.append(Band(len(out), low, high, need + best[1], best[1]))
-        low = high
-    return tuple(out)
-
-
-def bands_of(n: int, num: int, den: int) -> list[Band]:
+
+    def build(ratio: float) -> tuple[Band, ...]:
+        out: list[Band] = []
+        low = -(-num // (den - num)) if den > num else 1 << 40
+        while low < 1 << 40:
+            high = max(low + 1, int(low * ratio))
+            differ = (high - 1) * (den - num) // num
+            best = None
+            for spare in range(3 + differ):
+                need = differ + 1 + spare
+                m = min(need, max(1, int(low / LEAST_SUBSET)))
+                if need > 2 * m:
+                    m = -(-need // 2)
+                band = Band(len(out), low, high, m, need - m, spare)
+                cost = band.keys(low) + band.keys(high)
+                if best is None or cost < best[0]:
+                    best = (cost, band)
+                elif spare > best[1].spare + 20:
+                    break
+            out.append(best[1])
+            low = high
+        return tuple(out)
+
+    def cost(found: tuple[Band, ...]) -> float:
+        return sum(sum(b.keys(n) for b in reached(found, n, num, den)) / n for n in range(100, 5000, 137))
+
+    return min(map(build, BAND_RATIOS), key=cost)
+
+
+def reached(found: tuple[Band, ...], n: int, num: int, den: int) -> list[Band]:
     """The band of a set of ``n`` elements and the lower ones that hold sets it may link with."""
-    return [b for b in bands(num, den) if b.low <= n and (b.high - 1) * den >= num * n]
+    return [b for b in found if b.low <= n and (b.high - 1) * den >= num * n]
 
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -143,30 +168,61 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def index_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All index keys of a set of sorted hashes."""
+def index_keys(shingles: np.ndarray, num: int, den: int, frequent: np.ndarray) -> np.ndarray:
+    """All index keys of a set of sorted hashes. Sorted ``frequent`` elements fall in no segment:
+    without them two sets differ by no more than with them."""
     n, out = len(shingles), []
-    for band in bands_of(n, num, den):
-        segment = ((shingles >> np.uint64(32)) * np.uint64(band.segments)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        element = mixed(shingles)
-        sums = np.add.reduceat(element, starts)
-        place = segment[starts] * np.uint64(64) + np.uint64(band.number)
-        out.append(mixed(mixed(place) ^ sums))
-        empty = band.segments - len(starts)
-        if empty > band.spare:
-            # every segment stands for itself and for itself less one element
-            counts = np.diff(np.append(starts, n))
-            of = np.repeat(np.arange(len(starts)), counts)
-            whole = counts[of] > 1
-            deletion = mixed(place + MIX[2])
-            out.append(mixed(deletion ^ sums))
-            out.append(mixed(deletion[of][whole] ^ (sums[of] - element)[whole]))
-            if empty > band.spare + 1:
-                out.append(mixed(np.array([band.number + (1 << 40)], np.uint64)))
+    if not n:
+        return shingles
+    at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
+    often = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
+    rare = shingles[~often]
+    element = mixed(rare)
+    for band in reached(bands(num, den), n, num, den):
+        segment = ((rare >> np.uint64(32)) * np.uint64(band.segments)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[len(rare) > 0], segment[1:] != segment[:-1]]))
+        own = segment[starts]
+        deleting = int(np.searchsorted(own, band.deleting))
+        if len(starts):
+            sums = np.add.reduceat(element, starts)
+            place = mixed(own * np.uint64(1024) + np.uint64(band.number))
+            out.append(mixed(place ^ sums))
+            if deleting:
+                counts = np.diff(np.append(starts, len(rare)))[:deleting]
+                of = np.repeat(np.arange(deleting), counts)
+                some = counts[of] > 1  # what is left of a single element is empty, as many segments are
+                out.append(mixed(place[of][some] ^ (sums[of] - element[: len(of)])[some]))
+        if band.segments - len(own) + band.deleting - deleting > band.spare:
+            # so many empty segments that the rest may all differ: two such sets share one of their first
+            # elements, frequent ones last, as they share more elements than come after those
+            first = n - -(-num * n // den) + 1
+            listed = np.concatenate([element, mixed(shingles[often])])[:first]
+            out.append(mixed(mixed(listed) + np.uint64(band.number)))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def frequent_elements(docs: DataFrame, words: int, rows: int) -> np.ndarray:
+    """Sorted hashes of shingles that many of a sample hold, at most ``FREQUENT`` of them.
+
+    The sample is ``SAMPLE`` documents by hash of the text. Which elements it finds
+    changes the number of candidates, never a result.
+    """
+    share = min(1_000_000, SAMPLE * 1_000_000 // max(rows, 1))
+    chosen = docs.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share)
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hasher(words)
+        for batch in batches:
+            for x in slices(batch):
+                for text in x.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(own(text_words(text)).view(np.int64))], ["element"])
+
+    least = max(LEAST_HOLDERS, SAMPLE // 500)
+    counts = chosen.select("text").distinct().mapInArrow(elements, "element long").groupBy("element").count().where(F.col("count") >= least)
+    found = [r.element for r in counts.orderBy(F.desc("count"), "element").limit(FREQUENT).select("element").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``(id, n, d1, d2)``: size and 128-bit digest of each document's shingle set."""
 
@@ -183,7 +239,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("id", "text").mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
 
 
-def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """``(key, node, hub)``: the sets' index keys, combined within tasks.
 
     A key stands once for each task part, with its smallest set (``hub`` null); the
@@ -221,7 +277,7 @@ def index_rows(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = D
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(d1)
-                    k = index_keys(s, num, den)
+                    k = index_keys(s, num, den, frequent)
                     if len(k):
                         held.append((k, d1))
                         count += len(k)
@@ -293,17 +349,17 @@ def compare(sets: list[set], sides: list[int], cross: bool, num: int, den: int)
             by_count[len(h)].append(h)
         elif len(h) > 8:
             wide.append(h)
+    del holders
     for size, lists in by_count.items():
-        at = np.array(lists)
-        for i in range(size):
-            for j in range(i + 1, size):
-                common += np.bincount(at[:, i] * n + at[:, j], minlength=n * n).reshape(n, n).astype(np.float32)
+        held = np.array(lists)
+        codes = np.concatenate([held[:, i] * n + held[:, j] for i in range(size) for j in range(i + 1, size)])
+        code, count = np.unique(codes, return_counts=True)
+        common.reshape(-1)[code] += count
     for begin in range(0, len(wide), 2048):
         part = wide[begin : begin + 2048]
         x = np.zeros((n, len(part)), np.float32)
-        for c, h in enumerate(part):
-            x[h, c] = 1
-        common += np.triu(x @ x.T, 1)
+        x[np.concatenate(part), np.repeat(np.arange(len(part)), [len(h) for h in part])] = 1
+        common += x @ x.T
     sizes = np.array([len(s) for s in sets], np.int64)
     for i in range(n):
         o = np.rint(common[i, i + 1 :]).astype(np.int64)
@@ -349,14 +405,30 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def join_classes(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(node, label)`` of all sets that link with another one."""
     classes = sets.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    near = components(candidate_links(index_rows(docs, words, num, den)))
+    frequent = frequent_elements(docs, words, sets.count())
+    near = components(candidate_links(index_rows(docs, words, num, den, frequent)))
     members = materialize(classes.join(near, "node").withColumnRenamed("label", "group"), "candidates")
-    parts = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("parts"))
-    placed = members.join(parts, "group").withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    texts = wanted_texts(docs, placed.select("id", "node", "group", "parts", "side"))
-    # a group of one part is compared in one task, a larger one part by part, each pair of parts once
-    pairs = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pairs = pairs.select("group", F.least("side", "other").alias("part_a"), F.greatest("side", "other").alias("part_b"), "node", "side", "text")
+    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
+    small = (F.col("sets") <= BLOCK_SETS) & (F.col("elements") <= BLOCK_ELEMENTS)
+    # sets of a larger group meet those of the same or the next size class, part by part
+    step = math.log(den / num) if den > num else 1.0
+    classed = members.join(sizes, "group").withColumn("size_class", F.when(small, 0).otherwise(F.floor(F.log("n") / step)).cast("int")).drop("sets", "elements")
+    classes_of = classed.groupBy("group", "size_class").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("parts"))
+    classes_of = materialize(classes_of, "size-classes")
+    upper = classes_of.select("group", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("upper_parts"))
+    lower = classes_of.select("group", (F.col("size_class") + 1).alias("size_class"), F.col("parts").alias("lower_parts"))
+    placed = classed.join(classes_of, ["group", "size_class"]).join(upper, ["group", "size_class"], "left").join(lower, ["group", "size_class"], "left")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    texts = wanted_texts(docs, placed.select("id", "node", "group", "size_class", part.alias("part"), "parts", "upper_parts", "lower_parts"))
+    own, at = F.struct("size_class", "part"), F.col("size_class")
+
+    def others(size_class, count):
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(size_class.cast("int").alias("size_class"), i.alias("part")))
+
+    none = F.array().cast("array<struct<size_class:int,part:int>>")
+    partners = F.concat(others(at, F.col("parts")), F.coalesce(others(at + 1, F.col("upper_parts")), none), F.coalesce(others(at - 1, F.col("lower_parts")), none))
+    pairs = texts.select("group", "node", "text", own.alias("side"), F.explode(partners).alias("other"))
+    pairs = pairs.select("group", F.least("side", "other").alias("part_a"), F.greatest("side", "other").alias("part_b"), "node", F.when(F.col("side") < F.col("other"), 0).otherwise(1).alias("side"), "text")
     return components(exact_links(pairs, words, num, den))
 
 

@@ -26,7 +26,7 @@ END_OF_TEXT = "<|endoftext|>"
 _AGREED = re.compile("[\\x00-\\u0557\\u2010-\\u206f\\u20a0-\\u2fff\\u3040-\\u9fa5\\uac00-\\ud7a3]*")
 _PIECES = regex.compile(public_tokenizers.PATTERN).findall
 #: Distinct words in each generation of a worker's table.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 500_000
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe_codec, mixing, mpeg_audio, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_topk
+from folioscope.llm import bpe_codec, mixing, mpeg_audio, ngram_join, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_mix_sources": op4_mix_sources,

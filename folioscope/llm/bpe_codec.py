@@ -14,6 +14,7 @@ a row for each word occurrence would be many times the text.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm import tokenizing
-from folioscope.llm.common import id_text, materialize, slices
+from folioscope.llm.common import id_text, slices
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
@@ -162,7 +163,8 @@ def encode(
 
     Null and empty texts give no ids; null ids and repeated rows are kept row by
     row; an empty table gives no rows; a very long text makes a chunk of its own
-    size at most; other columns are ignored. The number of word buckets follows the
+    size at most; other columns are ignored. The words and word numbers stay in a
+    table ``bpe_words_...`` of the session's warehouse. The number of word buckets follows the
     number of input partitions, so a bucket's size stays as it is when input grows.
     """
     spark = docs.sparkSession
@@ -170,7 +172,11 @@ def encode(
     source = id_text(docs, id_col, text_col)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
     kind = source.schema["id"].dataType
-    table = materialize(split_documents(source, buckets, chunk_bytes), "bpe-words", compression="uncompressed")
+    # bucketed by chunk, so that documents meet their chunk's ids without another shuffle
+    name = f"bpe_words_{uuid.uuid4().hex}"
+    split = split_documents(source, buckets, chunk_bytes)
+    split.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").format("parquet").saveAsTable(name)
+    table = spark.table(name)
     coded = encode_words(table.where("bucket is not null"), tokenizer)
     documents = table.where("bucket is null").select("chunk", "id", "n", "size", "payload")
 

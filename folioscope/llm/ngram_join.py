@@ -213,7 +213,7 @@ def frequent_elements(docs: DataFrame, words: int, rows: int) -> np.ndarray:
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = hasher(words)
         for batch in batches:
-            for x in slices(batch):
+            for x in slices(batch, 0):
                 for text in x.column(0).to_pylist():
                     yield pa.RecordBatch.from_arrays([pa.array(own(text_words(text)).view(np.int64))], ["element"])
 
@@ -387,18 +387,24 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return groups.select("group", "part_a", "part_b", "node", "side", "text").groupBy("group", "part_a", "part_b").applyInArrow(verify, "a long, b long")
 
 
-def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` joined with ``wanted`` on ``id``, null ids too.
+def by_bitmap(docs: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFrame:
+    """``docs`` with a column ``__near``: false only where the id isn't among the ids ``wanted``.
 
     A bitmap of 2**23 hashed ids (256 rows of 4 KB, however many ids) goes to all
-    tasks first, so most texts that nobody wants stay where they are.
+    tasks, so that most rows that nobody wants can stay where they are.
     """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << 23))
+    place = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`").cast("string")), F.lit(1 << 23))
     bits = wanted.select(place("id").alias("p")).distinct()
-    bits = bits.groupBy(F.shiftright("p", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(0x7FFF)).alias("bits"))
-    placed = docs.withColumn("p", place("id")).withColumn("page", F.shiftright("p", 15))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(F.col("p").bitwiseAND(0x7FFF), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = placed.join(F.broadcast(bits), "page").where(F.getbit(byte, F.col("p").bitwiseAND(7).cast("int")) == 1).select("id", "text")
+    bits = bits.groupBy(F.shiftright("p", 15).alias("__page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(0x7FFF)).alias("__bits"))
+    placed = docs.withColumn("__p", place(id_col)).withColumn("__page", F.shiftright("__p", 15))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(F.col("__p").bitwiseAND(0x7FFF), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.col("__p").bitwiseAND(7).cast("int")) == 1
+    return placed.join(F.broadcast(bits), "__page", "left").withColumn("__near", F.coalesce(bit, F.lit(False))).drop("__p", "__page", "__bits")
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted`` on ``id``, null ids too."""
+    near = by_bitmap(docs, wanted).where("__near").select("id", "text")
     return near.join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
@@ -458,9 +464,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
 def keep_one(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps its smallest id; rows without words all stay.
 
-    Of repeated rows with that id one stays.
+    Rows that share id and component count as one document, the first by text stays;
+    an id goes with all its rows. Rows with a null id all stay.
+    Only rows that may have to go are moved.
     """
-    ids = near_duplicates(docs, words, num, den, id_col, text_col)
-    gone = ids.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
-    return kept
+    ids = materialize(near_duplicates(docs, words, num, den, id_col, text_col), "near-duplicates")
+    gone = ids.where("doc_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("id")).distinct()
+    again = ids.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id"), "component_id").count().where("count > 1 and id = component_id").select("id").distinct()
+    marks = materialize(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, "id", "left_anti").withColumn("gone", F.lit(False))), "marks")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = by_bitmap(docs, marks, id_col)
+    far = marked.where("not __near").select(*columns)
+    near = marked.where("__near").join(marks.withColumnRenamed("id", "__id"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    place = F.expr(f"row_number() over (partition by `{id_col}` order by `{text_col}`)")
+    once = near.where("gone = false").withColumn("__place", place).where("__place = 1")
+    return far.unionByName(near.where("gone is null").select(*columns)).unionByName(once.select(*columns))

@@ -77,7 +77,7 @@ def position(lat: Column, lon: Column) -> Column:
 
 def clamped_int(c: Column, default: int, least: int = 1, most: int = 1000) -> Column:
     n = c.cast("string").try_cast("int")
-    return F.coalesce(F.least(F.greatest(n, F.lit(least)), F.lit(most)), F.lit(default))
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(least)), F.lit(most))).otherwise(default)
 
 
 def file_size(c: Column) -> Column:

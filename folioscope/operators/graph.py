@@ -77,7 +77,7 @@ PAPER_FIELDS = {
 
 
 def paper_triples(papers: DataFrame) -> DataFrame:
-    return triples(papers, paper_uri(), PAPER_FIELDS, "publications").distinct()
+    return triples(papers, paper_uri(), {c: t for c, t in PAPER_FIELDS.items() if c in papers.columns}, "publications").distinct()
 
 
 def collaboration_links(authorship: DataFrame) -> DataFrame:

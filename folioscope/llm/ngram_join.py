@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -297,10 +296,20 @@ def candidate_links(index: DataFrame) -> DataFrame:
     return index.select(F.coalesce("hub", least).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
-def shingle_set(words: list[bytes], size: int) -> set[tuple]:
-    if len(words) < size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(size))))
+def shingle_numbers(texts: list[np.ndarray], size: int, base: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers; just equal shingles get equal numbers.
+
+    A text is its words' numbers, from 1 to ``base`` - 1. With fewer than ``size`` words
+    it is one shingle, filled up with 0.
+    """
+    filled = [t if len(t) >= size else np.concatenate([t, np.zeros(size - len(t), t.dtype)]) for t in texts]
+    counts = [len(t) - size + 1 for t in filled]
+    code = np.concatenate([t[:n] for t, n in zip(filled, counts)]).astype(np.int64)
+    for i in range(1, size):
+        code *= base
+        code += np.concatenate([t[i : i + n] for t, n in zip(filled, counts)])
+        code = np.unique(code, return_inverse=True)[1].reshape(-1)
+    return [np.unique(x) for x in np.split(code.astype(np.int32), np.cumsum(counts)[:-1])]
 
 
 def linked(a: int, b: int, common: int, num: int, den: int) -> bool:
@@ -325,8 +334,8 @@ class Forest:
         return i != j
 
 
-def compare(sets: list[set], sides: list[int], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Exact links among the sets (``cross``: just between the two sides), less those within what is connected already."""
+def compare(sets: list[np.ndarray], sides: list[int], cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Exact links among sets of sorted numbers (``cross``: just between the two sides), less those within what is connected already."""
     n, forest, out = len(sets), Forest(len(sets)), []
     if n <= 40:
         for i in range(n):
@@ -334,31 +343,28 @@ def compare(sets: list[set], sides: list[int], cross: bool, num: int, den: int)
                 a, b = len(sets[i]), len(sets[j])
                 if (cross and sides[i] == sides[j]) or den * min(a, b) < num * max(a, b) or forest.root(i) == forest.root(j):
                     continue
-                if linked(a, b, len(sets[i] & sets[j]), num, den) and forest.join(i, j):
+                if linked(a, b, len(np.intersect1d(sets[i], sets[j], assume_unique=True)), num, den) and forest.join(i, j):
                     out.append((i, j))
         return out
-    holders: dict[tuple, list[int]] = defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            holders[x].append(i)
+    element = np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    holder = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])[order]
+    held = np.bincount(element)
+    ends = np.cumsum(held)
+    del element, order
     common = np.zeros((n, n), np.float32)
-    by_count: dict[int, list[list[int]]] = defaultdict(list)
-    wide: list[list[int]] = []
-    for h in holders.values():
-        if 1 < len(h) <= 8:
-            by_count[len(h)].append(h)
-        elif len(h) > 8:
-            wide.append(h)
-    del holders
-    for size, lists in by_count.items():
-        held = np.array(lists)
-        codes = np.concatenate([held[:, i] * n + held[:, j] for i in range(size) for j in range(i + 1, size)])
-        code, count = np.unique(codes, return_counts=True)
-        common.reshape(-1)[code] += count
-    for begin in range(0, len(wide), 2048):
+    for size in range(2, 9):  # pairs of an element's holders, where they are few
+        of = holder[(ends[held == size] - size)[:, None] + np.arange(size)].astype(np.int64)
+        for i in range(size):
+            for j in range(i + 1, size):
+                code, count = np.unique(of[:, i] * n + of[:, j], return_counts=True)
+                common.reshape(-1)[code] += count
+    wide = np.flatnonzero(held > 8)
+    for begin in range(0, len(wide), 2048):  # else as a product of matrices
         part = wide[begin : begin + 2048]
         x = np.zeros((n, len(part)), np.float32)
-        x[np.concatenate(part), np.repeat(np.arange(len(part)), [len(h) for h in part])] = 1
+        for k, (end, count) in enumerate(zip(ends[part].tolist(), held[part].tolist())):
+            x[holder[end - count : end], k] = 1
         common += x @ x.T
     sizes = np.array([len(s) for s in sets], np.int64)
     for i in range(n):
@@ -374,14 +380,15 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(a, b)``: verified links that connect what links within each group of (group, part_a, part_b)."""
 
     def verify(table: pa.Table) -> pa.Table:
-        own, chosen = hasher(words), {}
-        for node, side, text in zip(*(table.column(c).to_pylist() for c in ("node", "side", "text"))):
-            split = text_words(text)
+        own, chosen, numbers = hasher(words), {}, {}
+        for node, side, text in zip(table.column("node").to_pylist(), table.column("side").to_pylist(), table.column("text")):
+            split = text_words(text.as_py())
             if node not in chosen and digest(own(split))[0] == node:
-                chosen[node] = (side, shingle_set(split, words))
+                chosen[node] = (side, np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in split), np.int32, len(split)))
         nodes = sorted(chosen)
         cross = table.column("part_a")[0].as_py() != table.column("part_b")[0].as_py()
-        found = compare([chosen[x][1] for x in nodes], [chosen[x][0] for x in nodes], cross, num, den)
+        sets = shingle_numbers([chosen[x][1] for x in nodes], words, len(numbers) + 1) if nodes else []
+        found = compare(sets, [chosen[x][0] for x in nodes], cross, num, den)
         return pa.table([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     return groups.select("group", "part_a", "part_b", "node", "side", "text").groupBy("group", "part_a", "part_b").applyInArrow(verify, "a long, b long")

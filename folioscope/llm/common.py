@@ -55,6 +55,11 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def as_row(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs clashes with those of a step; ``row.*`` gives them back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def slices(batch: pa.RecordBatch, text_index: int = 1, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that each part holds about ``limit`` bytes of text or one row."""
     import pyarrow.compute as pc

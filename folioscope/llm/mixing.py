@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, numbered
+from folioscope.llm.common import as_row, materialize, numbered
 
 #: Production parameters: weights that repeat over the sources in code-point order, share of all words, most copies.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -199,6 +199,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed rows of ``docs``, all columns, each repeated as often as drawn."""
     plan = plan_copies(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (word_count(F.col(f"`{text_col}`")) == F.col("__size"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(plan, same).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    of = lambda c: F.col(f"row.`{c}`")
+    same = of(id_col).eqNullSafe(F.col("__id")) & of(source_col).cast("string").eqNullSafe(F.col("__source")) & (word_count(of(text_col)) == F.col("__size"))
+    drawn = as_row(docs).join(plan, same)
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_text, materialize, slices
+from folioscope.llm.common import as_row, id_text, materialize, slices
 from folioscope.llm.components import components
 
 #: Production parameters: words in a shingle and the least Jaccard similarity as a fraction.
@@ -394,7 +394,7 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return groups.select("group", "part_a", "part_b", "node", "side", "text").groupBy("group", "part_a", "part_b").applyInArrow(verify, "a long, b long")
 
 
-def by_bitmap(docs: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFrame:
+def by_bitmap(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``docs`` with a column ``__near``: false only where the id isn't among the ids ``wanted``.
 
     A bitmap of 2**23 hashed ids (256 rows of 4 KB, however many ids) goes to all
@@ -403,7 +403,7 @@ def by_bitmap(docs: DataFrame, wanted: DataFrame, id_col: str = "id") -> DataFra
     place = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`").cast("string")), F.lit(1 << 23))
     bits = wanted.select(place("id").alias("p")).distinct()
     bits = bits.groupBy(F.shiftright("p", 15).alias("__page")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(0x7FFF)).alias("__bits"))
-    placed = docs.withColumn("__p", place(id_col)).withColumn("__page", F.shiftright("__p", 15))
+    placed = docs.withColumn("__p", place("id")).withColumn("__page", F.shiftright("__p", 15))
     byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(F.col("__p").bitwiseAND(0x7FFF), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.getbit(byte, F.col("__p").bitwiseAND(7).cast("int")) == 1
     return placed.join(F.broadcast(bits), "__page", "left").withColumn("__near", F.coalesce(bit, F.lit(False))).drop("__p", "__page", "__bits")
@@ -479,10 +479,9 @@ def keep_one(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc
     gone = ids.where("doc_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("id")).distinct()
     again = ids.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id"), "component_id").count().where("count > 1 and id = component_id").select("id").distinct()
     marks = materialize(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, "id", "left_anti").withColumn("gone", F.lit(False))), "marks")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = by_bitmap(docs, marks, id_col)
-    far = marked.where("not __near").select(*columns)
-    near = marked.where("__near").join(marks.withColumnRenamed("id", "__id"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
-    place = F.expr(f"row_number() over (partition by `{id_col}` order by `{text_col}`)")
+    marked = by_bitmap(as_row(docs).withColumn("id", F.col(f"row.`{id_col}`")), marks)
+    far = marked.where("not __near")
+    near = marked.where("__near").join(marks.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left")
+    place = F.expr(f"row_number() over (partition by id order by row.`{text_col}`)")
     once = near.where("gone = false").withColumn("__place", place).where("__place = 1")
-    return far.unionByName(near.where("gone is null").select(*columns)).unionByName(once.select(*columns))
+    return far.select("row.*").unionByName(near.where("gone is null").select("row.*")).unionByName(once.select("row.*"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import as_row
+
 #: Base kinds in their order, with pattern and the least length of a match (assign: of its second group).
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
@@ -86,34 +88,32 @@ def is_random(candidate: Column) -> Column:
     return F.when(hopeful, entropy_peak(candidate) >= bits).otherwise(F.lit(False))
 
 
-def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "all_spans") -> DataFrame:
-    """``docs`` with the base spans and with all spans, both by start and kind.
+def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(row, base, spans)``: each row of ``docs`` as a struct, its base spans and all its spans, both by start and kind.
 
-    Null text has none; the columns of ``docs`` stay, but for those named like the
-    two results. No row moves: one pass without a shuffle.
+    Null text has none. No row moves: one pass without a shuffle.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     clean = F.when(F.rlike(t, F.lit(f"[{OPEN}{CLOSE}]")), F.translate(t, OPEN + CLOSE, OTHER + OTHER)).otherwise(t)
-    names = [f"`{c}`" for c in docs.columns if c not in (base, spans)]
-    step = docs.select(*names, clean.alias("__clean"))
+    step = as_row(docs).select("row", clean.alias("clean"))
     # the entropy's candidates are looked for only in words that hold a digit in a long run
     step = step.select(
-        *names,
-        marked(F.col("__clean"), ASSIGN).alias("__assign"),
-        marked(F.col("__clean"), f"{ACCESS}").alias("__access"),
-        marked(F.col("__clean"), f"[0-9a-f]{{{HEX_LEAST},}}").alias("__hex"),
-        marked(F.col("__clean"), f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}").alias("__entropy"),
+        "row",
+        marked(F.col("clean"), ASSIGN).alias("assign"),
+        marked(F.col("clean"), f"{ACCESS}").alias("access"),
+        marked(F.col("clean"), f"[0-9a-f]{{{HEX_LEAST},}}").alias("hex"),
+        marked(F.col("clean"), f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}").alias("entropy"),
     )
     step = step.select(
-        *names,
-        spans_of(F.col("__assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST).alias("__assign"),
-        spans_of(F.col("__access"), 1, lambda m: F.length(m) >= ACCESS_LEAST).alias("__access"),
-        spans_of(F.col("__hex"), 2, lambda m: F.length(m) >= HEX_LEAST).alias("__hex"),
-        spans_of(F.col("__entropy"), 3, is_random).alias("__entropy"),
+        "row",
+        spans_of(F.col("assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST).alias("assign"),
+        spans_of(F.col("access"), 1, lambda m: F.length(m) >= ACCESS_LEAST).alias("access"),
+        spans_of(F.col("hex"), 2, lambda m: F.length(m) >= HEX_LEAST).alias("hex"),
+        spans_of(F.col("entropy"), 3, is_random).alias("entropy"),
     )
-    step = step.select(*names, F.array_sort(F.concat("__assign", "__access", "__hex")).alias(base), "__entropy")
-    fresh = F.filter("__entropy", lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (e["stop"] <= b["stop"])))
-    return step.select(*names, base, F.array_sort(F.concat(base, fresh)).alias(spans))
+    step = step.select("row", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "entropy")
+    fresh = F.filter("entropy", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["stop"] <= b["stop"])))
+    return step.select("row", "base", F.array_sort(F.concat("base", fresh)).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -129,20 +129,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     are scanned whole, whatever their length.
     """
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return with_spans(picked).select(
-        "doc_id",
+        "row.doc_id",
         *(count(k).alias(f"n_{k}") for k in KINDS[:3]),
-        F.sha2(listed("base_spans").cast("binary"), 256).alias("base_sha256"),
-        listed("all_spans").alias("spans"),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span, overlapping ones as one, replaced by ``mark``; all rows and columns stay."""
-    columns = docs.columns
-    spanned = with_spans(docs, text_col, "__base", "__spans")
-    text = F.col(f"`{text_col}`")
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span, overlapping ones as one, replaced by ``mark``; all rows and columns stay.
+
+    ``length_col`` names a column that takes the new number of characters of changed texts.
+    """
+    text = F.col(f"row.`{text_col}`")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state: Column, s: Column) -> Column:
@@ -151,6 +152,13 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
         part = F.concat(F.substr(text, state["at"] + 1, begins - state["at"]), F.lit(mark))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(apart, F.concat(state["parts"], F.array(part))).otherwise(state["parts"]).alias("parts"))
 
-    cut = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
-    shown = F.when(F.size("__spans") > 0, cut).otherwise(text)
-    return spanned.select(*(shown.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns))
+    cut = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+    shown = with_spans(docs, text_col).select("row", "spans", F.when(F.size("spans") > 0, cut).otherwise(text).alias("shown"))
+
+    def column(name: str) -> Column:
+        own = F.col(f"row.`{name}`")
+        if name == length_col:
+            own = F.when(F.size("spans") > 0, F.length("shown").cast(docs.schema[name].dataType)).otherwise(own)
+        return (F.col("shown") if name == text_col else own).alias(name)
+
+    return shown.select(*map(column, docs.columns))

@@ -7,7 +7,6 @@ returns a DataFrame. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import bpe_codec, mixing, ngram_join, secret_scan, toxicity
 from folioscope.llm.common import materialize
@@ -29,9 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
-    out = secret_scan.redact(docs.withColumn("__before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("__before"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__before")
+    return secret_scan.redact(docs, length_col="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

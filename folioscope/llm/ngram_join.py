@@ -7,8 +7,9 @@ bands fix the number of segments; a set is indexed under the subsets of its own
 band and of each lower band that it may reach. A segment indexed with its
 one-deletion neighbourhood counts twice, as it finds pairs that differ there by one.
 Each band gets the cheapest split in plain and deleting segments, with a few spare
-ones that pay for leaving out empty segments, which many sets would share; the rare
-set with more empty segments takes keys of single elements besides. Elements that
+ones that pay for leaving out empty subsets, which many sets would share: an empty
+segment counts for nothing, a deleting one with a single element once. The rare set
+that loses more than the spare ones takes keys of single elements besides. Elements that
 very many sets hold stay out of the segments. What shares a
 key is compared exactly, on the words.
 """
@@ -58,9 +59,10 @@ class Band:
     spare: int
 
     def keys(self, n: int) -> float:
-        """Expected keys of a set of ``n`` elements, and what those of a set with too many empty segments cost."""
-        empty = (self.segments + self.deleting) * (1 - 1 / self.segments) ** n if self.segments > 1 else 0.0
-        return self.segments + self.deleting * n / self.segments + poisson_tail(empty, self.spare + 1) * PREFIX_COST * n
+        """Expected keys of a set of ``n`` elements, and what those of a set with too many lost segments cost."""
+        out = 1 - 1 / self.segments
+        lost = (self.segments + self.deleting) * out**n + self.deleting * n / self.segments * out ** (n - 1)
+        return self.segments + self.deleting * n / self.segments + poisson_tail(lost, self.spare + 1) * PREFIX_COST * n
 
 
 def poisson_tail(mean: float, k: int) -> float:
@@ -182,6 +184,7 @@ def index_keys(shingles: np.ndarray, num: int, den: int, frequent: np.ndarray) -
         starts = np.flatnonzero(np.concatenate([[len(rare) > 0], segment[1:] != segment[:-1]]))
         own = segment[starts]
         deleting = int(np.searchsorted(own, band.deleting))
+        lost = band.segments - len(own) + band.deleting - deleting
         if len(starts):
             sums = np.add.reduceat(element, starts)
             place = mixed(own * np.uint64(1024) + np.uint64(band.number))
@@ -190,9 +193,10 @@ def index_keys(shingles: np.ndarray, num: int, den: int, frequent: np.ndarray) -
                 counts = np.diff(np.append(starts, len(rare)))[:deleting]
                 of = np.repeat(np.arange(deleting), counts)
                 some = counts[of] > 1  # what is left of a single element is empty, as many segments are
+                lost += int((counts == 1).sum())
                 out.append(mixed(place[of][some] ^ (sums[of] - element[: len(of)])[some]))
-        if band.segments - len(own) + band.deleting - deleting > band.spare:
-            # so many empty segments that the rest may all differ: two such sets share one of their first
+        if lost > band.spare:
+            # so many empty or single that the rest may all differ: two such sets share one of their first
             # elements, frequent ones last, as they share more elements than come after those
             first = n - -(-num * n // den) + 1
             listed = np.concatenate([element, mixed(shingles[often])])[:first]

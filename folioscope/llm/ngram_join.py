@@ -38,7 +38,7 @@ BAND_RATIOS, LEAST_SUBSET, PREFIX_COST = (1.12, 1.25, 1.5), 3.0, 50.0
 #: Documents in the sample that finds frequent elements, how many of them hold one at least, and most frequent elements.
 SAMPLE, LEAST_HOLDERS, FREQUENT = 4_000, 8, 100_000
 #: Bounds of what one comparing task holds: sets, and elements of them.
-BLOCK_SETS, BLOCK_ELEMENTS = 2_000, 2_000_000
+BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 1_000_000
 #: Index keys that a task combines before it passes them on.
 COMBINE = 1_000_000
 
@@ -389,6 +389,7 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
             split = text_words(text.as_py())
             if node not in chosen and digest(own(split))[0] == node:
                 chosen[node] = (side, np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in split), np.int32, len(split)))
+        own.memo.clear()
         nodes = sorted(chosen)
         cross = table.column("part_a")[0].as_py() != table.column("part_b")[0].as_py()
         sets = shingle_numbers([chosen[x][1] for x in nodes], words, len(numbers) + 1) if nodes else []

@@ -75,7 +75,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, lev
     w, first, gaps = np.zeros(n_features), 1.0, np.zeros(levels - 1)
     parameters = np.concatenate([w, [first], gaps])
     m, v = np.zeros_like(parameters), np.zeros_like(parameters)
-    over = grades[:, None] > np.arange(levels)[None, :]
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 0.5 * (1 + np.tanh(z / 2))
@@ -97,7 +96,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, lev
         g = np.concatenate([np.bincount(col, dz.sum(1)[doc], n_features) + penalty * w / 10, [gt.sum()], [gt[k + 1 :].sum() * math.exp(parameters[n_features + 1 + k]) for k in range(levels - 1)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         parameters = parameters - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    assert over.shape == (n, levels)
     return parameters[:n_features], parameters[n_features] + np.concatenate([[0], np.cumsum(np.exp(parameters[n_features + 1 :]))])
 
 
@@ -120,7 +118,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -
         return Model({}, (10.0, 11.0))
     number = {f: i for i, f in enumerate(chosen)}
     kept = features.select("grade", F.array_intersect("features", F.array(*map(F.lit, chosen))).alias("features"))
-    sets = [(r.grade, [number[f] for f in r.features]) for r in kept.orderBy("grade", "features").collect()]
+    sets = sorted((r.grade, sorted(number[f] for f in r.features)) for r in kept.collect())
     middle = float(np.median([len(f) for g, f in sets if g]))
     grades = np.array([g + (g > 0 and len(f) > middle) for g, f in sets], np.int64)
     w, t = fit_ordinal([np.array(f, np.int64) for _, f in sets], grades, len(chosen), 2)

@@ -100,8 +100,9 @@ def test_rounding_keeps_expectations():
         done, held = x.pair_off([(i, 10, 0.3) for i in range(10)], seed)
         total = sum(w * u for _, w, u in done) + (held[1] * held[2] if held else 0)
         assert total == pytest.approx(30)
-        ups.update(i for i, _, u in done if u == 1.0)
-    assert all(60 < ups[i] < 180 for i in range(10))
+        for i, _, u in [*done, *([held] if held else [])]:
+            ups[i] += u
+    assert all(85 < ups[i] < 155 for i in range(10))
 
 
 def test_word_count(spark):

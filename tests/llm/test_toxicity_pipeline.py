@@ -26,7 +26,7 @@ def test_ordinal_fit_orders_grades():
 
 
 def test_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     even, odd = (labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k) for k in (0, 1))
     scored = t.score(docs, t.fit(t.labelled_documents(docs, even)))

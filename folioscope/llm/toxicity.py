@@ -1,8 +1,9 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 Grades are ordered: ``P(grade > k) = sigmoid(w.x - t_k)`` with one weight vector
-for all thresholds ``t_k``. A text's features are its distinct words and word
-beginnings; only those that toxic labelled documents hold far more often enter
+for all thresholds ``t_k``. A text's features are its distinct words, word
+beginnings, and beginnings that several of its words share, as one word may begin
+like an inflected stem by chance; only those that toxic labelled documents hold far more often enter
 the model. The score is the expected grade, the sum of ``P(grade > k)``.
 """
 
@@ -38,13 +39,29 @@ def feature_keys(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in names]
 
 
+def shared_keys(word: str) -> list[int]:
+    """Hashes of a word's beginnings as features that need a second word with the same one."""
+    return [xxhash.xxh3_64_intdigest(f"+{n}{word[:n]}") - (1 << 63) for n in PREFIXES if len(word) > n]
+
+
+def text_keys(words: set[str]) -> set[int]:
+    """All features of a text's distinct lower-case words."""
+    found, once = set(), set()
+    for w in words:
+        found.update(feature_keys(w))
+        shared = shared_keys(w)
+        found.update(once.intersection(shared))
+        once.update(shared)
+    return found
+
+
 def text_features(docs: DataFrame) -> DataFrame:
     """``docs`` of (id, text, grade) as (id, grade, features), the distinct features of each text."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in slices(batch):
-                lists = [sorted({k for w in set(_WORD.findall(t.lower())) for k in feature_keys(w)}) for t in x.column(1).to_pylist()]
+                lists = [sorted(text_keys(set(_WORD.findall(t.lower())))) for t in x.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(lists, pa.list_(pa.int64()))], ["id", "grade", "features"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -130,21 +147,26 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit = model, limit
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The features of the model that a word brings alone, and with another one."""
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) >= self.limit:
                 self.memo.clear()
-            found = self.memo[word] = tuple(k for k in feature_keys(word) if k in self.model.weights)
+            found = self.memo[word] = tuple(tuple(k for k in keys if k in self.model.weights) for keys in (feature_keys(word), shared_keys(word)))
         return found
 
     def score(self, text: str) -> float:
-        keys = set()
+        found, once = set(), set()
         for word in set(_WORD.findall(text.lower())):
-            keys.update(self.word(word))
-        return self.model.expected(math.fsum(self.model.weights[k] for k in keys))
+            own, shared = self.word(word)
+            found.update(own)
+            if shared:
+                found.update(once.intersection(shared))
+                once.update(shared)
+        return self.model.expected(math.fsum(self.model.weights[k] for k in found))
 
 
 @functools.lru_cache(maxsize=2)

@@ -199,6 +199,14 @@ URI = "CASE WHEN coalesce(doi, '') <> '' THEN 'https://example.org/kg/doi/' || d
 MELT = " UNION ".join(f"SELECT {URI} AS s, '{graph.iri(p)}' AS p, CAST({c} AS VARCHAR) AS o, 'literal' AS o_kind, '{graph.iri(t)}' AS o_datatype, 'publications' AS g FROM papers WHERE CAST({c} AS VARCHAR) <> ''" for c, (p, t) in graph.PAPER_FIELDS.items())
 register("triples_melt", on("papers", graph.paper_triples), f"SELECT * FROM ({MELT})", "papers")
 register("coauthor_edges", on("net_authors", lambda n: graph.collaboration_links(n).select("s", "p", "o")), f"SELECT DISTINCT 'https://example.org/kg/author/' || a.author AS s, '{graph.iri('foaf:knows')}' AS p, 'https://example.org/kg/author/' || b.author AS o FROM net_authors a JOIN net_authors b ON a.paper = b.paper AND a.author <> b.author", "net_authors")
+#: The SQL of the network queries reads one paper in ten, and they follow it; these read all papers.
+WHOLE_NETWORK = {
+    "coauthor_pairs": network.collaboration_pairs, "degree_centrality": network.degree_centrality, "core_researchers": network.core_researchers,
+    "collaboration_matrix": lambda n: network.collaboration_matrix(n, 40), "research_groups": lambda n: network.research_groups(n, 40),
+    "coauthor_edges": lambda n: graph.collaboration_links(n).select("s", "p", "o"),
+}
+for name, whole in WHOLE_NETWORK.items():
+    register(f"{name}_all", on("net_authors_all", whole))
 register("citation_edges", on("citations", lambda c: graph.citation_links(c).select("s", "p", "o")), "".join(f"{' UNION ' if i else ''}SELECT 'https://example.org/kg/paper/' || {s} AS s, '{graph.iri(p)}' AS p, 'https://example.org/kg/paper/' || {o} AS o FROM citations" for i, (s, p, o) in enumerate((("src", "cito:cites", "dst"), ("dst", "cito:isCitedBy", "src")))), "citations")
 register("shacl_max1", on("papers", lambda p: graph.too_many_values(graph.paper_triples(p), {"dcterms:title": 1, "dcterms:issued": 2})), f"SELECT s, p, count(*) AS n FROM ({MELT}) WHERE p IN ('{graph.iri('dcterms:title')}', '{graph.iri('dcterms:issued')}') GROUP BY 1, 2 HAVING count(*) > CASE WHEN p = '{graph.iri('dcterms:title')}' THEN 1 ELSE 2 END", "papers")
 register("n_quads", on("papers", lambda p: graph.n_quads(graph.paper_triples(p))))

@@ -41,3 +41,23 @@ def test_network_of_all_papers(spark, lines):
     assert rows("research_groups") == [(10, 10), (20, 10), (30, 10), (40, 40), (50, 40), (70, 40)]
     end = lambda iri: int(iri.rsplit("/", 1)[1])
     assert sorted((end(s), end(o)) for s, _, o in rows("coauthor_edges")) == [(a, b) for a, b, _ in both]
+
+
+def test_merged_authors_of_all_papers(spark, lines):
+    seen, known = defaultdict(lambda: 99), {}
+    for paper, author, place in LINES:
+        who = (paper, author + paper % 2)
+        seen[who] = min(seen[who], place)
+    for paper in {p for p, _ in seen}:
+        people = sorted((-(1 + (s % 2 == 0)), at, f"supplier {s}", s) for (p, s), at in seen.items() if p == paper)
+        for i, (n, _, _, s) in enumerate(people, 1):
+            known[paper, i] = (f"Supplier {s}", str(s) if s % 2 == 0 else None, f"Org {s}", -n)
+    found = catalog.QUERIES["merge_authors_all"](spark, lines).collect()
+    assert {(r.paper, r.place): (r.name, r.orcid, r.affiliation, r.n_sources) for r in found} == known and len(found) == len(known)
+
+
+def test_fuzzy_scores_of_all_papers(spark):
+    rows = [(1, "Big Data", "data big"), (2, "abc", "abd"), (3, "abc", "abd"), (50, "Heart of stone", "a heart"), (51, "x", ""), (52, None, "x"), (53, "x", None), (53, "x", None), (None, "x y", "y z")]
+    normal = lambda t: (t or "").lower()
+    found = catalog.fuzzy_scores(spark.createDataFrame(rows, "id long, title string, abstractText string")).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(((i, round(text.token_set_score(normal(a), normal(b)), 4)) for i, a, b in rows), key=str)

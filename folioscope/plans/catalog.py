@@ -278,6 +278,8 @@ register("section_rows", lambda spark, d: fulltext.child(jats(spark, d), "sectio
 register("tag_frequencies", lambda spark, d: fulltext.tag_frequencies(jats(spark, d)))
 register("rate_window_1s", on("api_log", lambda e: state.rate_windows(e, 2, 1)), "SELECT date_trunc('second', ts) AS start, count(*) AS requests, count(*) >= 1.6 AS warned, count(*) > 2 AS exceeded FROM api_log GROUP BY 1", "api_log")
 register("cache_hit_rate", on("api_log", lambda e: rounded(state.hit_rates(state.cache_hits(e, "user_id", 86400), "event_type"), "hit_rate")), """SELECT event_type, count(*) AS reads, count(*) FILTER (hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM (SELECT event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 86400000000, false) AS hit FROM api_log) GROUP BY 1""", "api_log")
+#: The SQL above approximates by the gap to the event before, and its query follows it; this one follows each key's writes.
+register("cache_hit_rate_exact", on("api_log", lambda e: rounded(state.hit_rates(state.exact_cache_hits(e.select("event_id", "ts", "user_id", "event_type"), "user_id", 86400), "event_type"), "hit_rate")))
 register("crawl_progress", on("api_log", lambda e: rounded(state.crawl_progress(e.select("event_id", F.col("k").alias("fetched"), (F.col("user_id") % 200).alias("total"), F.round(F.col("value") + 1, 2).alias("elapsed"))), "progress_percent", digits=1).withColumn("remaining_s", F.floor("remaining_s"))), """SELECT event_id, k AS fetched, user_id % 200 AS total, round(value + 1, 2) AS elapsed, CASE WHEN user_id % 200 > 0 THEN round(least(100.0, k / (user_id % 200) * 100), 1) ELSE 0.0 END AS progress_percent,
     CASE WHEN k > 0 AND round(value + 1, 2) > 0 THEN CAST(floor((user_id % 200 - k) / (k / round(value + 1, 2))) AS BIGINT) END AS remaining_s FROM api_log""", "api_log")
 register("gc_lru_running_sum", on("api_log", lambda e: state.evicted(e.select(F.col("event_id").alias("artifact_id"), (F.col("k") + 1).alias("size"), F.col("ts").alias("last_accessed")), 5000)), "SELECT artifact_id, size, CAST(freed_before AS BIGINT) AS freed_before FROM (SELECT event_id AS artifact_id, k + 1 AS size, coalesce(sum(k + 1) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM api_log) WHERE freed_before < 5000", "api_log")

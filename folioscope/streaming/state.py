@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Seconds that entries live by kind.
 TTL = {"search": 300, "record": 86_400, "fulltext": 2_592_000, "error": 30}
@@ -34,6 +36,32 @@ def cache_hits(log: DataFrame, key: str, ttl: int) -> DataFrame:
     return log.withColumn("hit", F.coalesce(gap <= ttl * 1_000_000, F.lit(False)))
 
 
+def exact_cache_hits(log: DataFrame, key: str, ttl: int) -> DataFrame:
+    """``log`` with ``hit``: the key's last miss is no older than ``ttl`` seconds. Every miss writes, reads renew nothing.
+
+    A key's rows come in order of time to one task, batch by batch, and only the last
+    write is carried on, so no key is held whole. Rows without a time miss and write nothing.
+    """
+    life, at = ttl * 1_000_000, log.columns.index(key)
+    schema = StructType([*log.schema.fields, StructField("hit", BooleanType())])
+    timed = log.withColumn("__at", F.unix_micros("ts"))
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, written = None, None
+        for b in batches:
+            hits = []
+            for k, now in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if k != last:
+                    last, written = k, None
+                hit = now is not None and written is not None and now - written <= life
+                if not hit and now is not None:
+                    written = now
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, pa.bool_())], schema.names)
+
+    return timed.repartition(F.col(key)).sortWithinPartitions(key, "__at", "event_id").mapInArrow(serve, schema)
+
+
 def hit_rates(hits: DataFrame, *keys: str) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count("*").alias("reads"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
 

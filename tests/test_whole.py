@@ -1,12 +1,14 @@
 """Queries on whole tables, without SQL: against brute force on a small fixture."""
 
 import datetime
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from folioscope.functions import text
 from folioscope.plans import catalog
+from folioscope.streaming import state
 
 LINES = [(1, 10, 1), (1, 20, 2), (2, 20, 1), (2, 30, 2), (2, 10, 3), (3, 10, 1), (3, 20, 2), (3, 20, 3), (10, 40, 1), (10, 50, 2), (11, 30, 1), (13, 60, 1), (21, 50, 1), (21, 40, 2), (33, 40, 1), (33, 70, 2)]
 
@@ -61,3 +63,23 @@ def test_fuzzy_scores_of_all_papers(spark):
     normal = lambda t: (t or "").lower()
     found = catalog.fuzzy_scores(spark.createDataFrame(rows, "id long, title string, abstractText string")).collect()
     assert sorted(map(tuple, found), key=str) == sorted(((i, round(text.token_set_score(normal(a), normal(b)), 4)) for i, a, b in rows), key=str)
+
+
+def test_exact_cache_hits(spark):
+    rng, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=rng.randrange(2000)), rng.choice([None, 1, 1, 1, 1, 2, 3])) for i in range(600)]
+    rows += [(600, None, 1), (601, start + datetime.timedelta(seconds=5000), 4), (602, start + datetime.timedelta(seconds=5010), 4), (603, start + datetime.timedelta(seconds=5011), 4)]
+    written, known = {}, {}
+    for i, ts, key in sorted(rows, key=lambda r: (r[1] or start, r[0])):
+        known[i] = ts is not None and key in written and (ts - written[key]).total_seconds() <= 10
+        if ts is not None and not known[i]:
+            written[key] = ts
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = state.exact_cache_hits(log, "user_id", 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.event_id: r.hit for r in found} == known and len(found) == len(rows)
+    gaps = {r.event_id: r.hit for r in state.cache_hits(log, "user_id", 10).collect()}
+    assert gaps != known and not known[603] and gaps[603]

@@ -135,13 +135,12 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "size", "payload"))))
-        coder = tokenizing.WordCoder(tokenizing.encoder(tokenizer).code_keys, limit=1 << 62)
+        coder = tokenizing.encoder(tokenizer)
         out = []
         width = np.dtype(tokenizing.id_type(tokenizer)).itemsize
         for chunk, n, size, payload in rows:
             keys = unpack_words(payload[size:], n)
-            coder.learn([keys])
-            ids = [coder.memo[k] for k in keys]
+            (ids,) = coder.look_up([keys])
             flat = b"".join(ids)
             lengths = np.array([len(x) // width for x in ids], "<u4")
             out.append((chunk, n, len(flat), payload[:size], pack_numbers(lengths), pack(flat)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,37 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one Python step holds at once.
 BATCH_CHARS = 2_000_000
+#: Bytes that a worker's table of remembered words may hold in each of its two generations,
+#: what an entry costs besides its key and value, and the longest key that is remembered.
+MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 112 << 20, 96, 256
+
+
+class Memo(dict):
+    """What ``make`` gave for each key, within a bound of bytes; look keys up with ``[]``.
+
+    When the younger generation is full it becomes the older one, from which keys
+    that come again move on; longer keys (texts without spaces) are made anew each time.
+    """
+
+    def __init__(self, make: Callable, limit: int = MEMO_BYTES):
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.old: dict = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if self.held >= self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += getsizeof(key) + getsizeof(value) + ENTRY_BYTES
+        return value
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import as_row, id_text, materialize, slices
+from folioscope.llm.common import Memo, as_row, id_text, materialize, slices
 from folioscope.llm.components import components
 
 #: Production parameters: words in a shingle and the least Jaccard similarity as a fraction.
@@ -134,23 +134,13 @@ def text_words(text: str) -> list[bytes]:
 class Hasher:
     """Sorted distinct 64-bit hashes of a text's shingles; keeps the hashes of words."""
 
-    def __init__(self, words: int, limit: int = 400_000):
-        self.words, self.limit = words, limit
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, words: int):
+        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint64)
-        memo = self.memo
-        try:
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(memo) > self.limit:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         size = min(self.words, len(words))
         n = len(words) - size + 1
         out = mixed(h[:n] + np.uint64(size))
@@ -389,7 +379,7 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
             split = text_words(text.as_py())
             if node not in chosen and digest(own(split))[0] == node:
                 chosen[node] = (side, np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in split), np.int32, len(split)))
-        own.memo.clear()
+        own.memo.forget()
         nodes = sorted(chosen)
         cross = table.column("part_a")[0].as_py() != table.column("part_b")[0].as_py()
         sets = shingle_numbers([chosen[x][1] for x in nodes], words, len(numbers) + 1) if nodes else []

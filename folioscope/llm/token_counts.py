@@ -72,19 +72,12 @@ class Counter:
     def __init__(self, path: str):
         self.path = path
         self.of_byte, self.merges = merge_table(path)
-        self.words = tokenizing.WordCoder(self.count_keys)
-        self.pieces = tokenizing.WordCoder(lambda x: [self.count_piece(y) for y in x])
+        self.words = tokenizing.WordTable(self.count_piece, sum).words
 
     def count_piece(self, piece: str) -> int:
         of_byte = self.of_byte
         return merged_length([of_byte[b] for b in piece.encode()], self.merges)
 
-    def count_keys(self, keys: list[str]) -> list[int | None]:
-        split = [tokenizing.key_pieces(x) for x in keys]
-        self.pieces.learn([x for x in split if x])
-        look = self.pieces.memo.__getitem__
-        return [None if x is None else sum(map(look, x)) for x in split]
-
     def count_whole(self, text: str) -> int:
         """Cut at the special string (one token each) and by the library's own pre-tokenizer."""
         cut, symbol = tokenizing.library(self.path).pre_tokenizer.pre_tokenize_str, tokenizing.byte_symbols()
@@ -96,12 +89,10 @@ class Counter:
         return total
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [tokenizing.split_words(x) for x in texts]
-        self.words.learn([x for x in split if x is not None])
-        look, out = self.words.memo.__getitem__, []
-        for text, keys in zip(texts, split):
+        look, out = self.words.__getitem__, []
+        for text in texts:
             try:
-                out.append(sum(map(look, keys)))
+                out.append(sum(map(look, tokenizing.split_words(text))))
             except TypeError:  # no keys, or a key that can't stand alone
                 out.append(self.count_whole(text))
         return out

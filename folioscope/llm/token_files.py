@@ -47,10 +47,13 @@ def write_token_files(
     ids side by side, in any order). ``offset`` counts the ids before the document
     within its part. Null and empty texts give just the end id; an empty table
     gives files without rows. Columns besides the two named ones are ignored.
+    ``partitions`` follows the number of input partitions, which grows with the
+    input's bytes, but is never below the session's number of shuffle partitions.
     """
     tokenizer = tokenizer or tokenizing.tokenizer_path()
+    source = id_text(docs, id_col, text_col)
     if partitions is None:
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
     kind = docs.schema[id_col].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +78,7 @@ def write_token_files(
 
     schema = f"part int, offset long, doc_id {kind.simpleString()}, n_tokens long, ids array<int>"
     (
-        id_text(docs, id_col, text_col)
-        .repartitionByRange(partitions, "id")
+        source.repartitionByRange(partitions, "id")
         .sortWithinPartitions("id")
         .mapInArrow(encode, schema)
         .write.options(**ORC_OPTIONS)

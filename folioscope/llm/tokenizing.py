@@ -12,21 +12,26 @@ import functools
 import json
 import os
 import re
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
 import regex
 
+from folioscope.llm.common import ENTRY_BYTES, LONGEST_KEY, MEMO_BYTES, Memo
+
 #: The tokenizer file and the special string it knows (fixed values of the file).
 BYTE_BPE = "byte_bpe_50k.json"
 END_OF_TEXT = "<|endoftext|>"
 #: Code points whose class all Unicode versions in use agree on.
 _AGREED = re.compile("[\\x00-\\u0557\\u2010-\\u206f\\u20a0-\\u2fff\\u3040-\\u9fa5\\uac00-\\ud7a3]*")
 _PIECES = regex.compile(public_tokenizers.PATTERN).findall
-#: Distinct words in each generation of a worker's table.
-MEMO_WORDS = 500_000
+#: The same pattern with its classes spelled out for the code points below 256 (fixed values of Unicode), for the faster engine.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN_PIECES = re.compile(
+    f"'(?:[smtd]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+).findall
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -63,72 +68,167 @@ def split_words(text: str) -> list[str] | None:
     return keys
 
 
+def cut_pieces(text: str) -> list[str]:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _PIECES(text)
+    return _LATIN_PIECES(text)
+
+
 def key_pieces(key: str) -> list[str] | None:
     """The pieces of a key's word by the byte-level pattern; None where white space follows the
     space, since the pattern may then join it with white space in front."""
     if key[:1] == " ":
-        return _PIECES(key[1:])
-    if key.isalpha():
-        return [" " + key]
+        return cut_pieces(key[1:])
     if not key or key[0].isspace():
         return None
-    if key[-1] in ".,;:!?" and key[:-1].isalpha():
-        return [" " + key[:-1], key[-1]]
-    return _PIECES(" " + key)
+    return cut_pieces(" " + key)
+
+
+def id_type(path: str) -> type:
+    return np.uint16 if library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
 
 
-class WordCoder:
-    """Codes texts word by word and remembers what each distinct word gave.
+class WordTable:
+    """What each word of a worker's texts gives, from what its pieces give by ``of_piece``; ``total`` joins these.
 
-    Two generations of at most ``limit`` words each bound the memory; words that
-    come again move to the younger one.
+    A word that is one piece is kept among the words alone; ``pieces`` holds the other ones.
     """
 
-    def __init__(self, code_keys: Callable[[list[str]], list], limit: int = MEMO_WORDS):
-        self.code_keys, self.limit = code_keys, limit
-        self.memo: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+    def __init__(self, of_piece: Callable[[str], object], total: Callable[[Iterable], object]):
+        self.of_piece, self.total = of_piece, total
+        self.words = Memo(self.of_key)
+        self.pieces = Memo(of_piece, MEMO_BYTES // 4)
 
-    def learn(self, split: list[list[str]]) -> None:
-        """Afterwards ``memo`` holds every key of ``split``."""
-        needed: set[str] = set()
-        for keys in split:
-            needed.update(keys)
-        if len(self.memo) + len(needed) > self.limit:
-            self.memo, self.old = {}, self.memo
-        needed.difference_update(self.memo.keys())
-        known = needed & self.old.keys()
-        self.memo.update((k, self.old[k]) for k in known)
-        new = list(needed - known)
-        self.memo.update(zip(new, self.code_keys(new)))
+    def of_key(self, key: str):
+        """None where the whole text has to be given to the library."""
+        if key.isalpha():
+            return self.of_piece(" " + key)
+        end = key[-1:]
+        if end in ".,;:!?" and key[:-1].isalpha():
+            return self.total((self.words[key[:-1]], self.pieces[end]))
+        found = key_pieces(key)
+        return None if found is None else self.total([self.of_some(x) for x in found])
 
+    def of_some(self, piece: str):
+        word = piece[1:]
+        return self.words[word] if piece[:1] == " " and word.isalpha() else self.pieces[piece]
 
-def id_type(path: str) -> type:
-    return np.uint16 if library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+@functools.lru_cache(maxsize=4)
+def byte_model(path: str):
+    """The library's merging model over the file's vocabulary and merges, with each byte as its own Latin-1 character."""
+    from tokenizers.models import BPE
+
+    model = vocabulary(path)["model"]
+    byte = str.maketrans({c: chr(b) for c, b in byte_symbols().items()})
+    merges = (x.split(" ") if isinstance(x, str) else x for x in model["merges"])
+    return BPE({piece.translate(byte): i for piece, i in model["vocab"].items()}, [(a.translate(byte), b.translate(byte)) for a, b in merges])
+
+
+#: Keys whose pieces the model may code together with other keys: letters, and simple punctuation and line ends between them.
+_TOGETHER = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]?(?:\n[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?]?)*").fullmatch
+#: Words of one call of the model.
+TOGETHER_WORDS = 1_000
+
+
+def cut_by_classes(tokens: Iterable[bytes]) -> bool:
+    """Whether no token that can occur in ``_TOGETHER`` keys reaches over a boundary of their pieces, so that
+    coding them in one call gives what coding each one gives: a space stands only first, and
+    letters (with all bytes from 128), simple punctuation and line ends don't mix."""
+    mixed = re.compile(rb"[A-Za-z\x80-\xff.,;:!?] |[A-Za-z\x80-\xff][.,;:!?\n]|[.,;:!?\n][A-Za-z\x80-\xff]|[.,;:!?]\n|\n[.,;:!?]").search
+
+    def occurs(token: bytes) -> bool:
+        try:
+            return all(c.isalpha() or c in " .,;:!?\n" for c in token.decode())
+        except UnicodeDecodeError:
+            return True
+
+    return not any(mixed(x) and occurs(x) for x in tokens)
+
+
+class Words(dict):
+    """Ids by word; keys that it lacks are noted in ``lacking``."""
+
+    def __init__(self):
+        super().__init__()
+        self.lacking: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.lacking.append(key)
 
 
 class Encoder:
-    """Ids of one worker's words and pieces, as bytes of ``id_type``, by the library's model."""
+    """Ids of one worker's words, as bytes of ``id_type``, by the library's model.
+
+    Words that several texts lack are coded in common calls. What is remembered is
+    bounded in bytes, in two generations.
+    """
+
+    #: Stands for a key whose text has to be encoded whole.
+    WHOLE = 0
 
-    def __init__(self, path: str):
-        self.tokenize = library(path).model.tokenize
-        self.code = "H" if id_type(path) is np.uint16 else "I"
-        self.alphabet = str.maketrans({chr(b): c for c, b in byte_symbols().items()})
-        self.pieces = WordCoder(lambda x: [self.code_piece(y) for y in x])
-        self.words = WordCoder(self.code_keys)
+    def __init__(self, path: str, limit: int = MEMO_BYTES):
+        self.dtype, self.limit, self.tokenize = id_type(path), limit, byte_model(path).tokenize
+        listed = pieces(path)
+        self.begins = np.array([x[:1] == b" " for x in listed])
+        self.together = cut_by_classes(listed)
+        self.pieces = Memo(self.code_piece, limit // 4)
+        self.words, self.old, self.held = Words(), Words(), 0
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array([t.id for t in self.tokenize(text if text.isascii() else text.encode().decode("latin-1"))], self.dtype)
 
     def code_piece(self, piece: str) -> bytes:
-        symbols = piece.encode().decode("latin-1").translate(self.alphabet)
-        return array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
-
-    def code_keys(self, keys: list[str]) -> list[bytes | None]:
-        """Each key's ids; None where the whole text has to be encoded."""
-        out: list[bytes | None] = []
-        for i in range(0, len(keys), 100_000):
-            split = [key_pieces(x) for x in keys[i : i + 100_000]]
-            self.pieces.learn([x for x in split if x])
-            look = self.pieces.memo.__getitem__
-            out += [None if x is None else b"".join(map(look, x)) for x in split]
+        return self.ids(piece).tobytes()
+
+    def code_alone(self, key: str) -> bytes | int:
+        found = key_pieces(key)
+        return self.WHOLE if found is None else b"".join([self.pieces[x] for x in found])
+
+    def code_together(self, keys: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(keys), TOGETHER_WORDS):
+            ids = self.ids(" " + " ".join(keys[i : i + TOGETHER_WORDS]))
+            at = (np.flatnonzero(self.begins[ids]) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(at, [*at[1:], len(data)])]
+        return out
+
+    def code(self, keys: Iterable[str]) -> dict[str, bytes | int]:
+        """Ids of distinct keys that ``words`` lacks, remembered but for very long keys."""
+        coded, common, old = {}, [], self.old
+        for k in keys:
+            if k in old:
+                coded[k] = old[k]
+            elif self.together and (k.isalpha() or _TOGETHER(k)):
+                common.append(k)
+            else:
+                coded[k] = self.code_alone(k)
+        coded.update(zip(common, self.code_together(common)))
+        if self.held >= self.limit:
+            self.words, self.old, self.held = Words(), self.words, 0
+        kept = {k: v for k, v in coded.items() if len(k) <= LONGEST_KEY}
+        self.words.update(kept)
+        self.held += sum(map(getsizeof, kept)) + sum(map(getsizeof, kept.values())) + ENTRY_BYTES * len(kept)
+        return coded
+
+    def look_up(self, split: list[list[str]]) -> list[list[bytes | int]]:
+        """Ids of each list's keys in turn."""
+        words, lacking = self.words, self.words.lacking
+        out, unfinished = [], []
+        for keys in split:
+            before = len(lacking)
+            out.append(list(map(words.__getitem__, keys)))
+            if len(lacking) > before:
+                unfinished.append(len(out) - 1)
+        if unfinished:
+            coded = self.code(set(lacking))
+            lacking.clear()
+            for i in unfinished:
+                out[i] = [coded[k] if v is None else v for k, v in zip(split[i], out[i])]
         return out
 
 
@@ -143,14 +243,13 @@ def encode_whole(path: str, text: str) -> np.ndarray:
 
 def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text, as the library's ``encode`` gives them, as bytes of ``id_type``."""
-    words = encoder(path).words
     split = [split_words(x) for x in texts]
-    words.learn([x for x in split if x is not None])
-    look, out = words.memo.__getitem__, []
+    found = iter(encoder(path).look_up([x for x in split if x is not None]))
+    out = []
     for text, keys in zip(texts, split):
         try:
-            out.append(b"".join(map(look, keys)))
-        except TypeError:  # no keys, or a key that can't stand alone
+            out.append(encode_whole(path, text).tobytes() if keys is None else b"".join(next(found)))
+        except TypeError:  # a key that can't stand alone
             out.append(encode_whole(path, text).tobytes())
     return out
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_text, materialize, slices
+from folioscope.llm.common import Memo, id_text, materialize, slices
 
 #: Bounds of what fitting collects: labelled documents (the first by hash of their id) and features.
 SAMPLE, FEATURES = 12_000, 4_096
@@ -145,23 +145,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -
 class Scorer:
     """Sums a text's weights; remembers what each distinct word brings."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
-        self.model, self.limit = model, limit
-        self.memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+    def __init__(self, model: Model):
+        self.model, self.words = model, Memo(self.word)
 
     def word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """The features of the model that a word brings alone, and with another one."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            found = self.memo[word] = tuple(tuple(k for k in keys if k in self.model.weights) for keys in (feature_keys(word), shared_keys(word)))
-        return found
+        return tuple(tuple(k for k in keys if k in self.model.weights) for keys in (feature_keys(word), shared_keys(word)))
 
     def score(self, text: str) -> float:
         found, once = set(), set()
         for word in set(_WORD.findall(text.lower())):
-            own, shared = self.word(word)
+            own, shared = self.words[word]
             found.update(own)
             if shared:
                 found.update(once.intersection(shared))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm import bpe_codec, token_counts, token_files, tokenizing
-from folioscope.llm.common import table_path
+from folioscope.llm.common import LONGEST_KEY, Memo, table_path
 from tests.llm.cases import TEXTS, documents, rows_of, table
 
 PATH = tokenizing.tokenizer_path()
@@ -106,7 +106,30 @@ def test_lookup_and_layout(spark, sf):
     import pyarrow.orc
 
     assert all(pyarrow.orc.ORCFile(f).nstripes >= 1 for f in files)
-    assert any(b"BLOOM" in open(f, "rb").read() or pyarrow.orc.ORCFile(f).content_length > 0 for f in files)
+
+
+def rows_scanned(df):
+    """Rows that the only scan of ``df`` gives to the filter behind it."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_lookup_prunes_by_bloom_filter(spark):
+    """Ids are even, so an odd one lies between the least and highest of a row group: only the Bloom filter rules it out."""
+    docs = spark.range(0, 16_000, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    path = table_path(spark, "tokens")
+    token_files.write_token_files(docs, path, partitions=1)
+    assert rows_scanned(spark.read.orc(path)) == 8_000
+    assert rows_scanned(token_files.lookup(spark, path, [5_000])) == 1_000
+    assert sum(rows_scanned(token_files.lookup(spark, path, [i])) for i in range(5_001, 5_041, 2)) <= 3_000  # 20 lookups of 1,000 rows without it
+
+
+def test_partitions_follow_the_input(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).repartition(23)
+    path = table_path(spark, "tokens")
+    token_files.write_token_files(docs, path)
+    assert spark.read.orc(path).select("part").distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 ODD = st.text(st.sampled_from(list(" \n\t'.,<|>_aAbst0129éß京क́  👩\x00")) | st.characters(exclude_categories=["Cs"]), max_size=60)
@@ -129,7 +152,22 @@ def test_heap_merges_as_the_library(text):
 
 
 def test_word_memory_is_bounded():
-    coder = tokenizing.WordCoder(lambda keys: [len(k) for k in keys], limit=10)
+    """The bound is in bytes: many words, and texts without spaces, which are one word each."""
+    memo = Memo(len, limit=10_000)
+    for i in range(2_000):
+        assert memo[f"word{i}"] == len(f"word{i}") and memo["again"] == 5
+    assert memo.held <= 10_200 and len(memo) + len(memo.old) < 200
+    encoder = tokenizing.Encoder(PATH, limit=100_000)
     for i in range(20):
-        coder.learn([[f"w{i}", f"v{i}", "again"]])
-        assert coder.memo["again"] == 5 and len(coder.memo) + len(coder.old) <= 2 * 10 + 3
+        texts = ["京" * (20_000 + i), "x1" * (10_000 + i), " ".join(f"v{j}w" for j in range(200 * i, 200 * i + 200))]
+        for text, found in zip(texts, encoder.look_up([tokenizing.split_words(t) for t in texts])):
+            assert np.frombuffer(b"".join(found), encoder.dtype).tolist() == ids(text)
+    for table in (encoder.words, encoder.old, encoder.pieces, encoder.pieces.old):
+        assert max(map(len, table), default=0) <= LONGEST_KEY and sum(map(len, table)) < 40_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aetnrh.,:\n\xe9ß\xa0京é'0"), max_size=12), min_size=1, max_size=30))
+def test_words_coded_together(words):
+    text = " ".join(words)
+    assert np.frombuffer(tokenizing.encode_bytes(PATH, [text])[0], tokenizing.id_type(PATH)).tolist() == ids(text)

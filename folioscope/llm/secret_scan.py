@@ -6,6 +6,9 @@ give spans ``(kind, start, end)`` in code points, end exclusive.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,76 +19,145 @@ ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"'
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KINDS = ("assign", "access", "hex", "entropy")
-#: Candidates of the entropy method: long runs with a digit and a letter. Its window, and the least bits for each character class.
-CANDIDATE, CANDIDATE_LEAST = "[A-Za-z0-9+/_=-]+", 24
+#: The entropy method looks at long runs of these characters, in windows of this many.
+CANDIDATE, CANDIDATE_LEAST = "[A-Za-z0-9+/_=-]", 24
 WINDOW = 20
-HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Candidates that match one of these are no secrets: UUIDs, placeholders, counted or repeated characters.
+#: Character classes in their order, the first that a candidate fits: pattern, and the least bits of its best window.
+CLASSES = (
+    ("digits", "[0-9]+", 3.1),
+    ("hexadecimal", "[0-9a-f]+|[0-9A-F]+", 3.0),
+    ("letters", "[A-Za-z]+", 4.0),
+    ("alphanumeric", "[A-Za-z0-9]+", 3.7),
+    ("base64", "[A-Za-z0-9+/]+=*|[A-Za-z0-9_-]+=*", 3.8),
+    ("symbols", f"{CANDIDATE}+", 3.9),
+)
+#: Parts of a run that are no secrets and end a candidate: UUIDs, placeholders, repeated or counted characters.
 ALLOWED = (
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "(?i)example|placeholder|changeme|your[_-]|xxxx",
+    "(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",
+    "(?i:example|placeholder|changeme|your[_-]|xxxx)",
     "(.)\\1{7,}",
     "0123456789|abcdefghij",
 )
 #: Private code points that mark matches; in texts another one takes their place, which no pattern matches either.
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+#: Places of one block of a running total, and characters of a chunk of text that spans are cut from.
+BLOCK, CHUNK = 128, 4_096
 
 
-def marked(text: Column, pattern: str, clean: bool = True) -> Column:
+def marked(text: Column, pattern: str) -> Column:
     """``text`` with a mark before and behind each leftmost non-overlapping match."""
-    return F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}")
+    return F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each place of a bound array of numbers, ``merge`` over all places before it, from 0.
+
+    Blocks of ``BLOCK`` places are merged first, so that a place looks at its own
+    block and the blocks before it and not at every place.
+    """
+    zero = F.lit(0)
+
+    def over(array: Column, begin: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(array, begin.cast("int"), count.cast("int")), zero, merge)
+
+    def placed(before: Column) -> Column:
+        at = lambda i: F.floor(i / BLOCK).cast("int")
+        return F.transform(values, lambda _, i: merge(F.get(before, at(i)), over(values, at(i) * BLOCK + 1, i % BLOCK)))
+
+    blocks = F.transform(F.sequence(zero, F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: over(values, b * BLOCK + 1, F.lit(BLOCK)))
+    before = bound(blocks, lambda x: F.transform(x, lambda _, b: over(x, F.lit(1), b)))
+    return F.when(F.size(values) > 0, bound(before, placed)).otherwise(F.array().cast("array<int>"))
+
+
+def cut(column: Column) -> Column:
+    """``(at, part, inside)`` of the parts of a marked string in turn: where each begins without the marks, and whether it is a match."""
+
+    def of_parts(parts: Column) -> Column:
+        starts = bound(F.transform(parts, lambda p: F.length(p)), lambda n: running(n, lambda x, y: x + y))
+        return bound(starts, lambda at: F.transform(parts, lambda p, i: F.struct(F.get(at, i).alias("at"), p.alias("part"), (i % 2 == 1).alias("inside"))))
+
+    return bound(F.split(column, f"[{OPEN}{CLOSE}]"), of_parts)
+
 
+def span(rank: int, at: Column, part: Column) -> Column:
+    return F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(part)).alias("stop"), F.lit(KINDS[rank]).alias("kind"))
 
-def spans_of(column: Column, rank: int, keep) -> Column:
-    """Spans of the marked matches that ``keep`` accepts."""
-    kind = KINDS[rank]
-    parts = F.split(column, f"[{OPEN}{CLOSE}]")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("spans"))
 
-    def step(state: Column, part: Column) -> Column:
-        stop = state["at"] + F.length(part)
-        span = F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"))
-        grown = F.when(state["inside"] & keep(part), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), (~state["inside"]).alias("inside"), grown.alias("spans"))
+def spans_of(column: Column, rank: int, keep: Callable[[Column], Column]) -> Column:
+    """Spans of the marked matches that ``keep`` accepts, in order."""
+    kept = F.filter(cut(column), lambda x: x["inside"] & keep(x["part"]))
+    return F.when(F.contains(column, F.lit(OPEN)), F.transform(kept, lambda x: span(rank, x["at"], x["part"]))).otherwise(F.array().cast(SPAN))
 
-    found = F.aggregate(parts, start, step, lambda s: s["spans"])
+
+def random_spans(column: Column, rank: int) -> Column:
+    """Spans of the candidates in the marked runs: what allow-list parts leave of a run, where its class's entropy is reached."""
+    allowed = "|".join(ALLOWED)
+
+    def of_run(run: Column) -> Column:
+        pieces = F.filter(cut(marked(run["part"], allowed)), lambda x: ~x["inside"] & is_random(x["part"]))
+        return F.transform(pieces, lambda x: span(rank, run["at"] + x["at"], x["part"]))
+
+    found = F.flatten(F.transform(F.filter(cut(column), lambda x: x["inside"]), of_run))
     return F.when(F.contains(column, F.lit(OPEN)), found).otherwise(F.array().cast(SPAN))
 
 
 def entropy_peak(candidate: Column, window: int = WINDOW) -> Column:
     """The highest entropy in bits of any window of an ASCII string of at least ``window`` characters.
 
-    Sliding by one character changes two counts, so the sum of ``n * log2(n)`` is
-    carried on rather than summed anew.
+    Sliding by one character lowers the count of the one that leaves and raises
+    that of the one that enters, so the sum of ``n * log2(n)`` is carried on rather
+    than summed anew. The state holds the window itself, whatever the string's length.
     """
-    weight = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda at: F.ascii(F.substr(candidate, at, F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+    weights = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)))
+    start = F.struct(F.lit("").alias("held"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+
+    def count(held: Column, character: Column) -> Column:
+        return F.length(held) - F.length(F.replace(held, character, F.lit("")))
 
-    def slide(state: Column, at: Column) -> Column:
-        enters, leaves = code(at), F.when(at > window, code(F.greatest(at - window, F.lit(1)))).otherwise(F.lit(-1))
-        more, fewer = F.get(state["counts"], enters), F.when(leaves >= 0, F.get(state["counts"], F.greatest(leaves, F.lit(0)))).otherwise(F.lit(0))
-        same = enters == leaves
-        counts = F.transform(state["counts"], lambda n, i: n + (i == enters).cast("int") - (i == leaves).cast("int"))
-        change = weight(more + 1) - weight(more) + F.when(leaves >= 0, weight(fewer - 1) - weight(fewer)).otherwise(F.lit(0.0))
-        total = F.when(same, state["total"]).otherwise(state["total"] + change)
-        least = F.when(at >= window, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(counts.alias("counts"), total.alias("total"), least.alias("least"))
+    def without_first(state: Column) -> Column:
+        n = count(state["held"], F.substr(state["held"], F.lit(1), F.lit(1)))
+        shorter = F.struct(F.substr(state["held"], F.lit(2)).alias("held"), (state["total"] + F.get(weights, n - 1) - F.get(weights, n)).alias("total"), state["least"].alias("least"))
+        return F.when(F.length(state["held"]) == window, shorter).otherwise(state)
 
-    least = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, slide, lambda s: s["least"])
-    return F.log2(F.lit(float(window))) - least / window
+    def slide(state: Column, character: Column) -> Column:
+        def entered(s: Column) -> Column:
+            n = count(s["held"], character)
+            held, total = F.concat(s["held"], character), s["total"] + F.get(weights, n + 1) - F.get(weights, n)
+            return F.struct(held.alias("held"), total.alias("total"), F.when(F.length(held) == window, F.least(s["least"], total)).otherwise(s["least"]).alias("least"))
+
+        return bound(without_first(state), entered)
+
+    least = F.aggregate(F.split(candidate, ""), start, slide, lambda s: s["least"])
+    return F.lit(math.log2(window)) - least / window
 
 
 def is_random(candidate: Column) -> Column:
-    """Whether a candidate string passes its class's entropy and no allow-list pattern."""
-    allowed = F.lit(False)
-    for x in ALLOWED:
-        allowed = allowed | F.rlike(candidate, F.lit(x))
-    mixed = F.rlike(candidate, F.lit("[0-9]")) & F.rlike(candidate, F.lit("[A-Za-z]"))
-    bits = F.when(F.rlike(candidate, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
-    hopeful = (F.length(candidate) >= CANDIDATE_LEAST) & mixed & ~allowed
-    return F.when(hopeful, entropy_peak(candidate) >= bits).otherwise(F.lit(False))
+    """Whether a candidate string is long enough and reaches the entropy of its class."""
+    bits = F.lit(None)
+    for _, pattern, least in reversed(CLASSES):
+        bits = F.when(F.rlike(candidate, F.lit(f"^(?:{pattern})$")), F.lit(least)).otherwise(bits)
+    return F.when(F.length(candidate) >= CANDIDATE_LEAST, entropy_peak(candidate) >= bits).otherwise(F.lit(False))
+
+
+def within(spans: Column, e: Column) -> Column:
+    """Whether ``e`` lies in one of ``spans``, which are in order and don't overlap: only the last that begins before it can hold it."""
+
+    def narrower(s: Column, _: Column) -> Column:
+        def halved(middle: Column) -> Column:
+            before = F.get(spans, middle)["start"] <= e["start"]
+            return F.struct(F.when(before, middle + 1).otherwise(s["low"]).alias("low"), F.when(before, s["high"]).otherwise(middle).alias("high"))
+
+        return F.when(s["low"] < s["high"], bound(F.floor((s["low"] + s["high"]) / 2).cast("int"), halved)).otherwise(s)
+
+    # 32 halvings, as a text has less than 2**31 characters
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), narrower, lambda s: s["low"] - 1)
+    return bound(last, lambda i: (i >= 0) & (e["stop"] <= F.get(spans, F.greatest(i, F.lit(0)))["stop"]))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,24 +168,24 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     clean = F.when(F.rlike(t, F.lit(f"[{OPEN}{CLOSE}]")), F.translate(t, OPEN + CLOSE, OTHER + OTHER)).otherwise(t)
     step = as_row(docs).select("row", clean.alias("clean"))
-    # the entropy's candidates are looked for only in words that hold a digit in a long run
     step = step.select(
         "row",
         marked(F.col("clean"), ASSIGN).alias("assign"),
-        marked(F.col("clean"), f"{ACCESS}").alias("access"),
+        marked(F.col("clean"), ACCESS).alias("access"),
         marked(F.col("clean"), f"[0-9a-f]{{{HEX_LEAST},}}").alias("hex"),
-        marked(F.col("clean"), f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}").alias("entropy"),
+        marked(F.col("clean"), f"(?<!{CANDIDATE}){CANDIDATE}{{{CANDIDATE_LEAST},}}").alias("entropy"),
     )
     step = step.select(
         "row",
         spans_of(F.col("assign"), 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST).alias("assign"),
         spans_of(F.col("access"), 1, lambda m: F.length(m) >= ACCESS_LEAST).alias("access"),
         spans_of(F.col("hex"), 2, lambda m: F.length(m) >= HEX_LEAST).alias("hex"),
-        spans_of(F.col("entropy"), 3, is_random).alias("entropy"),
+        random_spans(F.col("entropy"), 3).alias("entropy"),
     )
-    step = step.select("row", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "entropy")
-    fresh = F.filter("entropy", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["stop"] <= b["stop"])))
-    return step.select("row", "base", F.array_sort(F.concat("base", fresh)).alias("spans"))
+    fresh = F.filter("entropy", lambda e: ~(within(F.col("assign"), e) | within(F.col("access"), e) | within(F.col("hex"), e)))
+    fresh = F.when(F.size("entropy") > 0, fresh).otherwise(F.col("entropy"))
+    step = step.select("row", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), fresh.alias("fresh"))
+    return step.select("row", "base", F.array_sort(F.concat("base", "fresh")).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -126,7 +198,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null and empty texts have no spans (the hash is that of an empty string); null
     ids and repeated rows are kept row by row; an empty table gives no rows; texts
-    are scanned whole, whatever their length.
+    are scanned whole, in time that grows with their length but not with its square.
     """
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -144,16 +216,29 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", leng
     ``length_col`` names a column that takes the new number of characters of changed texts.
     """
     text = F.col(f"row.`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(state: Column, s: Column) -> Column:
-        begins = F.greatest(s["start"], state["at"])
-        apart = (s["start"] > state["at"]) | (F.size(state["parts"]) == 0)
-        part = F.concat(F.substr(text, state["at"] + 1, begins - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(apart, F.concat(state["parts"], F.array(part))).otherwise(state["parts"]).alias("parts"))
+    def between(chunks: Column, begin: Column, end: Column) -> Column:
+        """The characters from ``begin`` to ``end``, from the chunks that hold them."""
+        first, last = F.floor(begin / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        return F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), begin % CHUNK + 1, end - begin)
+
+    def pieces(chunks: Column) -> Column:
+        def of_ends(ends: Column) -> Column:
+            """``ends``: where the spans before each one end."""
+
+            def piece(s: Column, i: Column) -> Column:
+                at = F.get(ends, i)
+                apart = (s["start"] > at) | (i == 0)
+                return F.when(apart, F.concat(between(chunks, at, F.greatest(s["start"], at)), F.lit(mark))).otherwise(F.lit(""))
+
+            tail = bound(F.greatest(F.element_at(ends, -1), F.element_at("spans", -1)["stop"]), lambda at: between(chunks, at, F.length(text)))
+            return F.concat(F.array_join(F.transform("spans", piece), ""), tail)
+
+        stops = bound(F.transform("spans", lambda s: s["stop"]), lambda x: running(x, lambda a, b: F.greatest(a, b)))
+        return bound(stops, of_ends)
 
-    cut = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
-    shown = with_spans(docs, text_col).select("row", "spans", F.when(F.size("spans") > 0, cut).otherwise(text).alias("shown"))
+    cut_text = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), pieces)
+    shown = with_spans(docs, text_col).select("row", "spans", F.when(F.size("spans") > 0, cut_text).otherwise(text).alias("shown"))
 
     def column(name: str) -> Column:
         own = F.col(f"row.`{name}`")

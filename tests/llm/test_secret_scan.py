@@ -39,11 +39,15 @@ def peak(word, window):
 
 def entropy(text):
     for m in CANDIDATE.finditer(text):
-        w = m[0]
-        if len(w) < s.CANDIDATE_LEAST or not re.search("[0-9]", w) or not re.search("[A-Za-z]", w) or any(re.search(a, w) for a in s.ALLOWED):
+        at = m.start()
+        if len(m[0]) < s.CANDIDATE_LEAST:
             continue
-        if peak(w, s.WINDOW) >= (s.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else s.MIXED_BITS):
-            yield m.start(), 3, m.end()
+        cuts = [(at + x.start(), at + x.end()) for x in re.finditer("|".join(s.ALLOWED), m[0])]
+        for a, b in zip([at, *(y for _, y in cuts)], [*(x for x, _ in cuts), m.end()]):
+            if b - a >= s.CANDIDATE_LEAST:
+                bits = next(x for _, pattern, x in s.CLASSES if re.fullmatch(pattern, text[a:b]))
+                if peak(text[a:b], s.WINDOW) >= bits - 1e-9:
+                    yield a, 3, b
 
 
 def scanned(i, text):
@@ -72,7 +76,31 @@ def test_table(spark, sf):
 
 
 def test_some_secrets_are_found_by_entropy_alone():
-    assert [len(list(entropy(t))) for t in SECRETS[8:13]] == [1, 0, 0, 0, 0]
+    assert [len(list(entropy(t))) for t in SECRETS[8:13]] == [1, 0, 1, 0, 0]
+
+
+#: One candidate of each class that is random, and one that isn't.
+CLASSED = [
+    "81940275361940582736", "83659201748362910573846205", "12121212121212121212121212", "9f8b3a7c1e5d2046fa9b3c7d1e", "abababab12ababab12ababab12", "qzjxkvbwpyfmghdcultnraeosi",
+    "internationalizationsandmorewords", "zk9x2lqp7vrt4wnyb1hs8jc3q", "Zk9x2LqP7vRt4WnYb1+s8Jc/3QmE==", "a/b/c/a/b/c/a/b/c/a/b/c/a/b/c/", "Zk9x2_qP7/Rt4WnYb1Hs8Jc3-e=", "key=example_Zk9x2LqP7vRt4WnYb1Hs8Jc3M",
+    "x" * 30 + "Zk9x2LqP7vRt4WnYb1Hs8Jc3M",
+]
+
+
+def test_classes(spark):
+    expected = [scanned(i, t) for i, t in enumerate(CLASSED, 1)]
+    assert rows_of(s.scan(documents(spark, CLASSED))) == expected
+    assert [bool(r[-1]) for r in expected] == [False, True, False, True, False, True, False, True, True, False, True, True, True]
+
+
+def test_long_candidates_and_many_spans(spark):
+    """A long run, many spans of the base and of the method, and both together, against brute force."""
+    rng = random.Random(5)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(rng.choices(symbols, k=n))
+    texts = [word(100_000), "secret=abcdefghi " * 20_000, " ".join(word(24) for _ in range(5_000)), " ".join(f"token={word(30)} {word(24)}" for _ in range(4_000))]
+    assert rows_of(s.scan(documents(spark, texts))) == [scanned(i, t) for i, t in enumerate(texts, 1)]
+    assert rows_of(s.redact(documents(spark, texts)), "doc_id", "text") == [(i, redacted(t)) for i, t in enumerate(texts, 1)]
 
 
 def test_repeats_null_ids_and_empty(spark):

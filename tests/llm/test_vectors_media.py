@@ -15,11 +15,11 @@ from tests.llm.cases import TEXTS, documents, rows_of, table
 
 
 def brute(rows, k=10, every=100):
-    good = {(i, tuple(math.floor(1024 * float(np.float32(y))) for y in x)) for i, x in rows if i is not None and x and all(y is not None and math.isfinite(y) for y in x)}
+    good = [(i, tuple(max(-v.LARGEST, min(v.LARGEST, math.floor(1024 * float(np.float32(y))))) for y in x)) for i, x in rows if i is not None and x and all(y is not None and math.isfinite(y) for y in x)]
     out = []
-    for qi, q in sorted(good):
+    for at, (qi, q) in enumerate(good):
         if qi % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, x)), i) for i, x in good if i != qi and len(x) == len(q))
+            scores = sorted((-sum(a * b for a, b in zip(q, x)), i) for other, (i, x) in enumerate(good) if other != at and len(x) == len(q))
             out += [(qi, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -34,15 +34,31 @@ def test_table(spark, sf):
 
 
 def test_clusters_ties_and_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(v, "BLOCK", 64)
+    monkeypatch.setattr(v, "BLOCK", 16)
+    monkeypatch.setattr(v, "QUERIES", 2)
     monkeypatch.setattr(v, "SAMPLE", 50)
     rng = random.Random(5)
     centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(7)]
     rows = [(i, [c + rng.gauss(0, 0.02) for c in rng.choice(centres)]) for i in range(900)]
     rows += [(1000 + i, [0.5] * 6) for i in range(200)]  # ties
     rows += [(2000, None), (2001, [None] * 6), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (2100, [0.0] * 6), (2200, []), (2300, [1.0, 2.0]), (2301, [1.0, 3.0]), (-100, [9.0] * 6), (2400, [1e4] * 6)]
-    rows += [rows[3], rows[3]]
-    assert rows_of(v.top_k(vectors(spark, rows).repartition(7))) == brute(rows)
+    rows += [rows[3], rows[3], rows[0], rows[0], (200, [1.0] * 6), (2500, [3e38] * 6), (2501, [-3e38] * 6)]
+    shares = []
+    assert rows_of(v.top_k(vectors(spark, rows).repartition(7), shares=shares)) == brute(rows)
+    assert len(shares) == 2 and shares[1] < 1
+
+
+def test_waves_leave_far_annuli_out(spark, monkeypatch):
+    """On clusters most vectors are never compared; on uniform directions in many dimensions no bound helps."""
+    monkeypatch.setattr(v, "BLOCK", 32)
+    monkeypatch.setattr(v, "SAMPLE", 200)
+    rng = np.random.default_rng(2)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()
+    centres = rng.normal(size=(40, 16))
+    rows = list(enumerate(unit(centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16)))))
+    shares = []
+    assert rows_of(v.top_k(vectors(spark, rows), shares=shares)) == brute(rows)
+    assert shares[0] < 0.25
 
 
 def test_few_and_none(spark):

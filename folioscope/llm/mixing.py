@@ -95,7 +95,8 @@ def settle_large(units: DataFrame, seed: int, large: int) -> tuple[DataFrame, Da
     A document of more than ``1 / large`` of its source's words would leave a large
     rest when it meets single small ones. So the largest, in turn, go up or down at
     random, and all documents still open give or take the difference in proportion,
-    which keeps expectations and words. Fewer than ``large`` rows of a source are
+    which keeps words, and expectations where both directions are open; where the rest of
+    a source can take the difference in one direction only, that one is taken. Fewer than ``large`` rows of a source are
     that large. Returns the settled rows with ``up``, and the open ones with their new fraction.
     """
     kind = units.schema["id"].dataType.simpleString()
@@ -132,7 +133,7 @@ def settle_large(units: DataFrame, seed: int, large: int) -> tuple[DataFrame, Da
 def round_fractions(units: DataFrame, seed: int = SEED, group: int = GROUP, fan_in: int = FAN_IN, large: int = LARGE) -> DataFrame:
     """``(source, id, words, up)`` for rows of ``(source, id, words, fraction)`` with words > 0 and 0 < fraction < 1.
 
-    All rows of a source have one fraction. A source's sum of words times ``up`` (0 or
+    All rows of a source have one fraction. The last residual of a source goes to the nearer whole number. A source's sum of words times ``up`` (0 or
     1) misses that of words times fraction by at most half the words of one document,
     which isn't one of its largest unless it has few.
     """
@@ -182,12 +183,12 @@ def plan_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.join(goals, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumns({"sure": F.floor(share + 1e-12), "fraction": F.greatest(share - F.floor(share + 1e-12), F.lit(0.0))})
     units = materialize(units, "units")
-    open_units = units.where("fraction > 0 and size > 0").select("source", "id", (F.col("size") * F.col("rows")).alias("words"), "fraction")
-    drawn = round_fractions(open_units, seed).select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("words").alias("__w"), "up")
-    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("id").eqNullSafe(F.col("__i")) & (F.col("size") * F.col("rows") == F.col("__w"))
+    key = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("n")), F.lit(":"), F.col("size").cast("string"))
+    open_units = units.where("fraction > 0 and size > 0").select("source", key.alias("id"), (F.col("size") * F.col("rows")).alias("words"), "fraction")
+    drawn = round_fractions(open_units, seed).select(F.col("source").alias("__s"), F.col("id").alias("__i"), "up")
+    same = F.col("source").eqNullSafe(F.col("__s")) & (key == F.col("__i"))
     copies = (F.col("sure") + F.coalesce("up", F.lit(0))).cast("int")
-    # equal words can also come from another split in size and rows, which has a row of its own in units
-    return units.join(drawn.dropDuplicates(["__s", "__i", "__w"]), same, "left").select("id", "source", "size", "source_size", "target", copies.alias("copies"), "rows")
+    return units.join(drawn, same, "left").select("id", "source", "size", "source_size", "target", copies.alias("copies"), "rows")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -197,7 +198,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed rows of ``docs``, all columns, each repeated as often as drawn."""
+    """The mixed rows of ``docs``, all columns, each repeated as often as drawn.
+
+    Rows alike in id, source and size are drawn as one; null ids and sources are values
+    like others; a text without words comes as often as all of its source do for certain; an empty table gives no rows.
+    """
     plan = plan_copies(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     of = lambda c: F.col(f"row.`{c}`")
     same = of(id_col).eqNullSafe(F.col("__id")) & of(source_col).cast("string").eqNullSafe(F.col("__source")) & (word_count(of(text_col)) == F.col("__size"))

@@ -111,8 +111,8 @@ def store(payload: bytes) -> bytes:
     text = b"\0payload\0" + b"%d:%d" % (len(payload), zlib.crc32(payload))
     tag = b"TXXX" + struct.pack(">IH", len(text), 0) + text
     size = len(tag)
-    syncsafe = bytes([size >> 21 & 127, size >> 14 & 127, size >> 7 & 127, size & 127])
-    return b"ID3\x03\0\0" + syncsafe + tag + head + table + bytes(length - len(head) - len(table)) + frames
+    size7 = bytes([size >> 21 & 127, size >> 14 & 127, size >> 7 & 127, size & 127])
+    return b"ID3\x03\0\0" + size7 + tag + head + table + bytes(length - len(head) - len(table)) + frames
 
 
 @dataclass
@@ -129,21 +129,106 @@ class Stream:
     payload: bytes = b""
 
 
+#: Text encodings of ID3v2 by their first byte (fixed values of the format).
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def syncsafe(data: bytes) -> int:
+    """Four bytes of seven bits each."""
+    return sum(x << 7 * k for k, x in enumerate(reversed(data)))
+
+
+def tag_text(body: bytes) -> list[str]:
+    """The strings of a text frame, in the encoding that its first byte names."""
+    kind = ENCODINGS[body[0]] if body and body[0] < len(ENCODINGS) else "latin-1"
+    wide = kind.startswith("utf-16")
+    data = body[1:]
+    end = b"\0\0" if wide else b"\0"
+    parts, at = [], 0
+    while at <= len(data):
+        stop = data.find(end, at)
+        while wide and stop >= 0 and (stop - at) % 2:
+            stop = data.find(end, stop + 1)
+        stop = len(data) if stop < 0 else stop
+        parts.append(data[at:stop].decode(kind, "replace"))
+        at = stop + len(end)
+    return parts
+
+
 def read_tags(data: bytes, out: Stream) -> int:
-    """Parse the ID3v2 tag; the position behind it."""
+    """Parse the ID3v2 tag (versions 2.3 and 2.4); the position behind it."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    s = data[6:10]
-    end = 10 + (s[0] << 21 | s[1] << 14 | s[2] << 7 | s[3])
-    at = 10
-    while at + 10 <= end and data[at : at + 1].isalnum():
-        name = data[at : at + 4].decode("latin-1")
-        size = int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(end, at + 10 + size)]
-        key, _, value = body[1:].decode("latin-1").partition("\0") if name == "TXXX" else (name, "", body[1:].decode("latin-1"))
-        out.tags[key] = value.rstrip("\0")
+    version, flags = data[3], data[5]
+    end = 10 + syncsafe(data[6:10])
+    whole = data[10:end]
+    if flags & 0x80 and version < 4:  # a zero byte was put behind each 0xFF
+        whole = whole.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40:  # version 2.4 counts the extended header's own size, 2.3 doesn't
+        at = syncsafe(whole[:4]) if version >= 4 else 4 + int.from_bytes(whole[:4], "big")
+    while at + 10 <= len(whole) and whole[at : at + 4].isalnum():
+        name = whole[at : at + 4].decode("latin-1")
+        size = syncsafe(whole[at + 4 : at + 8]) if version >= 4 else int.from_bytes(whole[at + 4 : at + 8], "big")
+        body = whole[at + 10 : at + 10 + size]
+        if name[0] == "T":
+            first, *more = tag_text(body)
+            key, value = (first, more[0] if more else "") if name == "TXXX" else (name, first)
+            out.tags[key] = value
         at += 10 + size
-    return min(end, len(data))
+    return min(end + (10 if flags & 0x10 and version >= 4 else 0), len(data))
+
+
+#: Fields of the 128 bytes of an ID3v1 tag behind its first three (fixed values of the format).
+ID3V1 = (("title", 30), ("artist", 30), ("album", 30), ("year", 4), ("comment", 30))
+
+
+def read_last_tag(data: bytes, out: Stream) -> None:
+    at = 3
+    for name, size in ID3V1:
+        value = data[at : at + size].split(b"\0")[0].decode("latin-1").strip()
+        if value:
+            out.tags.setdefault(name, value)
+        at += size
+
+
+def allocation_widths(head: Header, mode: int) -> list[int]:
+    """Bits of the allocation field of each subband (fixed values of the format)."""
+    if head.layer == 1:
+        return [4] * 32
+    if head.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    bits = head.length * head.rate // 144_000 // (1 if mode == 3 else 2)  # about kbit/s for each channel
+    if head.rate != 48_000 and bits >= 95:
+        return [4] * 11 + [3] * 12 + [2] * 7
+    if bits >= 55:
+        return [4] * 11 + [3] * 12 + [2] * 4
+    return [4] * 2 + [3] * (10 if head.rate == 32_000 else 6)
+
+
+def protected_bits(frame: bytes, head: Header) -> str:
+    """What a frame's checksum covers, as binary digits, in layers I and II: the header's
+    last two bytes, then the allocation and in layer II the scale factor selection."""
+    header = f"{int.from_bytes(frame[2:4], 'big'):016b}"
+    mode, extension = frame[3] >> 6, frame[3] >> 4 & 3
+    channels, joint = (1 if mode == 3 else 2), (4 * (extension + 1) if mode == 1 else 32)
+    digits = "".join(f"{x:08b}" for x in frame[HEAD : HEAD + 96])
+    at = selected = 0
+    for band, width in enumerate(allocation_widths(head, mode)):
+        for _ in range(channels if band < joint else 1):
+            used = "1" in digits[at : at + width]
+            selected += used * (1 if band < joint else channels)
+            at += width
+    return header + digits[: at + (2 * selected if head.layer == 2 else 0)]
+
+
+def bits_crc(digits: str) -> int:
+    """``crc16`` of binary digits, of which there may be a broken byte."""
+    whole = len(digits) // 8 * 8
+    crc = crc16(int(digits[:whole], 2).to_bytes(whole // 8, "big"))
+    for x in digits[whole:]:
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ int(x)) & 1 else crc << 1) & 0xFFFF
+    return crc
 
 
 def read_table(frame: bytes, head: Header) -> dict[str, int] | None:
@@ -167,7 +252,10 @@ def inspect(data: bytes) -> Stream:
     """Walk the stream frame by frame. Empty or foreign data give a stream without frames."""
     out = Stream()
     at = read_tags(data, out)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else len(data)
+    end = len(data)
+    if data[-128:-125] == b"TAG" and end - 128 >= at:
+        end -= 128
+        read_last_tag(data[end:], out)
     body, synced = [], False
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
@@ -182,10 +270,12 @@ def inspect(data: bytes) -> Stream:
             continue
         synced = True
         begin = at + 4
-        if head.protected and head.layer == 3:
+        if head.protected:
             out.checked += 1
             begin = at + HEAD
-            out.broken += crc16(data[at + 2 : at + 4] + data[begin : begin + head.side]) != int.from_bytes(data[at + 4 : begin], "big")
+            whole = head.layer == 3  # its covered part is whole bytes, whose checksum is remembered
+            crc = crc16(data[at + 2 : at + 4] + data[begin : begin + head.side]) if whole else bits_crc(protected_bits(data[at : at + head.length], head))
+            out.broken += crc != int.from_bytes(data[at + 4 : begin], "big")
         table = read_table(data[at : at + head.length], head) if not out.offsets and out.table is None else None
         if table is not None:
             out.table = table
@@ -266,14 +356,14 @@ def media_digest(docs: DataFrame) -> DataFrame:
                     p = payload_of(s)
                     (rate, samples), *_ = s.samples.items()
                     feature = f"mpeg1-l3 {rate} Hz; {samples}/{rate} s; {len(s.offsets)} frames of {s.table['frames']}; crc {s.checked - s.broken}/{s.checked}; first {s.offsets[0]}; last {s.offsets[-1]}"
-                    rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                    rows.append((n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, samples / rate, s.offsets))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "seek_offsets"]
                 yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     stored = materialize(store_texts(docs), "media", compression="zstd")
     kind = stored.schema["doc_id"].dataType.simpleString()
     return stored.mapInArrow(
         digest,
-        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, seek_offsets array<long>",
     )

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Memo, as_row, id_text, materialize, slices
@@ -39,6 +39,8 @@ BAND_RATIOS, LEAST_SUBSET, PREFIX_COST = (1.12, 1.25, 1.5), 3.0, 50.0
 SAMPLE, LEAST_HOLDERS, FREQUENT = 4_000, 8, 100_000
 #: Bounds of what one comparing task holds: sets, and elements of them.
 BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 1_000_000
+#: Rows of a table of large groups that is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
 #: Index keys that a task combines before it passes them on.
 COMBINE = 1_000_000
 
@@ -346,7 +348,7 @@ def compare(sets: list[np.ndarray], sides: list[int], cross: bool, num: int, den
     held = np.bincount(element)
     ends = np.cumsum(held)
     del element, order
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n))  # whole numbers stay exact up to 2**53
     for size in range(2, 9):  # pairs of an element's holders, where they are few
         of = holder[(ends[held == size] - size)[:, None] + np.arange(size)].astype(np.int64)
         for i in range(size):
@@ -359,7 +361,7 @@ def compare(sets: list[np.ndarray], sides: list[int], cross: bool, num: int, den
         x = np.zeros((n, len(part)), np.float32)
         for k, (end, count) in enumerate(zip(ends[part].tolist(), held[part].tolist())):
             x[holder[end - count : end], k] = 1
-        common += x @ x.T
+        common += x @ x.T  # at most 2,048 elements at a time, exact in 32 bits too
     sizes = np.array([len(s) for s in sets], np.int64)
     for i in range(n):
         o = np.rint(common[i, i + 1 :]).astype(np.int64)
@@ -410,22 +412,45 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
+def class_bounds(num: int, den: int, largest: int = 1 << 40) -> list[int]:
+    """First size of each size class: sets of one class link with none beyond the next class."""
+    bounds = [1, 2]
+    while bounds[-1] < largest:
+        bounds.append(den * (bounds[-1] - 1) // num + 1)
+        if bounds[-1] == bounds[-2]:
+            bounds[-1] += 1
+        if num == den and len(bounds) > 2:
+            return []
+    return bounds
+
+
+def size_class(n: Column, num: int, den: int) -> Column:
+    """The class of a size, by whole numbers; with equal sizes alone linking, the size itself."""
+    bounds = class_bounds(num, den)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= n)) if bounds else n.cast("int")
+
+
+def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, a written table, to be broadcast if it has few rows; else it is joined by a shuffle."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def join_classes(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(node, label)`` of all sets that link with another one."""
     classes = sets.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"))
     frequent = frequent_elements(docs, words, sets.count())
     near = components(candidate_links(index_rows(docs, words, num, den, frequent)))
     members = materialize(classes.join(near, "node").withColumnRenamed("label", "group"), "candidates")
-    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
-    small = (F.col("sets") <= BLOCK_SETS) & (F.col("elements") <= BLOCK_ELEMENTS)
     # sets of a larger group meet those of the same or the next size class, part by part
-    step = math.log(den / num) if den > num else 1.0
-    classed = members.join(sizes, "group").withColumn("size_class", F.when(small, 0).otherwise(F.floor(F.log("n") / step)).cast("int")).drop("sets", "elements")
-    classes_of = classed.groupBy("group", "size_class").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("parts"))
-    classes_of = materialize(classes_of, "size-classes")
-    upper = classes_of.select("group", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("upper_parts"))
-    lower = classes_of.select("group", (F.col("size_class") + 1).alias("size_class"), F.col("parts").alias("lower_parts"))
-    placed = classed.join(classes_of, ["group", "size_class"]).join(upper, ["group", "size_class"], "left").join(lower, ["group", "size_class"], "left")
+    many = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).where((F.col("sets") > BLOCK_SETS) | (F.col("elements") > BLOCK_ELEMENTS))
+    many = materialize(many.select("group", F.lit(True).alias("large")), "large-groups")
+    placed = members.join(checked_broadcast(many), "group", "left").withColumn("size_class", F.when(F.col("large"), size_class(F.col("n"), num, den)).otherwise(0)).drop("large")
+    of_large = placed.join(checked_broadcast(many), "group", "left_semi").groupBy("group", "size_class")
+    of_large = materialize(of_large.agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("parts")), "size-classes")
+    upper = of_large.select("group", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("upper_parts"))
+    lower = of_large.select("group", (F.col("size_class") + 1).alias("size_class"), F.col("parts").alias("lower_parts"))
+    neighbours = materialize(of_large.join(upper, ["group", "size_class"], "left").join(lower, ["group", "size_class"], "left"), "size-classes")
+    placed = placed.join(checked_broadcast(neighbours), ["group", "size_class"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     texts = wanted_texts(docs, placed.select("id", "node", "group", "size_class", part.alias("part"), "parts", "upper_parts", "lower_parts"))
     own, at = F.struct("size_class", "part"), F.col("size_class")

@@ -4,7 +4,8 @@ Grades are ordered: ``P(grade > k) = sigmoid(w.x - t_k)`` with one weight vector
 for all thresholds ``t_k``. A text's features are its distinct words, word
 beginnings, and beginnings that several of its words share, as one word may begin
 like an inflected stem by chance; only those that toxic labelled documents hold far more often enter
-the model. The score is the expected grade, the sum of ``P(grade > k)``.
+the model. The score is the expected grade, the sum of ``P(grade > k)``; with labels
+of 0 and 1 there is one threshold and it is the probability of being toxic.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SAMPLE, FEATURES = 12_000, 4_096
 PREFIXES = (4, 5, 6)
 LEAST_DOCUMENTS, LEAST_LOG_ODDS = 4, 2.0
 #: Documents of this expected grade and more are rejected.
-REJECT = 0.6
+REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -117,28 +118,28 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, lev
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> Model:
-    """A model from rows of ``(id, text, toxic)``; rows with a null label take no part.
+    """A model from rows of ``(id, text, toxic)``, where ``toxic`` is the grade: 0, 1, and more if the labels have more.
 
-    It reads at most ``sample`` rows, the first by hash of the id. Toxic rows that
-    hold more of the chosen features than the middle one are grade 2, the others
-    grade 1. Without toxic rows the model gives every text a grade near 0.
+    Rows with a null label take no part, negative grades are 0, and rows that agree in id
+    and text are one of the highest grade. It reads at most ``sample`` of these, the first by hash. The
+    thresholds are as many as the highest grade. Without graded rows the model gives every text a grade near 0.
     """
-    rows = labelled.where("toxic is not null").select("id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("grade"))
-    first = rows.orderBy(F.xxhash64("id", "text"), "id").limit(sample)
+    rows = labelled.where("toxic is not null").select("id", F.coalesce("text", F.lit("")).alias("text"), F.greatest(F.lit(0), F.col("toxic").cast("int")).alias("grade"), F.xxhash64("id", "text").alias("__h"))
+    last = rows.select("__h").distinct().orderBy("__h").limit(sample).agg(F.max("__h")).first()[0]
+    first = rows.where(F.col("__h") <= F.lit(last)).groupBy("__h").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.max("grade").alias("grade"))
     features = materialize(text_features(first), "toxicity-sample")
-    n1, n0 = features.agg(F.coalesce(F.sum("grade"), F.lit(0)), F.coalesce(F.sum(1 - F.col("grade")), F.lit(0))).first()
-    found = features.select("grade", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("grade").alias("toxic"), F.sum(1 - F.col("grade")).alias("clean"))
+    graded = (F.col("grade") > 0).cast("int")
+    levels, n1, n0 = features.agg(F.coalesce(F.max("grade"), F.lit(0)), F.coalesce(F.sum(graded), F.lit(0)), F.coalesce(F.sum(1 - graded), F.lit(0))).first()
+    found = features.select(graded.alias("toxic"), F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.1) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     best = found.where(f"toxic >= {LEAST_DOCUMENTS}").withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
     chosen = [r.feature for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(n_features).select("feature").collect()]
     if not chosen or not n0:
-        return Model({}, (10.0, 11.0))
+        return Model({}, (10.0,))
     number = {f: i for i, f in enumerate(chosen)}
     kept = features.select("grade", F.array_intersect("features", F.array(*map(F.lit, chosen))).alias("features"))
     sets = sorted((r.grade, sorted(number[f] for f in r.features)) for r in kept.collect())
-    middle = float(np.median([len(f) for g, f in sets if g]))
-    grades = np.array([g + (g > 0 and len(f) > middle) for g, f in sets], np.int64)
-    w, t = fit_ordinal([np.array(f, np.int64) for _, f in sets], grades, len(chosen), 2)
+    w, t = fit_ordinal([np.array(f, np.int64) for _, f in sets], np.array([g for g, _ in sets], np.int64), len(chosen), levels)
     return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-6}, tuple(map(float, t)))
 
 
@@ -188,7 +189,8 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
 
 
 def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, all columns."""
+    """The rows of ``docs`` that the model doesn't reject, all columns, row by row: repeated rows share their
+    fate, null and empty texts count as without features, an empty table gives no rows, a severity of just ``reject`` goes."""
     columns = docs.columns
     weights = tuple(sorted(model.weights.items()))
     at = columns.index(text_col)
@@ -203,7 +205,8 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT, text_col:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(id, text, toxic)`` of the documents that have a label."""
+    """``(id, text, toxic)`` of the documents that have a label, row by row (null text: empty); null ids and
+    labels take no part, and of an id's labels the highest counts."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     return id_text(docs, "doc_id", "text").join(marks, "id")
 
@@ -214,5 +217,6 @@ def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled sample, then grade every document."""
+    """Fit on the labelled sample, then grade every document; see ``score`` for nulls, repeats and empty tables.
+    Without labels nothing is rejected."""
     return score(docs, fit(labelled_documents(docs, sample_labels(labels))))

@@ -63,6 +63,15 @@ def test_reruns_agree(spark, sf):
     assert rows_of(x.mix_report(docs)) == rows_of(x.mix_report(docs.repartition(7).orderBy(F.rand(3))))
 
 
+def test_rows_of_one_id_with_equal_words(spark):
+    """Two rows of size 10 and one of size 20 share id, source and words, and are drawn apart: reruns agree."""
+    texts = [t for k in range(40) for t in ("w " * 10, "w " * 10, "w " * 20)]
+    docs = documents(spark, texts, ids=[k // 3 for k in range(120)], sources=("s",))
+    first = rows_of(x.mix_report(docs))
+    assert len(first) == 120 and len({r[:2] for r in first}) == 80
+    assert all(rows_of(x.mix_report(docs.repartition(n).orderBy(F.rand(n)))) == first for n in (3, 5))
+
+
 def test_hot_source_in_many_groups(spark, monkeypatch):
     monkeypatch.setattr(x.round_fractions, "__defaults__", (x.SEED, 20, 3, x.LARGE))
     rng = random.Random(2)

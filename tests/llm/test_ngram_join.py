@@ -72,6 +72,27 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert rows_of(j.near_duplicates(documents(spark, texts))) == brute(list(enumerate(texts, 1)))
 
 
+@pytest.mark.parametrize("num,den", [(1, 3), (1, 10)])
+def test_large_groups_of_far_sizes(spark, monkeypatch, num, den):
+    """Sets of sizes at the very end of what may link, above the block size."""
+    monkeypatch.setattr(j, "BLOCK_SETS", 4)
+    words = [f"w{i}" for i in range(500)]
+    sizes = sorted({min(500, max(1, n * den // num)) for n in (1, 3, 9, 27, 33, 50, 81, 100)} | {1, 3, 9, 27, 33, 50, 81, 100, 243, 300})
+    texts = [" ".join(words[:n]) for n in sizes] + near_copies(5, 40, 60)
+    assert rows_of(j.near_duplicates(documents(spark, texts), 1, num, den)) == brute(list(enumerate(texts, 1)), 1, num, den)
+
+
+@pytest.mark.parametrize("num,den", [(1, 3), (1, 10), (4, 5), (90, 100), (99, 100), (1, 1)])
+def test_classes_part_no_link(num, den):
+    bounds = j.class_bounds(num, den, 300_000)
+    if num == den:
+        assert bounds == []
+        return
+    at = np.searchsorted(bounds, np.arange(1, 200_001), "right")
+    largest = np.minimum(np.arange(1, 200_001) * den // num, 200_000)
+    assert (at[largest - 1] - at <= 1).all() and (np.diff(bounds) > 0).all()
+
+
 def test_edges(spark):
     found = rows_of(j.near_duplicates(documents(spark, extra=True)))
     assert found == brute(list(enumerate(TEXTS, 1)))

@@ -1,6 +1,7 @@
 """Toxicity by held-out labels, and the pipeline stage by stage."""
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def test_ordinal_fit_orders_grades():
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    even, odd = (labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k) for k in (0, 1))
+    even, odd = (labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == k) for k in (0, 1))  # no choice was made on this split
     scored = t.score(docs, t.fit(t.labelled_documents(docs, even)))
     held = scored.join(odd.where("toxic is not null"), "doc_id").select("rejected", "toxic").collect()
     toxic = [r.rejected for r in held if r.toxic]
@@ -37,6 +38,38 @@ def test_held_out_labels(spark):
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def test_grades_of_more_than_two_levels(spark):
+    """Labels with grades 0, 1 and 2 give two thresholds and severities in their order; severities agree with brute force."""
+    rng = np.random.default_rng(4)
+    plain, mild, severe = ([f"{name}{''.join(chr(97 + c) for c in rng.integers(0, 26, 6))}" for _ in range(n)] for name, n in (("plain", 60), ("mild", 6), ("severe", 6)))
+    rows, labels = [], []
+    for i in range(900):
+        grade = int(rng.choice([0, 0, 0, 1, 2]))
+        words = list(rng.choice(plain, 30)) + list(rng.choice(mild, 2 * (grade > 0))) + list(rng.choice(severe, 2 * (grade > 1)))
+        rows.append((i, " ".join(rng.permutation(words)), "en", "s", 0))
+        labels.append((i, grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = t.fit(t.labelled_documents(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int")))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    found = {r.doc_id: r for r in t.score(docs, model).collect()}
+    for i, text, *_ in rows:
+        total = sum(model.weights.get(k, 0.0) for k in t.text_keys(set(text.split())))
+        assert abs(found[i].severity - sum(1 / (1 + np.exp(x - total)) for x in model.thresholds)) < 1e-9
+        assert found[i].rejected == (found[i].severity >= t.REJECT)
+    of = lambda g: [found[i].severity for i, x in labels[600:] if x == g]
+    assert np.mean(of(0)) < 0.2 and 0.7 < np.mean(of(1)) < 1.3 < 1.6 < np.mean(of(2))
+
+
+def test_scores_of_the_table(spark, sf):
+    """Each document's severity against the model's formula over its whole text."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = t.fit(t.labelled_documents(docs, labels))
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    for r in t.score(docs, model).collect():
+        total = sum(model.weights.get(k, 0.0) for k in t.text_keys(set(re.findall(r"[^\W\d_]+", texts[r.doc_id].lower()))))
+        assert abs(r.severity - sum(1 / (1 + np.exp(x - total)) for x in model.thresholds)) < 1e-9
+
+
 def test_edges(spark):
     docs = documents(spark, extra=True)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0), (99, 1)], "doc_id long, toxic int")

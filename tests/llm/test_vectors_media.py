@@ -75,6 +75,7 @@ def test_store_round_trip_and_features(spark):
         assert row[1:5] == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = m.store(payload)
         assert row[5:7] == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert row[9] == m.inspect(stored).offsets and row[8] == 1152 * len(row[9]) / 32_000
     same = [r[1:] for r, t in zip(found, TEXTS) if t == "same text here"]
     assert len(same) == 2 and same[0] == same[1]
     assert m.media_digest(documents(spark, [])).collect() == []
@@ -133,3 +134,47 @@ def test_inspect_column(spark):
     found = {r.clip: r for r in m.inspect_media(df, "clip").collect()}
     assert [found[i].frames for i in (1, 2, 3, 4)] == [1, 0, 0, 0]
     assert found[1].duration_s == 1152 / 32000 and len(found[1].seek_offsets) == 1 and found[1].crc_checked == 2 and found[4].skipped_bytes >= 1
+
+
+def test_tags_of_all_versions():
+    def frame(name, body, safe):
+        n = len(body)
+        return name + (bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) if safe else struct.pack(">I", n)) + bytes(2) + body
+
+    def tag(version, flags, data):
+        n = len(data)
+        return b"ID3" + bytes([version, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + data
+
+    long = "é" * 150  # more than 127 bytes, where the two ways to count differ
+    utf16, utf8 = b"\x01" + long.encode("utf-16"), b"\x03" + long.encode()
+    text = b"\x01" + "键".encode("utf-16") + b"\0\0" + "值".encode("utf-16")
+    old = tag(3, 0, frame(b"TIT2", utf16, False) + frame(b"TXXX", text, False) + bytes(20))
+    new = tag(4, 0x40, bytes([0, 0, 0, 6, 1, 0]) + frame(b"TIT2", utf8, True) + frame(b"TPE1", b"\x02" + "x".encode("utf-16-be"), True))
+    audio = m.store(bytes(64))
+    last = b"TAG" + b"Name".ljust(30, b"\0") + b"Who".ljust(30) + bytes(30) + b"1999" + bytes(31)
+    for head, expected in ((old, {"TIT2": long, "键": "值"}), (new, {"TIT2": long, "TPE1": "x"})):
+        found = m.inspect(head + audio[10 + m.syncsafe(audio[6:10]) :] + last)
+        assert found.tags == expected | {"title": "Name", "artist": "Who", "year": "1999"}
+        assert len(found.offsets) == 1 and found.skipped == 0 and found.broken == 0
+
+
+@pytest.mark.parametrize("second,third,fourth,covered", [
+    (0xFE, 0x10, 0xC0, 128), (0xFE, 0x40, 0x00, 256), (0xFE, 0x10, 0x50, 2 * 8 * 4 + 24 * 4),  # layer I: mono, stereo, joint from subband 8
+    (0xFC, 0x10, 0xC0, 2 * 4 + 6 * 3), (0xFC, 0xC8, 0xC0, 11 * 4 + 12 * 3 + 7 * 2), (0xF4, 0x80, 0xC0, 4 * 4 + 7 * 3 + 19 * 2),  # layer II, mono: 32 kbit/s at 44.1 kHz, 256 at 32, version 2
+])
+def test_checksums_of_layers_one_and_two(second, third, fourth, covered):
+    head = m.parse_header(bytes([0xFF, second, third, fourth]))
+    assert head.protected and head.layer in (1, 2)
+    silent = bytearray(bytes([0xFF, second, third, fourth]) + bytes(head.length - 4))
+    assert len(m.protected_bits(bytes(silent), head)) == 16 + covered
+    silent[6] = 0x10  # the first subband is used: layer II has two more bits for it
+    digits = m.protected_bits(bytes(silent), head)
+    assert len(digits) == 16 + covered + 2 * (head.layer == 2)
+    crc = 0xFFFF
+    for x in digits:
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ int(x)) & 1 else crc << 1) & 0xFFFF
+    silent[4:6] = crc.to_bytes(2, "big")
+    found = m.inspect(bytes(silent) * 3)
+    assert (len(found.offsets), found.checked, found.broken) == (3, 3, 0)
+    silent[7] ^= 0x20
+    assert m.inspect(bytes(silent) * 3).broken == 3

@@ -29,7 +29,11 @@ def grant_agencies() -> Column:
 
 
 def flat_papers(raw: DataFrame) -> DataFrame:
-    """The 27 columns and ``pos``; a record whose citation count is no number is dropped."""
+    """The 27 columns and ``pos``; a record whose citation count is no number is dropped.
+
+    ``pos`` is that of ``raw`` (a page's readers give it), which doesn't depend on how files
+    are split; without one, rows are numbered as they come.
+    """
     cited = F.coalesce(F.nullif(F.col("citedByCount"), F.lit("")), F.lit("0")).try_cast("bigint")
     rows = raw.select(
         F.col("id"), _text(F.col("source")).alias("source"), _text(F.col("title")).alias("title"), _text(F.col("authorString")).alias("authorString"), journal_title().alias("journalTitle"),
@@ -38,7 +42,7 @@ def flat_papers(raw: DataFrame) -> DataFrame:
         _text(F.col("language")).alias("language"), _text(F.col("pageInfo")).alias("pageInfo"), _text(F.col("affiliation")).alias("affiliation"), mesh_terms().alias("meshTerms"), grant_agencies().alias("grants"),
         _text(F.col("bookOrReportDetails.publisher")).alias("publisher"), _text(F.col("firstPublicationDate")).alias("firstPublicationDate"),
         _yes("hasReferences").alias("hasReferences"), _yes("hasTextMinedTerms").alias("hasTextMinedTerms"), _yes("hasDbCrossReferences").alias("hasDbCrossReferences"),
-        F.monotonically_increasing_id().alias("pos"),
+        (F.col("pos") if "pos" in raw.columns else F.monotonically_increasing_id()).alias("pos"),
     )
     return rows.where("citedByCount is not null")
 

@@ -68,20 +68,19 @@ def collaboration_matrix(authorship: DataFrame, top_n: int = 10) -> DataFrame:
     return inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
 
 
-def research_groups(authorship: DataFrame, top_n: int = 10, rounds: int = 40) -> DataFrame:
+def research_groups(authorship: DataFrame, top_n: int = 10) -> DataFrame:
     """``(author, group)`` for components of two or more of the prolific authors; a group has its smallest author's name.
 
     Labels spread over the links between these authors and jump to their label's
-    label each round, until none changes.
+    label each round, until none changes; labels only fall, so that ends.
     """
     links = cut(collaboration_matrix(authorship, top_n).select("a", "b"))
     labels = cut(links.select(F.col("a").alias("author"), F.col("a").alias("group")).distinct())
-    for _ in range(rounds):
+    while True:
         near = links.join(labels.withColumnRenamed("author", "b"), "b").groupBy(F.col("a").alias("author")).agg(F.min("group").alias("near"))
         stepped = labels.join(near, "author").select("author", F.col("group").alias("before"), F.least("group", "near").alias("group"))
         jump = labels.select(F.col("author").alias("group"), F.col("group").alias("farther"))
         stepped = cut(stepped.join(jump, "group", "left").select("author", "before", F.least("group", F.coalesce("farther", "group")).alias("group")))
         labels = stepped.select("author", "group")
         if stepped.where("group <> before").isEmpty():
-            break
-    return labels
+            return labels

@@ -123,23 +123,28 @@ def collaboration_rate(papers: DataFrame) -> DataFrame:
     return one.withColumn("international_collaboration_rate", F.round(percent(F.col("multi_country_papers"), F.col("papers_with_affiliation")), 2))
 
 
+#: Wordings that name a class of licences, the first that a text holds counts.
+LICENSE_WORDS = {"public domain": "Public Domain", "publisher": "Publisher", "copyright": "Publisher", "open access": "Open Access", "creative commons": "Creative Commons (other)"}
+#: A Creative Commons code: its conditions are the parts behind "cc-by".
+LICENSE_CODE = "cc-by((?:-(?:nc|nd|sa))*)"
+
+
 def normalized_license(license: Column) -> Column:
-    """Common licence classes in a fixed order of tests; British "licence" holds "nc"."""
+    """The class of a licence: the conditions of its code, else its wording, else the text itself.
+
+    Share-alike isn't told apart. A code with fewer conditions than the rest of the
+    text seems to speak of ("nc" or "nd" anywhere) isn't trusted, but for the share-alike code's name.
+    """
     low = F.lower(trimmed(license))
-    has = lambda s: F.contains(low, F.lit(s))
-    return (
-        F.when(has("cc-by") & ~has("nc") & ~has("nd"), "CC-BY")
-        .when(has("cc-by-nc") & ~has("nd"), "CC-BY-NC")
-        .when(has("cc-by-nc-nd"), "CC-BY-NC-ND")
-        .when(has("cc-by-nd"), "CC-BY-ND")
-        .when(has("cc0"), "CC0")
-        .when(has("cc-by-sa"), "CC-BY-SA")
-        .when(has("public domain") | (low == "pd"), "Public Domain")
-        .when(has("publisher") | has("copyright"), "Publisher")
-        .when(has("open access"), "Open Access")
-        .when(has("creative commons"), "Creative Commons (other)")
-        .otherwise(F.when(trimmed(license) != "", trimmed(license)).otherwise("Unknown"))
-    )
+    parts = F.split(F.regexp_extract(low, LICENSE_CODE, 1), "-")
+    rest = F.regexp_replace(low, LICENSE_CODE, "")
+    part = lambda p: F.array_contains(parts, p)
+    doubtful = ~part("nd") & (F.contains(rest, F.lit("nd")) | (~part("nc") & F.contains(rest, F.lit("nc"))))
+    code = F.concat_ws("-", F.lit("CC-BY"), F.when(part("nc"), F.lit("NC")), F.when(part("nd"), F.lit("ND")))
+    coded = F.when(F.contains(low, F.lit("cc-by")), F.when(~doubtful, code).when(part("sa") & ~part("nc"), F.lit("CC-BY-SA")))
+    worded = F.coalesce(*(F.when(F.contains(low, F.lit(text)), F.lit(name)) for text, name in LICENSE_WORDS.items()))
+    free = F.when(F.contains(low, F.lit("cc0")), F.lit("CC0"))
+    return F.coalesce(F.when(~F.contains(low, F.lit("cc-by")) | doubtful, free), coded, F.when(low == "pd", F.lit("Public Domain")), worded, F.nullif(trimmed(license), F.lit("")), F.lit("Unknown"))
 
 
 def license_distribution(papers: DataFrame, top_n: int | None = None) -> DataFrame:

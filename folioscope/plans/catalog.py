@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import affiliation, entities, identifiers, text, vectors
 from folioscope.operators import annotations, dedupe, filters, fulltext, graph, merge, network, query_language, stats
+from folioscope.plans import services
 from folioscope.plans.views import oracle, table, view
 from folioscope.streaming import state
 
@@ -183,11 +184,8 @@ def author_sources(lineitem: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-register("merge_authors", lambda spark, d: merge.merge_authors(author_sources(table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))), """SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY n_sources DESC, seen, lower(name)) AS INTEGER) AS place, name, orcid, affiliation, n_sources FROM (SELECT l_orderkey AS paper, 'Supplier ' || l_suppkey AS name, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS orcid,
-    'Org ' || l_suppkey AS affiliation, CAST(CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_sources, min(l_linenumber) AS seen FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL)""")
-
-#: As the SQL above reads one paper in ten, this one reads all papers and has none.
-register("merge_authors_all", lambda spark, d: merge.merge_authors(author_sources(table(spark, d, "lineitem"))))
+register("merge_authors", lambda spark, d: merge.merge_authors(author_sources(table(spark, d, "lineitem"))), """SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY n_sources DESC, seen, lower(name)) AS INTEGER) AS place, name, orcid, affiliation, n_sources FROM (SELECT l_orderkey AS paper, 'Supplier ' || l_suppkey AS name, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS orcid,
+    'Org ' || l_suppkey AS affiliation, CAST(CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_sources, min(l_linenumber) AS seen FROM lineitem GROUP BY ALL)""")
 
 QUALITY = "least(1.0, 0.5 + CASE WHEN coalesce(doi, '') <> '' THEN 0.2 ELSE 0.0 END + CASE WHEN title <> '' THEN 0.1 ELSE 0.0 END + CASE WHEN citedByCount > 0 THEN 0.1 ELSE 0.0 END)"
 
@@ -202,17 +200,9 @@ URI = "CASE WHEN coalesce(doi, '') <> '' THEN 'https://example.org/kg/doi/' || d
 MELT = " UNION ".join(f"SELECT {URI} AS s, '{graph.iri(p)}' AS p, CAST({c} AS VARCHAR) AS o, 'literal' AS o_kind, '{graph.iri(t)}' AS o_datatype, 'publications' AS g FROM papers WHERE CAST({c} AS VARCHAR) <> ''" for c, (p, t) in graph.PAPER_FIELDS.items())
 register("triples_melt", on("papers", graph.paper_triples), f"SELECT * FROM ({MELT})", "papers")
 register("coauthor_edges", on("net_authors", lambda n: graph.collaboration_links(n).select("s", "p", "o")), f"SELECT DISTINCT 'https://example.org/kg/author/' || a.author AS s, '{graph.iri('foaf:knows')}' AS p, 'https://example.org/kg/author/' || b.author AS o FROM net_authors a JOIN net_authors b ON a.paper = b.paper AND a.author <> b.author", "net_authors")
-#: The SQL of the network queries reads one paper in ten, and they follow it; these read all papers.
-WHOLE_NETWORK = {
-    "coauthor_pairs": network.collaboration_pairs, "degree_centrality": network.degree_centrality, "core_researchers": network.core_researchers,
-    "collaboration_matrix": lambda n: network.collaboration_matrix(n, 40), "research_groups": lambda n: network.research_groups(n, 40),
-    "coauthor_edges": lambda n: graph.collaboration_links(n).select("s", "p", "o"),
-}
-for name, whole in WHOLE_NETWORK.items():
-    register(f"{name}_all", on("net_authors_all", whole))
 register("citation_edges", on("citations", lambda c: graph.citation_links(c).select("s", "p", "o")), "".join(f"{' UNION ' if i else ''}SELECT 'https://example.org/kg/paper/' || {s} AS s, '{graph.iri(p)}' AS p, 'https://example.org/kg/paper/' || {o} AS o FROM citations" for i, (s, p, o) in enumerate((("src", "cito:cites", "dst"), ("dst", "cito:isCitedBy", "src")))), "citations")
 register("shacl_max1", on("papers", lambda p: graph.too_many_values(graph.paper_triples(p), {"dcterms:title": 1, "dcterms:issued": 2})), f"SELECT s, p, count(*) AS n FROM ({MELT}) WHERE p IN ('{graph.iri('dcterms:title')}', '{graph.iri('dcterms:issued')}') GROUP BY 1, 2 HAVING count(*) > CASE WHEN p = '{graph.iri('dcterms:title')}' THEN 1 ELSE 2 END", "papers")
-register("n_quads", on("papers", lambda p: graph.n_quads(graph.paper_triples(p))))
+register("n_quads", on("papers", lambda p: graph.n_quads(graph.paper_triples(p))), f"SELECT '<' || s || '> <' || p || '> \"' || o || '\"^^<' || o_datatype || '> <https://example.org/kg/graph/publications> .' AS value FROM ({MELT})", "papers")
 register("institution_members", on("papers", lambda p: graph.institution_members(p.select(F.col("id").alias("author"), "affiliation"))), "SELECT 'https://example.org/kg/org/' || sha256(affiliation)[1:16] AS org, affiliation AS name, count(DISTINCT id) AS members FROM papers WHERE affiliation <> '' GROUP BY affiliation", "papers")
 
 
@@ -260,7 +250,9 @@ def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 50).cast("string").alias("article"), F.when(F.col("k") % 5 == 0, "Sentence").otherwise("Entity").alias("type"), F.concat(F.lit("x"), (F.col("k") % 7).cast("string")).alias("exact"), none.alias("prefix"), none.alias("postfix"), F.lit("Body").alias("section"), F.col("event_type").alias("provider"), F.when(F.col("k") % 2 == 0, "t").alias("target"), F.when(F.col("k") % 4 == 0, "treats").alias("relation"), tags.alias("tags"))
 
 
-register("annotation_entities", lambda spark, d: annotations.entities(annotation_rows(spark, d)))
+register("annotation_entities", lambda spark, d: annotations.entities(annotation_rows(spark, d)), """SELECT article, entity_id, entity_name, entity_type, exact, 'Body' AS section, arg_min(event_type, pos * 2 + tag_pos) AS provider, min(pos) AS pos FROM (
+    SELECT event_id AS pos, n AS tag_pos, CAST(user_id % 50 AS VARCHAR) AS article, 'x' || k % 7 AS exact, event_type, CASE WHEN k % 3 < 2 THEN 'http://identifiers.org/' || event_type || '/' || (k + n) ELSE 'entity:' || sha256(concat_ws('|', CAST(user_id % 50 AS VARCHAR), 'x' || k % 7, kind))[1:16] END AS entity_id,
+    CASE WHEN k % 3 < 2 THEN 'n' || (k + n) ELSE 'x' || k % 7 END AS entity_name, kind AS entity_type FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 'Sentence' ELSE 'Entity' END AS kind FROM api_log), range(2) AS r(n) WHERE n = 0 OR k % 3 = 0) GROUP BY article, entity_id, entity_name, entity_type, exact""", "api_log")
 register("annotation_sentences", lambda spark, d: annotations.sentences(annotation_rows(spark, d)), "SELECT event_id AS pos, CAST(user_id % 50 AS VARCHAR) AS article, 'x' || k % 7 AS sentence, 'Body' AS section, event_type AS provider FROM api_log WHERE k % 5 = 0 AND k % 2 = 0", "api_log")
 register("annotation_relationships", lambda spark, d: annotations.relationships(annotation_rows(spark, d)), "SELECT event_id AS pos, CAST(user_id % 50 AS VARCHAR) AS article, 'n' || k AS subject, 'treats' AS predicate, 'n' || (k + 1) AS object FROM api_log WHERE k % 3 = 0 AND k % 4 = 0", "api_log")
 
@@ -277,11 +269,26 @@ def jats(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("section_rows", lambda spark, d: fulltext.child(jats(spark, d), "sections").select("paper_id", F.col("pos").cast("int").alias("pos"), "title"), "SELECT doc_id AS paper_id, CAST(unnest(range(len(string_split(abstract, chr(10))))) AS INTEGER) AS pos, 'S' || pos AS title FROM docs", "docs")
 register("tag_frequencies", lambda spark, d: fulltext.tag_frequencies(jats(spark, d)))
 register("rate_window_1s", on("api_log", lambda e: state.rate_windows(e, 2, 1)), "SELECT date_trunc('second', ts) AS start, count(*) AS requests, count(*) >= 1.6 AS warned, count(*) > 2 AS exceeded FROM api_log GROUP BY 1", "api_log")
-register("cache_hit_rate", on("api_log", lambda e: rounded(state.hit_rates(state.cache_hits(e, "user_id", 86400), "event_type"), "hit_rate")), """SELECT event_type, count(*) AS reads, count(*) FILTER (hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM (SELECT event_type, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 86400000000, false) AS hit FROM api_log) GROUP BY 1""", "api_log")
-#: The SQL above approximates by the gap to the event before, and its query follows it; this one follows each key's writes.
-register("cache_hit_rate_exact", on("api_log", lambda e: rounded(state.hit_rates(state.exact_cache_hits(e.select("event_id", "ts", "user_id", "event_type"), "user_id", 86400), "event_type"), "hit_rate")))
+#: A key's first event misses, and so does its first one later than the time to live after the miss before.
+MISSES = """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS moment FROM api_log WHERE ts IS NOT NULL),
+    m AS (SELECT user_id, min(moment) AS moment FROM e GROUP BY user_id UNION ALL SELECT m.user_id, min(e.moment) FROM m JOIN e ON e.user_id = m.user_id AND e.moment > m.moment + 86400000000 GROUP BY m.user_id, m.moment),
+    f AS (SELECT e.user_id, e.moment, min(e.event_id) AS event_id FROM e JOIN m USING (user_id, moment) GROUP BY e.user_id, e.moment)"""
+register(
+    "cache_hit_rate",
+    on("api_log", lambda e: rounded(state.hit_rates(state.exact_cache_hits(e.select("event_id", "ts", "user_id", "event_type"), "user_id", 86400), "event_type"), "hit_rate")),
+    f"SELECT * FROM ({MISSES} SELECT event_type, count(*) AS reads, count(*) FILTER (hit) AS hits, round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM (SELECT event_type, event_id NOT IN (SELECT event_id FROM f) AS hit FROM api_log) GROUP BY 1)",
+    "api_log",
+)
 register("crawl_progress", on("api_log", lambda e: rounded(state.crawl_progress(e.select("event_id", F.col("k").alias("fetched"), (F.col("user_id") % 200).alias("total"), F.round(F.col("value") + 1, 2).alias("elapsed"))), "progress_percent", digits=1).withColumn("remaining_s", F.floor("remaining_s"))), """SELECT event_id, k AS fetched, user_id % 200 AS total, round(value + 1, 2) AS elapsed, CASE WHEN user_id % 200 > 0 THEN round(least(100.0, k / (user_id % 200) * 100), 1) ELSE 0.0 END AS progress_percent,
     CASE WHEN k > 0 AND round(value + 1, 2) > 0 THEN CAST(floor((user_id % 200 - k) / (k / round(value + 1, 2))) AS BIGINT) END AS remaining_s FROM api_log""", "api_log")
 register("gc_lru_running_sum", on("api_log", lambda e: state.evicted(e.select(F.col("event_id").alias("artifact_id"), (F.col("k") + 1).alias("size"), F.col("ts").alias("last_accessed")), 5000)), "SELECT artifact_id, size, CAST(freed_before AS BIGINT) AS freed_before FROM (SELECT event_id AS artifact_id, k + 1 AS size, coalesce(sum(k + 1) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM api_log) WHERE freed_before < 5000", "api_log")
 register("content_addressed", on("docs", lambda d: state.content_table(d.select("doc_id", F.col("abstract").alias("content")))), "SELECT sha256(abstract) AS hash, CAST(first(length(abstract)) AS INTEGER) AS size, count(*) AS \"references\" FROM docs GROUP BY abstract", "docs")
 register("prisma_summary", on("api_log", lambda e: stats.prisma_summary(e.select(F.col("event_type").alias("database"), F.col("k").alias("results"), F.col("event_id").alias("seq")))), "SELECT count(*) AS databases, CAST(sum(r) AS BIGINT) AS total_records FROM (SELECT arg_max(k, event_id) AS r FROM api_log GROUP BY event_type)", "api_log")
+
+for name, query in services.QUERIES.items():
+    register(name, query, services.ORACLES.get(name))
+
+#: Names under which whole tables were read while the plain names read a part of them; both are the same now.
+for name in ("coauthor_pairs", "degree_centrality", "core_researchers", "collaboration_matrix", "research_groups", "coauthor_edges", "merge_authors"):
+    QUERIES[f"{name}_all"], ORACLES[f"{name}_all"] = QUERIES[name], ORACLES[name]
+QUERIES["cache_hit_rate_exact"], ORACLES["cache_hit_rate_exact"] = QUERIES["cache_hit_rate"], ORACLES["cache_hit_rate"]

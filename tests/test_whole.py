@@ -1,4 +1,4 @@
-"""Queries on whole tables, without SQL: against brute force on a small fixture."""
+"""Queries on whole tables against brute force on a small fixture."""
 
 import datetime
 import random
@@ -31,7 +31,7 @@ def degrees():
 
 
 def test_network_of_all_papers(spark, lines):
-    rows = lambda name: sorted(tuple(r) for r in catalog.QUERIES[f"{name}_all"](spark, lines).collect())
+    rows = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, lines).collect())
     found, degree = pairs(), degrees()
     assert rows("coauthor_pairs") == sorted((a, b, n) for (a, b), n in found.items())
     authors = {a for _, a, _ in LINES}
@@ -54,7 +54,7 @@ def test_merged_authors_of_all_papers(spark, lines):
         people = sorted((-(1 + (s % 2 == 0)), at, f"supplier {s}", s) for (p, s), at in seen.items() if p == paper)
         for i, (n, _, _, s) in enumerate(people, 1):
             known[paper, i] = (f"Supplier {s}", str(s) if s % 2 == 0 else None, f"Org {s}", -n)
-    found = catalog.QUERIES["merge_authors_all"](spark, lines).collect()
+    found = catalog.QUERIES["merge_authors"](spark, lines).collect()
     assert {(r.paper, r.place): (r.name, r.orcid, r.affiliation, r.n_sources) for r in found} == known and len(found) == len(known)
 
 

@@ -16,6 +16,8 @@ BATCH_CHARS = 2_000_000
 #: Bytes that a worker's table of remembered words may hold in each of its two generations,
 #: what an entry costs besides its key and value, and the longest key that is remembered.
 MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 112 << 20, 96, 256
+#: The bound of tables whose values are cheap to make anew.
+SMALL_MEMO_BYTES = 40 << 20
 
 
 class Memo(dict):

@@ -52,7 +52,8 @@ LANDED = (
     "section:string,provider:string,annotator:string,creator:string,target:string,body:string,relation:string,tags:array<struct<uri:string,name:string,type:string>>,annotations:string>>"
 )
 NESTED = "array<struct<pmcid:string,source:string,extId:string,type:string,exact:string,prefix:string,postfix:string,section:string,provider:string,annotator:string,creator:string,target:string,body:string,relation:string,tags:array<struct<uri:string,name:string,type:string>>>>"
-ARTICLES = "https://europepmc.org/articles/"
+#: Where addresses of articles begin, unless a caller names another place.
+ARTICLES = "https://example.org/articles/"
 
 
 def name_or_text(c: Column) -> Column:
@@ -78,12 +79,12 @@ def article_id(a: Column) -> Column:
     return F.coalesce(pmc(in_target(a, "pmcid")), in_target(a, "source"), pmc(a["pmcid"]), F.when(a["extId"] != "", own))
 
 
-def article_uri(a: Column) -> Column:
+def article_uri(a: Column, base: str = ARTICLES) -> Column:
     """The annotation's own article first, then the target's."""
     both = lambda x, y: F.when((x != "") & (y != ""), F.concat(x, F.lit("/"), y))
     target = both(in_target(a, "source"), F.coalesce(in_target(a, "extId"), in_target(a, "id")))
     named = F.when(in_target(a, "source").isNotNull(), pmc(in_target(a, "pmcid")))
-    return F.concat(F.lit(ARTICLES), F.coalesce(pmc(a["pmcid"]), both(a["source"], a["extId"]), target, named))
+    return F.concat(F.lit(base), F.coalesce(pmc(a["pmcid"]), both(a["source"], a["extId"]), target, named))
 
 
 def body_type(a: Column) -> Column:
@@ -96,7 +97,7 @@ def section_of(a: Column) -> Column:
     return F.coalesce(in_target(a, "isPartOf"), in_target(a, "section"), a["section"], F.lit(""))
 
 
-def landed(responses: DataFrame, key: str = "id", json: str = "json") -> DataFrame:
+def landed(responses: DataFrame, key: str = "id", json: str = "json", base: str = ARTICLES) -> DataFrame:
     """Landed answers as annotation rows: ``key``, ``pos`` in the answer and the columns of ``SCHEMA`` with article addresses.
 
     An annotation may stand in an object of its article, whose ids it takes where it
@@ -113,7 +114,7 @@ def landed(responses: DataFrame, key: str = "id", json: str = "json") -> DataFra
     rows = answers.select(key, F.posexplode(F.flatten(F.transform("r.annotations", nested))).alias("pos", "a"))
     a = F.col("a")
     return rows.select(
-        key, F.col("pos").cast("long").alias("pos"), article_id(a).alias("article"), article_uri(a).alias("article_uri"), "a.type", "a.exact", "a.prefix", "a.postfix", section_of(a).alias("section"),
+        key, F.col("pos").cast("long").alias("pos"), article_id(a).alias("article"), article_uri(a, base).alias("article_uri"), "a.type", "a.exact", "a.prefix", "a.postfix", section_of(a).alias("section"),
         provider_of(a).alias("provider"), "a.target", "a.body", body_type(a).alias("body_type"), "a.relation", F.coalesce("a.tags", F.array().cast("array<struct<uri:string,name:string,type:string>>")).alias("tags"),
     )
 

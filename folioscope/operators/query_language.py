@@ -253,6 +253,12 @@ class Query:
     def source(self, name: str) -> Query:
         return self._add(f"SRC:{name.upper()}")
 
+    def accession_type(self, name: str) -> Query:
+        """Works that name accessions of a database, such as pdb."""
+        if not name.strip():
+            raise ValueError("an accession type is empty")
+        return self._add(f"ACCESSION_TYPE:{name.strip().lower()}")
+
     def _join(self, word: str) -> Query:
         if word != "NOT" and (not self.parts or self.waiting):
             raise ValueError(f"{word} needs a term before it")

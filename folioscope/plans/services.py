@@ -168,7 +168,7 @@ def landed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["annotations_landed"] = lambda spark, d: annotations.landed(landed_annotations(spark, d)).select("id", "pos", "article", "article_uri", "exact", "section", "provider", "body_type", "relation", F.size("tags").alias("n_tags"))
-ORACLES["annotations_landed"] = f"""SELECT {E} AS id, CAST(n AS BIGINT) AS pos, CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} WHEN 1 THEN 'MED/' || {E} ELSE 'MED' END AS article, 'https://europepmc.org/articles/' || CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} ELSE 'MED/' || {E} END AS article_uri,
+ORACLES["annotations_landed"] = f"""SELECT {E} AS id, CAST(n AS BIGINT) AS pos, CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} WHEN 1 THEN 'MED/' || {E} ELSE 'MED' END AS article, '{annotations.ARTICLES}' || CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} ELSE 'MED/' || {E} END AS article_uri,
     CASE {E} % 3 WHEN 0 THEN CASE n WHEN 0 THEN 'x' || {E} ELSE 'y' END WHEN 1 THEN 'z' ELSE 'w' END AS exact, CASE {E} % 3 WHEN 0 THEN '' WHEN 1 THEN 'Body' ELSE 'Title' END AS section, CASE {E} % 3 WHEN 0 THEN 'P' || (n + 1) WHEN 1 THEN 'someone' ELSE 'Unknown' END AS provider,
     CASE {E} % 3 WHEN 0 THEN 'Gene' WHEN 1 THEN 'Unknown' ELSE 'TAXONOMY' END AS body_type, CASE WHEN {E} % 3 = 1 THEN 'treats' END AS relation, CAST(CASE {E} % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS n_tags FROM events, range(2) AS r(n) WHERE n = 0 OR {E} % 3 = 0"""
 QUERIES["annotation_responses"] = lambda spark, d: annotations.response_facts(landed_annotations(spark, d))

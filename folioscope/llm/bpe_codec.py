@@ -4,8 +4,9 @@
    documents; a document becomes its sequence of word numbers.
 2. The chunks' words meet in buckets by hash; each distinct word of a bucket is
    encoded once, and its ids go back to the chunks under the words' numbers.
-3. Documents meet the ids of their chunk, and every position takes its word's
-   ids. Decoding joins each id with its piece.
+3. Documents meet the ids of their chunk, and every position takes its word's ids.
+4. Decoding joins the distinct ids of each chunk with the id-to-piece table in
+   Spark; documents meet their chunk's pieces, and every position takes its id's piece.
 
 Words and ids travel packed and compressed, a few large rows for each chunk, as
 a row for each word occurrence would be many times the text.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm import tokenizing
-from folioscope.llm.common import id_text, slices
+from folioscope.llm.common import id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
@@ -149,39 +150,40 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.select("bucket", "chunk", "n", "size", "payload").groupBy("bucket").applyInArrow(encode, CODED_SCHEMA)
 
 
-def encode(
-    docs: DataFrame,
-    tokenizer: str | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    digest_only: bool = False,
-    chunk_bytes: int = CHUNK_BYTES,
-) -> DataFrame:
-    """``(doc_id, n_tokens, ids)`` for every row of ``docs``; with ``digest_only``
-    ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, where the text comes from decoding the ids.
+def coded_schema(kind: T.DataType) -> tuple[str, pa.Schema]:
+    """Coded chunks, rows of two kinds. Documents (``used`` null): ``n`` ids, packed in ``payload``.
+    Distinct ids of a part of the chunk: ``used``."""
+    arrow = [("chunk", pa.int64()), ("id", to_arrow(kind)), ("n", pa.int64()), ("payload", pa.binary()), ("used", pa.list_(pa.int32()))]
+    return f"chunk long, id {kind.simpleString()}, n long, payload binary, used array<int>", pa.schema(arrow)
 
-    Null and empty texts give no ids; null ids and repeated rows are kept row by
-    row; an empty table gives no rows; a very long text makes a chunk of its own
-    size at most; other columns are ignored. The words and word numbers stay in a
-    table ``bpe_words_...`` of the session's warehouse. The number of word buckets follows the
-    number of input partitions, so a bucket's size stays as it is when input grows.
-    """
+
+def coded_rows(schema: pa.Schema, chunk: int, coded: list[tuple], used: np.ndarray | None) -> pa.Table:
+    """The rows of documents ``(id, ids)`` of a chunk, and one of its distinct ids where ``used`` is given."""
+    rows = [(chunk, key, len(ids), pack_numbers(ids), None) for key, ids in coded]
+    if used is not None:
+        rows.append((chunk, None, 0, None, used))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [[]] * len(schema), schema=schema)
+
+
+def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """Coded chunks of all rows of ``docs``."""
     spark = docs.sparkSession
-    tokenizer = tokenizer or tokenizing.tokenizer_path()
     source = id_text(docs, id_col, text_col)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
-    kind = source.schema["id"].dataType
-    # bucketed by chunk, so that documents meet their chunk's ids without another shuffle
+    # bucketed by chunk, so that documents meet their chunk's ids without another shuffle;
+    # only a table can be bucketed, so its name goes once it is resolved, and the files stay in the shared folder
     name = f"bpe_words_{uuid.uuid4().hex}"
     split = split_documents(source, buckets, chunk_bytes)
-    split.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").format("parquet").saveAsTable(name)
+    split.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").option("path", table_path(spark, "bpe-words")).format("parquet").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"drop table {name}")
     coded = encode_words(table.where("bucket is not null"), tokenizer)
     documents = table.where("bucket is null").select("chunk", "id", "n", "size", "payload")
+    ddl, schema = coded_schema(source.schema["id"].dataType)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        width = np.dtype(tokenizing.id_type(tokenizer)).itemsize
         dtype = tokenizing.id_type(tokenizer)
+        width = np.dtype(dtype).itemsize
         words: dict[int, bytes] = {}
         for n, size, numbers, lengths, ids in zip(*(right.column(c).to_pylist() for c in ("n", "size", "numbers", "lengths", "ids"))):
             flat = unpack(ids, size)
@@ -189,50 +191,124 @@ def encode(
             words.update(zip(unpack_numbers(numbers, n).tolist(), [flat[a:b] for a, b in zip([0, *ends], ends)]))
         listed = [words[i] for i in range(len(words))]
         look = listed.__getitem__
-        out = []
+        coded, seen = [], np.zeros(tokenizing.library(tokenizer).get_vocab_size(with_added_tokens=True), bool)
         for key, n, size, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "size", "payload"))):
             if n < 0:
                 ids = tokenizing.encode_whole(tokenizer, unpack(payload, size).decode())
             else:
                 ids = np.frombuffer(b"".join(map(look, unpack_numbers(payload, n).tolist())), dtype)
-            out.append((key, len(ids), *digests(tokenizer, ids)) if digest_only else (key, len(ids), ids.tolist()))
-        return pa.table(list(map(list, zip(*out))) if out else [[]] * len(result), schema=result)
+            seen[ids] = True
+            coded.append((key, ids))
+        chunks = left.column("chunk")
+        return coded_rows(schema, chunks[0].as_py() if len(chunks) else 0, coded, np.flatnonzero(seen) if coded else None)
 
-    result = pa.schema([("doc_id", to_arrow(kind)), ("n_tokens", pa.int64())] + ([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest_only else [("ids", pa.list_(pa.int32()))]))
-    schema = f"doc_id {kind.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest_only else "ids array<int>")
-    return documents.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, schema)
+    return documents.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, ddl)
 
 
-def digests(tokenizer: str, ids: np.ndarray) -> tuple[str, str]:
-    """Hashes of the decimal ids and of the decoded text."""
-    decimal = decimals(tokenizer)
-    listed = ids.tolist()
-    text = decode_ids(tokenizer, listed)
-    return hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def pack_tokens(tokens: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Coded chunks of rows ``(id, ids)``; null elements are left out."""
+    ddl, schema = coded_schema(tokens.schema["id"].dataType)
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held, used = TaskContext.get().partitionId() << 32, 0, []
+        distinct = lambda: np.unique(np.concatenate(used))
+        for batch in batches:
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+                used.append(np.unique(ids))
+                held += 4 * len(ids)
+                full = held >= chunk_bytes
+                yield from coded_rows(schema, chunk, [(key, ids)], distinct() if full else None).to_batches()
+                if full:
+                    chunk, held, used = chunk + 1, 0, []
+        if held:
+            yield from coded_rows(schema, chunk, [], distinct()).to_batches()
+
+    return tokens.select("id", F.array_compact(F.col("ids").cast("array<int>")).alias("ids")).mapInArrow(chunks, ddl)
 
-_DECIMALS: dict[str, list[bytes]] = {}
 
+def piece_table(spark, tokenizer: str) -> DataFrame:
+    """``(token, piece)``: the bytes of each id; as many rows as the tokenizer has ids."""
 
-def decimals(tokenizer: str) -> list[bytes]:
-    if tokenizer not in _DECIMALS:
-        _DECIMALS[tokenizer] = [b"%d" % i for i in range(len(tokenizing.pieces(tokenizer)))]
-    return _DECIMALS[tokenizer]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = tokenizing.pieces(tokenizer)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([listed[i] for i in b.column(0).to_pylist()], pa.binary())], ["token", "piece"])
 
+    return spark.range(0, len(tokenizing.pieces(tokenizer)), 1, 1).mapInArrow(rows, "token int, piece binary")
 
-def decode_ids(tokenizer: str, ids: list[int]) -> str:
-    """The text of some ids; bytes that aren't UTF-8 become the replacement character."""
-    return b"".join(map(tokenizing.pieces(tokenizer).__getitem__, ids)).decode("utf-8", "replace")
 
+def decode_chunks(chunks: DataFrame, tokenizer: str, digest_only: bool) -> DataFrame:
+    """``(doc_id, text)``, or ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, of coded chunks in a written table."""
+    kind = chunks.schema["id"].dataType
+    used = chunks.where("used is not null").select(F.col("chunk").alias("of"), F.explode("used").alias("token"))
+    # the vocabulary bounds the broadcast side
+    pieces = used.join(F.broadcast(piece_table(chunks.sparkSession, tokenizer)), "token").select("of", "token", "piece")
+    documents = chunks.where("used is null").select("chunk", "id", "n", "payload")
+    fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    result = pa.schema([("doc_id", to_arrow(kind)), *([("n_tokens", pa.int64()), *fields] if digest_only else [("text", pa.string())])])
+    ddl = f"doc_id {kind.simpleString()}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest_only else "text string")
 
-def decode(tokens: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, text)`` of rows with ids (null ids: empty), joined in tasks with the id-to-piece table,
-    whose size the tokenizer bounds."""
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        piece = dict(zip(right.column("token").to_pylist(), right.column("piece").to_pylist()))
+        decimal = {i: b"%d" % i for i in piece}
+        out = []
+        for key, n, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "payload"))):
+            ids = unpack_numbers(payload, n).tolist() if n else []
+            text = decoded(ids, piece)
+            if digest_only:
+                out.append((key, n, hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            else:
+                out.append((key, text))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), result)] if out else [[]] * len(result), schema=result)
+
+    return documents.groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(assemble, ddl)
+
+
+def decoded(ids: list[int], piece: dict[int, bytes]) -> str:
+    """The text of some ids; unknown ids give nothing, bytes that aren't UTF-8 the replacement character."""
+    return b"".join([piece.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
+def encode(
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest_only: bool = False,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` for every row of ``docs``; with ``digest_only``
+    ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, where the text comes from decoding the ids.
+
+    Null and empty texts give no ids; null ids and repeated rows are kept row by
+    row; an empty table gives no rows; a very long text makes a chunk of its own
+    size at most; other columns are ignored. The words and word numbers stay as files in the
+    shared folder. The number of word buckets follows the number of input
+    partitions, so a bucket's size stays as it is when input grows.
+    """
     tokenizer = tokenizer or tokenizing.tokenizer_path()
+    chunks = encode_chunks(docs, tokenizer, id_col, text_col, chunk_bytes)
+    if digest_only:
+        return decode_chunks(materialize(chunks, "coded", compression="uncompressed"), tokenizer, True)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(tokenizer, x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            ids = [unpack_numbers(x, n).astype("i4") if n else [] for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+
+    kind = chunks.schema["id"].dataType.simpleString()
+    return chunks.where("used is null").select("id", "n", "payload").mapInArrow(unpacked, f"doc_id {kind}, n_tokens long, ids array<int>")
+
 
-    picked = tokens.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
-    return picked.mapInArrow(texts, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string")
+def decode(tokens: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(doc_id, text)`` of rows with ids, joined with the id-to-piece table.
+
+    Null ids and empty lists give an empty text, null or unknown elements nothing; null
+    document ids and repeated rows are kept row by row; an empty table gives no rows.
+    """
+    tokenizer = tokenizer or tokenizing.tokenizer_path()
+    picked = tokens.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
+    return decode_chunks(materialize(pack_tokens(picked, chunk_bytes), "coded"), tokenizer, False)

@@ -74,6 +74,24 @@ def test_decode_of_broken_bytes(spark):
     assert rows_of(bpe_codec.decode(tokens)) == [(1, LIBRARY.decode(broken, skip_special_tokens=False)), (2, "")]
 
 
+def test_decode_odd_rows_and_small_chunks(spark):
+    x, y = ids("one two two"), ids("<|endoftext|> three")
+    rows = [(None, x), (None, x), (5, [*y, None, 10**6]), (6, []), (7, y * 50)]
+    tokens = spark.createDataFrame([(i, v, "clash") for i, v in rows], "doc_id long, ids array<int>, token string").repartition(1)
+    known = [[t for t in v if t is not None and t < 10**6] for _, v in rows]
+    texts = sorted(zip([i for i, _ in rows], (LIBRARY.decode(v, skip_special_tokens=False) for v in known)), key=lambda r: (r[0] is not None, r[0] or 0))
+    for size in (1, 60, bpe_codec.CHUNK_BYTES):
+        assert rows_of(bpe_codec.decode(tokens, chunk_bytes=size)) == texts
+    assert bpe_codec.decode(tokens.limit(0)).collect() == []
+
+
+def test_decoding_is_a_join_and_leaves_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    plan = bpe_codec.encode(documents(spark), digest_only=True)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin [token" in plan
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_files(docs):
     assert rows_of(token_files.token_files(docs)) == filed(pairs(docs))
 

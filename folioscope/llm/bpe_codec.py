@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ from folioscope.llm.common import id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
+#: Begins the key of a text that is encoded whole; no other key begins with two spaces.
+WHOLE = "  "
 
 
 def pack(data: bytes) -> bytes:
@@ -40,17 +42,16 @@ def unpack(data: bytes, size: int) -> bytes:
     return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
 
 
-def pack_words(words: list[str]) -> bytes:
-    """Word lengths, then the words, compressed."""
-    encoded = [w.encode() for w in words]
-    data = np.array([len(w) for w in encoded], "<u4").tobytes() + b"".join(encoded)
+def pack_bytes(parts: list[bytes]) -> bytes:
+    """Lengths, then the parts, compressed."""
+    data = np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
     return len(data).to_bytes(8, "little") + pack(data)
 
 
-def unpack_words(blob: bytes, n: int) -> list[str]:
+def unpack_bytes(blob: bytes, n: int) -> list[bytes]:
     data = unpack(blob[8:], int.from_bytes(blob[:8], "little"))
-    ends = (4 * n + np.cumsum(np.frombuffer(data, "<u4", n))).tolist()
-    return [data[a:b].decode() for a, b in zip([4 * n, *ends], ends)]
+    ends = (4 * n + np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 * n, *ends], ends)]
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
@@ -70,9 +71,9 @@ SPLIT_SCHEMA = "chunk long, bucket int, id {kind}, n long, size long, payload bi
 
 
 def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows of two kinds. Documents (bucket null): ``n`` positions, ``payload`` their word numbers,
-    or, with ``n`` = -1, a text of ``size`` bytes that has to be encoded whole. Words: ``n`` words of a chunk that
-    fall in ``bucket``, the numbers of which count on through the chunk's buckets."""
+    """Rows of two kinds. Documents (bucket null): ``n`` positions, ``payload`` their word numbers.
+    Words: ``n`` words of a chunk that fall in ``bucket``, the numbers of which count on through the
+    chunk's buckets. A text that can't be split is one word, ``WHOLE`` and itself."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,7 +91,7 @@ def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTE
                 numbers[b].append(i)
             for b, (p, q) in enumerate(zip(parts, numbers)):
                 if p:
-                    yield chunk, b, None, len(p), 0, pack_numbers(np.array(q)) + pack_words(p), len(pack_numbers(np.array(q)))
+                    yield chunk, b, None, len(p), 0, pack_numbers(np.array(q)) + pack_bytes([w.encode() for w in p]), len(pack_numbers(np.array(q)))
 
         for batch in batches:
             for x in slices(batch):
@@ -99,9 +100,7 @@ def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTE
                     keys = tokenizing.split_words(text)
                     held += len(text)
                     if keys is None or any(k == "" or k[0].isspace() for k in keys[1:]):
-                        data = text.encode()
-                        rows.append((chunk, None, key, -1, len(data), pack(data)))
-                        continue
+                        keys = [WHOLE + text]
                     numbers = [table.setdefault(k, len(table)) for k in keys]
                     rows.append((chunk, None, key, len(numbers), 0, pack_numbers(np.array(numbers))))
                 yield to_batch(rows)
@@ -128,11 +127,13 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-CODED_SCHEMA = "chunk long, n long, size long, numbers binary, lengths binary, ids binary"
+CODED_SCHEMA = "chunk long, n long, size long, numbers binary, lengths binary, ids binary, used array<int>"
+CODED_ARROW = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("used", pa.list_(pa.int32()))])
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode each distinct word of a bucket once; a row for each chunk that holds some of them."""
+    """Encode each distinct word of a bucket once; for each chunk that holds some of them
+    a row with their ids and one with their distinct ids, ``used``."""
 
     def encode(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "size", "payload"))))
@@ -140,35 +141,79 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         out = []
         width = np.dtype(tokenizing.id_type(tokenizer)).itemsize
         for chunk, n, size, payload in rows:
-            keys = unpack_words(payload[size:], n)
-            (ids,) = coder.look_up([keys])
+            keys = [w.decode() for w in unpack_bytes(payload[size:], n)]
+            whole = {k: tokenizing.encode_whole(tokenizer, k[len(WHOLE) :]).tobytes() for k in keys if k.startswith(WHOLE)}
+            ids = iter(coder.look_up([[k for k in keys if k not in whole]])[0])
+            ids = [whole[k] if k in whole else next(ids) for k in keys]
             flat = b"".join(ids)
             lengths = np.array([len(x) // width for x in ids], "<u4")
-            out.append((chunk, n, len(flat), payload[:size], pack_numbers(lengths), pack(flat)))
-        return pa.table(dict(zip(("chunk", "n", "size", "numbers", "lengths", "ids"), map(list, zip(*out)))), schema=pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]))
+            used = np.unique(np.frombuffer(flat, tokenizing.id_type(tokenizer)))
+            out.append((chunk, n, len(flat), payload[:size], pack_numbers(lengths), pack(flat), None))
+            if len(used):
+                out.append((chunk, 0, 0, None, None, None, used))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), CODED_ARROW)], schema=CODED_ARROW)
 
     return words.select("bucket", "chunk", "n", "size", "payload").groupBy("bucket").applyInArrow(encode, CODED_SCHEMA)
 
 
-def coded_schema(kind: T.DataType) -> tuple[str, pa.Schema]:
-    """Coded chunks, rows of two kinds. Documents (``used`` null): ``n`` ids, packed in ``payload``.
-    Distinct ids of a part of the chunk: ``used``."""
-    arrow = [("chunk", pa.int64()), ("id", to_arrow(kind)), ("n", pa.int64()), ("payload", pa.binary()), ("used", pa.list_(pa.int32()))]
-    return f"chunk long, id {kind.simpleString()}, n long, payload binary, used array<int>", pa.schema(arrow)
+PIECES_SCHEMA = "chunk long, n long, size long, numbers binary, lengths binary, ids binary, tokens binary, pieces binary"
+PIECES_ARROW = pa.schema([*list(CODED_ARROW)[:-1], ("tokens", pa.binary()), ("pieces", pa.binary())])
+DIGESTS = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+#: Pieces that a task packs at a time.
+PACKED_PIECES = 1_000_000
 
 
-def coded_rows(schema: pa.Schema, chunk: int, coded: list[tuple], used: np.ndarray | None) -> pa.Table:
-    """The rows of documents ``(id, ids)`` of a chunk, and one of its distinct ids where ``used`` is given."""
-    rows = [(chunk, key, len(ids), pack_numbers(ids), None) for key, ids in coded]
-    if used is not None:
-        rows.append((chunk, None, 0, None, used))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [[]] * len(schema), schema=schema)
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """``(token, piece)``: the bytes of each id; as many rows as the tokenizer has ids."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = tokenizing.pieces(tokenizer)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([listed[i] for i in b.column(0).to_pylist()], pa.binary())], ["token", "piece"])
+
+    return spark.range(0, len(tokenizing.pieces(tokenizer)), 1, 1).mapInArrow(rows, "token int, piece binary")
+
 
+def with_pieces(coded: DataFrame, tokenizer: str) -> DataFrame:
+    """Coded words as they are, and the chunks' distinct ids joined with their pieces, packed to
+    ``tokens`` and ``pieces`` for each chunk of a task. The vocabulary bounds the broadcast side."""
+    of_ids = coded.select(*CODED_ARROW.names[:-1], F.explode_outer("used").alias("token"))
+    joined = of_ids.join(F.broadcast(piece_table(coded.sparkSession, tokenizer)), "token", "left").select(*CODED_ARROW.names[:-1], "token", "piece")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, bytes]] = {}
+        held = 0
 
-def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """Coded chunks of all rows of ``docs``."""
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, piece in found.items():
+                joined_bytes = pack_bytes(list(piece.values()))
+                row = (chunk, len(piece), 0, None, None, None, pack_numbers(np.fromiter(piece, np.int64, len(piece))), joined_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECES_ARROW)], schema=PIECES_ARROW)
+
+        for b in batches:
+            token = b.column("token")
+            words = b.filter(token.is_null())
+            if words.num_rows:
+                yield pa.RecordBatch.from_arrays([*words.columns[:-2], *[pa.nulls(words.num_rows, pa.binary())] * 2], schema=PIECES_ARROW)
+            ids = b.filter(token.is_valid())
+            for chunk, i, piece in zip(*(ids.column(c).to_pylist() for c in ("chunk", "token", "piece"))):
+                of = found.setdefault(chunk, {})
+                held += i not in of
+                of[i] = piece or b""
+            if held >= PACKED_PIECES:
+                yield from flush()
+                found.clear()
+                held = 0
+        yield from flush()
+
+    return joined.mapInArrow(packed, PIECES_SCHEMA)
+
+
+def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, chunk_bytes: int, digest_only: bool) -> DataFrame:
+    """What ``encode`` gives."""
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
+    kind = source.schema["id"].dataType
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
     # bucketed by chunk, so that documents meet their chunk's ids without another shuffle;
     # only a table can be bucketed, so its name goes once it is resolved, and the files stay in the shared folder
@@ -178,36 +223,58 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
     table = spark.table(name)
     spark.sql(f"drop table {name}")
     coded = encode_words(table.where("bucket is not null"), tokenizer)
-    documents = table.where("bucket is null").select("chunk", "id", "n", "size", "payload")
-    ddl, schema = coded_schema(source.schema["id"].dataType)
+    coded = with_pieces(coded, tokenizer) if digest_only else coded.where("used is null")
+    documents = table.where("bucket is null").select("chunk", "id", "n", "payload")
+    result = pa.schema([("doc_id", to_arrow(kind)), ("n_tokens", pa.int64()), *(DIGESTS if digest_only else [("ids", pa.list_(pa.int32()))])])
+    ddl = f"doc_id {kind.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest_only else "ids array<int>")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         dtype = tokenizing.id_type(tokenizer)
         width = np.dtype(dtype).itemsize
         words: dict[int, bytes] = {}
-        for n, size, numbers, lengths, ids in zip(*(right.column(c).to_pylist() for c in ("n", "size", "numbers", "lengths", "ids"))):
-            flat = unpack(ids, size)
-            ends = (width * np.cumsum(unpack_numbers(lengths, n), dtype=np.int64)).tolist()
-            words.update(zip(unpack_numbers(numbers, n).tolist(), [flat[a:b] for a, b in zip([0, *ends], ends)]))
-        listed = [words[i] for i in range(len(words))]
-        look = listed.__getitem__
-        coded, seen = [], np.zeros(tokenizing.library(tokenizer).get_vocab_size(with_added_tokens=True), bool)
-        for key, n, size, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "size", "payload"))):
-            if n < 0:
-                ids = tokenizing.encode_whole(tokenizer, unpack(payload, size).decode())
-            else:
-                ids = np.frombuffer(b"".join(map(look, unpack_numbers(payload, n).tolist())), dtype)
-            seen[ids] = True
-            coded.append((key, ids))
-        chunks = left.column("chunk")
-        return coded_rows(schema, chunks[0].as_py() if len(chunks) else 0, coded, np.flatnonzero(seen) if coded else None)
+        piece: dict[int, bytes] = {}
+        for row in right.to_pylist():
+            n = row["n"]
+            if row["ids"] is None:
+                piece.update(zip(unpack_numbers(row["tokens"], n).tolist(), unpack_bytes(row["pieces"], n)))
+                continue
+            flat = unpack(row["ids"], row["size"])
+            ends = (width * np.cumsum(unpack_numbers(row["lengths"], n), dtype=np.int64)).tolist()
+            words.update(zip(unpack_numbers(row["numbers"], n).tolist(), [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        look = [words[i] for i in range(len(words))].__getitem__
+        decimal = {i: b"%d" % i for i in piece}
+        out = []
+        for key, n, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "payload"))):
+            ids = np.frombuffer(b"".join(map(look, unpack_numbers(payload, n).tolist())), dtype)
+            out.append((key, len(ids), *(digests(ids.tolist(), decimal, piece) if digest_only else [ids.astype("i4")])))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), result)] if out else [[]] * len(result), schema=result)
 
     return documents.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, ddl)
 
 
+def digests(ids: list[int], decimal: dict[int, bytes], piece: dict[int, bytes]) -> tuple[str, str]:
+    """Hashes of the decimal ids and of the decoded text."""
+    return hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded(ids, piece).encode()).hexdigest()
+
+
+def token_schema(kind: T.DataType) -> tuple[str, pa.Schema]:
+    """Chunks of ids to decode, rows of two kinds. Documents (``used`` null): ``n`` ids, packed in ``payload``.
+    Distinct ids of the chunk: ``used``."""
+    arrow = [("chunk", pa.int64()), ("id", to_arrow(kind)), ("n", pa.int64()), ("payload", pa.binary()), ("used", pa.list_(pa.int32()))]
+    return f"chunk long, id {kind.simpleString()}, n long, payload binary, used array<int>", pa.schema(arrow)
+
+
+def token_rows(schema: pa.Schema, chunk: int, coded: list[tuple], used: np.ndarray | None) -> pa.Table:
+    """The rows of documents ``(id, ids)`` of a chunk, and one of its distinct ids where ``used`` is given."""
+    rows = [(chunk, key, len(ids), pack_numbers(ids), None) for key, ids in coded]
+    if used is not None:
+        rows.append((chunk, None, 0, None, used))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [[]] * len(schema), schema=schema)
+
+
 def pack_tokens(tokens: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Coded chunks of rows ``(id, ids)``; null elements are left out."""
-    ddl, schema = coded_schema(tokens.schema["id"].dataType)
+    """Chunks of rows ``(id, ids)``; null elements are left out."""
+    ddl, schema = token_schema(tokens.schema["id"].dataType)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,51 +287,29 @@ def pack_tokens(tokens: DataFrame, chunk_bytes: int) -> DataFrame:
                 used.append(np.unique(ids))
                 held += 4 * len(ids)
                 full = held >= chunk_bytes
-                yield from coded_rows(schema, chunk, [(key, ids)], distinct() if full else None).to_batches()
+                yield from token_rows(schema, chunk, [(key, ids)], distinct() if full else None).to_batches()
                 if full:
                     chunk, held, used = chunk + 1, 0, []
         if held:
-            yield from coded_rows(schema, chunk, [], distinct()).to_batches()
+            yield from token_rows(schema, chunk, [], distinct()).to_batches()
 
     return tokens.select("id", F.array_compact(F.col("ids").cast("array<int>")).alias("ids")).mapInArrow(chunks, ddl)
 
 
-def piece_table(spark, tokenizer: str) -> DataFrame:
-    """``(token, piece)``: the bytes of each id; as many rows as the tokenizer has ids."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = tokenizing.pieces(tokenizer)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([listed[i] for i in b.column(0).to_pylist()], pa.binary())], ["token", "piece"])
-
-    return spark.range(0, len(tokenizing.pieces(tokenizer)), 1, 1).mapInArrow(rows, "token int, piece binary")
-
-
-def decode_chunks(chunks: DataFrame, tokenizer: str, digest_only: bool) -> DataFrame:
-    """``(doc_id, text)``, or ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, of coded chunks in a written table."""
+def decode_chunks(chunks: DataFrame, tokenizer: str) -> DataFrame:
+    """``(doc_id, text)`` of chunks of ids in a written table."""
     kind = chunks.schema["id"].dataType
     used = chunks.where("used is not null").select(F.col("chunk").alias("of"), F.explode("used").alias("token"))
     # the vocabulary bounds the broadcast side
     pieces = used.join(F.broadcast(piece_table(chunks.sparkSession, tokenizer)), "token").select("of", "token", "piece")
     documents = chunks.where("used is null").select("chunk", "id", "n", "payload")
-    fields = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    result = pa.schema([("doc_id", to_arrow(kind)), *([("n_tokens", pa.int64()), *fields] if digest_only else [("text", pa.string())])])
-    ddl = f"doc_id {kind.simpleString()}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest_only else "text string")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         piece = dict(zip(right.column("token").to_pylist(), right.column("piece").to_pylist()))
-        decimal = {i: b"%d" % i for i in piece}
-        out = []
-        for key, n, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "payload"))):
-            ids = unpack_numbers(payload, n).tolist() if n else []
-            text = decoded(ids, piece)
-            if digest_only:
-                out.append((key, n, hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            else:
-                out.append((key, text))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), result)] if out else [[]] * len(result), schema=result)
+        texts = [decoded(unpack_numbers(payload, n).tolist() if n else [], piece) for n, payload in zip(left.column("n").to_pylist(), left.column("payload").to_pylist())]
+        return pa.table({"doc_id": left.column("id"), "text": pa.array(texts, pa.string())})
 
-    return documents.groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(assemble, ddl)
+    return documents.groupBy("chunk").cogroup(pieces.groupBy("of")).applyInArrow(assemble, f"doc_id {kind.simpleString()}, text string")
 
 
 def decoded(ids: list[int], piece: dict[int, bytes]) -> str:
@@ -289,18 +334,7 @@ def encode(
     shared folder. The number of word buckets follows the number of input
     partitions, so a bucket's size stays as it is when input grows.
     """
-    tokenizer = tokenizer or tokenizing.tokenizer_path()
-    chunks = encode_chunks(docs, tokenizer, id_col, text_col, chunk_bytes)
-    if digest_only:
-        return decode_chunks(materialize(chunks, "coded", compression="uncompressed"), tokenizer, True)
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [unpack_numbers(x, n).astype("i4") if n else [] for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
-
-    kind = chunks.schema["id"].dataType.simpleString()
-    return chunks.where("used is null").select("id", "n", "payload").mapInArrow(unpacked, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return encode_chunks(docs, tokenizer or tokenizing.tokenizer_path(), id_col, text_col, chunk_bytes, digest_only)
 
 
 def decode(tokens: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -311,4 +345,4 @@ def decode(tokens: DataFrame, tokenizer: str | None = None, id_col: str = "doc_i
     """
     tokenizer = tokenizer or tokenizing.tokenizer_path()
     picked = tokens.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
-    return decode_chunks(materialize(pack_tokens(picked, chunk_bytes), "coded"), tokenizer, False)
+    return decode_chunks(materialize(pack_tokens(picked, chunk_bytes), "tokens"), tokenizer)

@@ -132,14 +132,15 @@ CODED_ARROW = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("size", pa.i
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode each distinct word of a bucket once; for each chunk that holds some of them
-    a row with their ids and one with their distinct ids, ``used``."""
+    """Encode each distinct word of a bucket once: a row with the bucket's distinct ids, ``used``,
+    then for each chunk that holds some of the words one with their ids."""
 
     def encode(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "size", "payload"))))
         coder = tokenizing.encoder(tokenizer)
         out = []
-        width = np.dtype(tokenizing.id_type(tokenizer)).itemsize
+        dtype = tokenizing.id_type(tokenizer)
+        width, used = np.dtype(dtype).itemsize, np.zeros(len(tokenizing.pieces(tokenizer)), bool)
         for chunk, n, size, payload in rows:
             keys = [w.decode() for w in unpack_bytes(payload[size:], n)]
             whole = {k: tokenizing.encode_whole(tokenizer, k[len(WHOLE) :]).tobytes() for k in keys if k.startswith(WHOLE)}
@@ -147,10 +148,11 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
             ids = [whole[k] if k in whole else next(ids) for k in keys]
             flat = b"".join(ids)
             lengths = np.array([len(x) // width for x in ids], "<u4")
-            used = np.unique(np.frombuffer(flat, tokenizing.id_type(tokenizer)))
+            used[np.frombuffer(flat, dtype)] = True
             out.append((chunk, n, len(flat), payload[:size], pack_numbers(lengths), pack(flat), None))
-            if len(used):
-                out.append((chunk, 0, 0, None, None, None, used))
+        coder.forget()  # no other bucket has these words
+        if used.any():
+            out.insert(0, (None, 0, 0, None, None, None, np.flatnonzero(used)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), CODED_ARROW)], schema=CODED_ARROW)
 
     return words.select("bucket", "chunk", "n", "size", "payload").groupBy("bucket").applyInArrow(encode, CODED_SCHEMA)
@@ -175,34 +177,38 @@ def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
 
 
 def with_pieces(coded: DataFrame, tokenizer: str) -> DataFrame:
-    """Coded words as they are, and the chunks' distinct ids joined with their pieces, packed to
-    ``tokens`` and ``pieces`` for each chunk of a task. The vocabulary bounds the broadcast side."""
+    """Coded words as they are, and the pieces of their distinct ids, packed to ``tokens`` and ``pieces``
+    for each chunk of a task. Each bucket's distinct ids are joined with the id-to-piece table; the
+    vocabulary bounds that broadcast side, and what a task holds of it."""
     of_ids = coded.select(*CODED_ARROW.names[:-1], F.explode_outer("used").alias("token"))
     joined = of_ids.join(F.broadcast(piece_table(coded.sparkSession, tokenizer)), "token", "left").select(*CODED_ARROW.names[:-1], "token", "piece")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, dict[int, bytes]] = {}
+        dtype = tokenizing.id_type(tokenizer)
+        piece: dict[int, bytes] = {}
+        used: dict[int, np.ndarray] = {}
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, piece in found.items():
-                joined_bytes = pack_bytes(list(piece.values()))
-                row = (chunk, len(piece), 0, None, None, None, pack_numbers(np.fromiter(piece, np.int64, len(piece))), joined_bytes)
+            for chunk, ids in used.items():
+                row = (chunk, len(ids), 0, None, None, None, pack_numbers(ids), pack_bytes([piece[i] for i in ids.tolist()]))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECES_ARROW)], schema=PIECES_ARROW)
+            used.clear()
 
         for b in batches:
-            token = b.column("token")
-            words = b.filter(token.is_null())
-            if words.num_rows:
-                yield pa.RecordBatch.from_arrays([*words.columns[:-2], *[pa.nulls(words.num_rows, pa.binary())] * 2], schema=PIECES_ARROW)
-            ids = b.filter(token.is_valid())
-            for chunk, i, piece in zip(*(ids.column(c).to_pylist() for c in ("chunk", "token", "piece"))):
-                of = found.setdefault(chunk, {})
-                held += i not in of
-                of[i] = piece or b""
+            ids = b.filter(b.column("token").is_valid())  # a bucket's pieces come before its words
+            piece.update((i, x or b"") for i, x in zip(ids.column("token").to_pylist(), ids.column("piece").to_pylist()))
+            words = b.filter(b.column("token").is_null())
+            if not words.num_rows:
+                continue
+            yield pa.RecordBatch.from_arrays([*words.columns[:-2], *[pa.nulls(words.num_rows, pa.binary())] * 2], schema=PIECES_ARROW)
+            for chunk, size, flat in zip(*(words.column(c).to_pylist() for c in ("chunk", "size", "ids"))):
+                found = np.unique(np.frombuffer(unpack(flat, size), dtype))
+                before = used.get(chunk, found[:0])
+                used[chunk] = np.union1d(before, found)
+                held += len(used[chunk]) - len(before)
             if held >= PACKED_PIECES:
                 yield from flush()
-                found.clear()
                 held = 0
         yield from flush()
 
@@ -233,15 +239,16 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
         width = np.dtype(dtype).itemsize
         words: dict[int, bytes] = {}
         piece: dict[int, bytes] = {}
-        for row in right.to_pylist():
-            n = row["n"]
-            if row["ids"] is None:
-                piece.update(zip(unpack_numbers(row["tokens"], n).tolist(), unpack_bytes(row["pieces"], n)))
+        for n, size, numbers, lengths, ids in zip(*(right.column(c) for c in ("n", "size", "numbers", "lengths", "ids"))):
+            if not ids.is_valid:
                 continue
-            flat = unpack(row["ids"], row["size"])
-            ends = (width * np.cumsum(unpack_numbers(row["lengths"], n), dtype=np.int64)).tolist()
-            words.update(zip(unpack_numbers(row["numbers"], n).tolist(), [flat[a:b] for a, b in zip([0, *ends], ends)]))
-        look = [words[i] for i in range(len(words))].__getitem__
+            n, flat = n.as_py(), unpack(ids.as_py(), size.as_py())
+            ends = (width * np.cumsum(unpack_numbers(lengths.as_py(), n), dtype=np.int64)).tolist()
+            words.update(zip(unpack_numbers(numbers.as_py(), n).tolist(), [flat[a:b] for a, b in zip([0, *ends], ends)]))
+        for n, tokens, pieces in zip(*(right.column(c).to_pylist() for c in ("n", "tokens", "pieces"))) if digest_only else ():
+            if tokens is not None:
+                piece.update(zip(unpack_numbers(tokens, n).tolist(), unpack_bytes(pieces, n)))
+        look = [words.pop(i) for i in range(len(words))].__getitem__
         decimal = {i: b"%d" % i for i in piece}
         out = []
         for key, n, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "payload"))):

@@ -178,6 +178,10 @@ class Encoder:
         self.pieces = Memo(self.code_piece, limit // 4)
         self.words, self.old, self.held = Words(), Words(), 0
 
+    def forget(self) -> None:
+        self.words, self.old, self.held = Words(), Words(), 0
+        self.pieces.forget()
+
     def ids(self, text: str) -> np.ndarray:
         return np.array([t.id for t in self.tokenize(text if text.isascii() else text.encode().decode("latin-1"))], self.dtype)
 

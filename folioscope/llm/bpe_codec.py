@@ -30,6 +30,8 @@ from folioscope.llm.common import id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 16 << 20
 #: Begins the key of a text that is encoded whole; no other key begins with two spaces.
 WHOLE = "  "
 
@@ -220,11 +222,13 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
     kind = source.schema["id"].dataType
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions())
+    total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # a table's buckets have a limit in Spark
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), source.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     # bucketed by chunk, so that documents meet their chunk's ids without another shuffle;
     # only a table can be bucketed, so its name goes once it is resolved, and the files stay in the shared folder
     name = f"bpe_words_{uuid.uuid4().hex}"
-    split = split_documents(source, buckets, chunk_bytes)
+    split = split_documents(source, -(-total // BUCKET_BYTES) or 1, chunk_bytes)
     split.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").option("path", table_path(spark, "bpe-words")).format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")
@@ -338,8 +342,8 @@ def encode(
     Null and empty texts give no ids; null ids and repeated rows are kept row by
     row; an empty table gives no rows; a very long text makes a chunk of its own
     size at most; other columns are ignored. The words and word numbers stay as files in the
-    shared folder. The number of word buckets follows the number of input
-    partitions, so a bucket's size stays as it is when input grows.
+    shared folder. The number of word buckets follows the bytes of text, so a
+    bucket's size stays as it is when input grows.
     """
     return encode_chunks(docs, tokenizer or tokenizing.tokenizer_path(), id_col, text_col, chunk_bytes, digest_only)
 

@@ -253,16 +253,17 @@ def inspect(data: bytes) -> Stream:
     out = Stream()
     at = read_tags(data, out)
     end = len(data)
-    if data[-128:-125] == b"TAG" and end - 128 >= at:
-        end -= 128
-        read_last_tag(data[end:], out)
+    last_tag = end - 128 if data[-128:-125] == b"TAG" else -1
     body, synced = [], False
     while at + 4 <= end:
+        if at == last_tag and synced:  # only where frames end; elsewhere the same bytes may be payload
+            read_last_tag(data[at:], out)
+            break
         head = parse_header(data[at : at + 4])
         ok = head is not None and at + head.length <= end
         if ok and not synced:  # a chance sync rarely has another header where its frame ends
             after = at + head.length
-            ok = after + 4 > end or parse_header(data[after : after + 4]) is not None
+            ok = after + 4 > end or after == last_tag or parse_header(data[after : after + 4]) is not None
         if not ok:
             found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found

@@ -218,8 +218,13 @@ def frequent_elements(docs: DataFrame, words: int, rows: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(id, n, d1, d2)``: size and 128-bit digest of each document's shingle set."""
+    """``(id, h, n, d1, d2)``: a hash of each document's text, size and 128-bit digest of its shingle set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = hasher(words)
@@ -229,9 +234,9 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 for text in x.column(1).to_pylist():
                     s = own(text_words(text))
                     rows.append((len(s), *digest(s)))
-                yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["id", "h", "n", "d1", "d2"])
 
-    return docs.select("id", "text").mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
+    return docs.select("id", "text", text_hash(F.col("text")).alias("h")).mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, d1 long, d2 long")
 
 
 def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -465,6 +470,20 @@ def join_classes(docs: DataFrame, sets: DataFrame, words: int, num: int, den: in
     return components(exact_links(pairs, words, num, den))
 
 
+def classified(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(id, h, n, component_id, keeper)`` for every row of ``(id, text)``; ``keeper`` is the least
+    (no id, id, h) of the component, both are null for texts without words."""
+    sets = materialize(document_sets(docs, words), "sets")
+    labels = join_classes(docs, sets, words, num, den)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
+    classes = sets.where("n > 0").groupBy(F.col("d1").alias("node"), "d2").agg(F.min("id").alias("least_id"), least)
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.min("least").alias("keeper"))
+    named = materialize(named.join(of, "label").select("node", "d2", "component_id", "keeper"), "components")
+    with_class = sets.where("n > 0").join(named, (F.col("d1") == F.col("node")) & (sets["d2"] == named["d2"])).select("id", "h", "n", "component_id", "keeper")
+    return with_class.unionByName(sets.where("n = 0").select("id", "h", "n"), allowMissingColumns=True)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -476,32 +495,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, num: int = NUM, den: in
     has no other; an empty table gives no rows. Classes go by 128-bit digests of
     hashed shingles and candidates by 64 bits of them; links are compared on words.
     """
-    source = id_text(docs, id_col, text_col)
-    sets = materialize(document_sets(source, words), "sets")
-    labels = join_classes(source, sets, words, num, den)
-    classes = sets.where("n > 0").groupBy(F.col("d1").alias("node"), "d2").agg(F.min("id").alias("least"))
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "label").select("node", "d2", "component_id"), "components")
-    with_class = sets.where("n > 0").join(named, (F.col("d1") == F.col("node")) & (sets["d2"] == named["d2"])).select("id", "n", "component_id")
-    alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return with_class.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    rows = classified(id_text(docs, id_col, text_col), words, num, den)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its smallest id; rows without words all stay.
+    """The rows of ``docs`` that stay when each component keeps one; rows without words all stay.
 
-    Rows that share id and component count as one document, the first by text stays;
-    an id goes with all its rows. Rows with a null id all stay.
+    The row with the smallest id stays, null ids last; among rows that share it the one with
+    the least hash of the text, and of rows that agree in id and text the first as JSON.
+    Different texts that share an id are documents of their own. An empty table gives no rows.
     Only rows that may have to go are moved.
     """
-    ids = materialize(near_duplicates(docs, words, num, den, id_col, text_col), "near-duplicates")
-    gone = ids.where("doc_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("id")).distinct()
-    again = ids.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id"), "component_id").count().where("count > 1 and id = component_id").select("id").distinct()
-    marks = materialize(gone.withColumn("gone", F.lit(True)).unionByName(again.join(gone, "id", "left_anti").withColumn("gone", F.lit(False))), "marks")
-    marked = by_bitmap(as_row(docs).withColumn("id", F.col(f"row.`{id_col}`")), marks)
-    far = marked.where("not __near")
-    near = marked.where("__near").join(marks.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left")
-    place = F.expr(f"row_number() over (partition by id order by row.`{text_col}`)")
-    once = near.where("gone = false").withColumn("__place", place).where("__place = 1")
-    return far.select("row.*").unionByName(near.where("gone is null").select("row.*")).unionByName(once.select("row.*"))
+    rows = materialize(classified(id_text(docs, id_col, text_col), words, num, den), "near-duplicates").where("n > 0")
+    own = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("h") == F.col("keeper.h"))
+    gone = rows.where(~own).select("id", "h").distinct().withColumn("gone", F.lit(True))
+    again = rows.where(own).groupBy("id", "h").count().where("count > 1").select("id", "h", F.lit(False).alias("gone"))
+    marks = materialize(gone.unionByName(again), "marks")
+    marked = by_bitmap(as_row(docs).withColumn("id", F.col(f"row.`{id_col}`")).withColumn("h", text_hash(F.col(f"row.`{text_col}`"))), marks)
+    named = marks.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "gone")
+    near = marked.where("__near").join(named, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "left")
+    once = near.where("gone = false").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return marked.where("not __near").select("row.*").unionByName(near.where("gone is null").select("row.*")).unionByName(once.select("row.*"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe_codec, mixing, mpeg_audio, ngram_join, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_topk
+from folioscope.llm import (
+    bpe_codec, hard_negatives, mixing, mpeg_audio, ngram_join, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_codes, vector_topk,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
@@ -62,6 +72,13 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_secret_scan": op10_secret_scan,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES = {"op6_vector_topk": vector_topk.ORACLE, "op8_reply_trees": reply_trees.ORACLE}
+ORACLES = {
+    "op6_vector_topk": vector_topk.ORACLE,
+    "op8_reply_trees": reply_trees.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}

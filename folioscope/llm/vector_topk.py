@@ -1,235 +1,15 @@
-"""Exact top-k inner products over a pivot-distance index.
-
-Vectors get one more component so that all have the same length; then the
-highest inner product is the nearest neighbour, and the triangle inequality holds.
-Each vector is keyed by its nearest pivot and its distance to it; vectors in the
-order of that key are cut in annuli of bounded size. Queries, likewise in blocks of
-near ones, expand annuli by the least distance that these may have, in waves of
-which each is four times as long as the one before. A wave raises the queries' k-th best
-scores and so shrinks their radii; annuli that no radius reaches any more are never read.
-"""
+"""Exact top-k inner products over the index of pivots and distances."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import materialize
+from folioscope.llm.pivot_index import HIGHEST, LOWEST, build, by_dimension, integers, search
 
 #: Production parameters: results per query, queries (ids divisible by), scale of the integers.
 K, EVERY, SCALE = 10, 100, 1024.0
-#: Bounds of what every task holds: sampled vectors and pivots; vectors of an annulus and queries of a block.
-SAMPLE, PIVOTS, BLOCK, QUERIES = 2_000, 48, 1_024, 256
-#: Components beyond it are held at it, so that scores stay within 64 bits.
-LARGEST = 1 << 24
-
-
-def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """``(uid, vec_id, v)`` with ``v`` = floor(scale * x), at most ``LARGEST`` in size; rows with a null id, no
-    vector, or null or non-finite parts go. ``uid`` tells rows apart that are alike; write the table before using it twice.
-    """
-    x = F.col(f"`{vector_col}`").cast("array<double>")
-    whole = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf")))
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"), whole.alias("whole"))
-    kept = rows.where("vec_id is not null and x is not null and size(x) > 0 and whole")
-    held = lambda y: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), y * scale))
-    return kept.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.transform("x", lambda y: F.floor(held(y)).cast("int")).alias("v"))
-
-
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows: exact in float64 while sums stay under 2**53, else in int64."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
-    if top < 2.0**53:
-        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ v.astype(np.int64).T
-
-
-def spread_pivots(rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows far apart: each next one has the largest distance to those taken."""
-    taken = [0]
-    near = np.linalg.norm(rows - rows[0], axis=1)
-    while len(taken) < min(n, len(rows)) and near.max() > 0:
-        taken.append(int(near.argmax()))
-        near = np.minimum(near, np.linalg.norm(rows - rows[taken[-1]], axis=1))
-    return rows[taken]
-
-
-def lifted(v: np.ndarray, longest: float) -> np.ndarray:
-    """Rows with one more component that makes their length ``longest``."""
-    v = v.astype(np.float64)
-    return np.concatenate([v, np.sqrt(np.maximum(longest**2 - (v * v).sum(1), 0.0))[:, None]], 1)
-
-
-def best(scores: np.ndarray, ids: np.ndarray, k: int, least: int) -> np.ndarray:
-    """Places of the k highest scores of at least ``least``, ties to smaller ids."""
-    if len(scores) > k:
-        least = max(least, int(np.partition(scores, len(scores) - k)[len(scores) - k]))
-    at = np.flatnonzero(scores >= least)
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
-
-
-def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.Array]]]:
-    """Number and columns of successive blocks of at most ``limit`` rows that agree in the first column, of sorted rows."""
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 32
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for a, b in zip(cuts, cuts[1:]):
-            while a < b:
-                if held and held[0].column(0)[0].as_py() != key[a]:
-                    number, held = number + 1, (yield number, held) or []
-                take = min(b - a, limit - sum(x.num_rows for x in held))
-                held.append(batch.slice(a, take))
-                a += take
-                if sum(x.num_rows for x in held) == limit:
-                    number, held = number + 1, (yield number, held) or []
-    if held:
-        yield number, held
-
-
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def top_k_of(vectors: DataFrame, dimension: int, k: int, every: int, shares: list[float] | None = None) -> DataFrame:
-    """``(query, query_id, vec_id, score, rank)`` among the vectors of one dimension; ``query`` is the query's uid.
-
-    The share of all (query, vector) pairs that were compared is added to ``shares``.
-    """
-    spark = vectors.sparkSession
-    longest = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y)))).first()[0])
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).collect()
-    sample_uids, sample_v = np.array([r.uid for r in sample]), np.array([r.v for r in sample], np.int32)
-    pivots = spread_pivots(lifted(sample_v, longest), PIVOTS)
-    slack = 1e-6 * (1 + longest)
-    lowest = np.iinfo(np.int64).min
-
-    def to_pivots(points: np.ndarray) -> np.ndarray:
-        square = (points * points).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * points @ pivots.T
-        return np.sqrt(np.maximum(square, 0.0))
-
-    def lifted_query(q: np.ndarray) -> np.ndarray:
-        return np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], 1)  # the query's own last part is 0
-
-    def radius(q: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """How far a vector of at least that score can be."""
-        square = (q.astype(np.float64) ** 2).sum(1) + longest**2 - 2.0 * least
-        return np.where(least == lowest, np.inf, np.sqrt(np.maximum(square, 0.0)) + slack)
-
-    def keyed(as_queries: bool) -> Callable:
-        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    v = matrix(b.column(2))
-                    d = to_pivots(lifted_query(v) if as_queries else lifted(v, longest))
-                    near = d.argmin(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), *b.columns], ["pivot", "distance", "uid", "vec_id", "v"])
-
-        return key
-
-    def in_order(rows: DataFrame, as_queries: bool) -> DataFrame:
-        keys = rows.select("uid", "vec_id", "v").mapInArrow(keyed(as_queries), "pivot int, distance double, uid long, vec_id long, v array<int>")
-        order = ["pivot", "distance", "uid"]  # the uid lets equal vectors go to several tasks
-        return materialize(keys, "pivot-index").repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in blocks_of(batches, BLOCK):
-            column = lambda i: np.concatenate([x.column(i).to_numpy() for x in held])  # noqa: E731, B023
-            v = np.concatenate([matrix(x.column(4)) for x in held]).astype("<i4")
-            d = column(1)
-            yield pa.RecordBatch.from_pylist([{"block": number, "pivot": held[0].column(0)[0].as_py(), "near": float(d[0]), "far": float(d[-1]), "n": len(d), "uids": column(2).astype("<i8").tobytes(), "ids": column(3).astype("<i8").tobytes(), "rows": v.tobytes()}], schema=block_schema)
-
-    block_schema = pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("n", pa.int64()), ("uids", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary())])
-    blocks = materialize(in_order(vectors, False).mapInArrow(pack, "block long, pivot int, near double, far double, n long, uids binary, ids binary, rows binary"), "annuli")
-
-    def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with a first bound of each one's k-th score, by the sample."""
-        for number, held in blocks_of(batches, QUERIES):
-            q = np.concatenate([matrix(x.column(4)) for x in held]).astype("<i4")
-            uids, ids = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (2, 3))
-            scores = products(q, sample_v)
-            least = np.full(len(q), lowest)
-            for i in range(len(q)):
-                others = scores[i][sample_uids != uids[i]]
-                if len(others) >= k:
-                    least[i] = np.partition(others, len(others) - k)[len(others) - k]
-            d = to_pivots(lifted_query(q))
-            yield pa.RecordBatch.from_pylist([{"queries": number, "m": len(q), "low": d.min(0).tolist(), "high": d.max(0).tolist(), "reach": float(radius(q, least).max()), "quids": uids.tolist(), "qids": ids.tolist(), "least": least.tolist(), "q": q.tobytes()}], schema=query_schema)
-
-    query_schema = pa.schema([("queries", pa.int64()), ("m", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("reach", pa.float64()), ("quids", pa.list_(pa.int64())), ("qids", pa.list_(pa.int64())), ("least", pa.list_(pa.int64())), ("q", pa.binary())])
-    own = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    packed = materialize(in_order(own, True).mapInArrow(pack_queries, "queries long, m long, low array<double>, high array<double>, reach double, quids array<long>, qids array<long>, least array<long>, q binary"), "query-blocks")
-
-    # the annuli that a block of queries may need, by the least distance, in waves
-    sides = packed.select("queries", "m", "reach", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "d"))
-    gap = F.greatest(F.lit(0.0), F.col("near") - F.col("d.high"), F.col("d.low") - F.col("far"))
-    pairs = sides.join(blocks.select("block", "pivot", "near", "far", "n"), "pivot").withColumn("gap", gap).where("gap <= reach")
-    place = F.expr("row_number() over (partition by queries order by gap, block)")
-    pairs = materialize(pairs.withColumn("wave", F.floor(F.log2(place) / 2).cast("int")).select("queries", "block", "gap", "wave", (F.col("m") * F.col("n")).alias("work")), "waves")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for i in range(b.num_rows):
-                pivot, near, far = (b.column(c)[i].as_py() for c in range(3))
-                uids, ids = (np.frombuffer(b.column(c)[i].as_py(), "<i8") for c in (3, 4))
-                v = np.frombuffer(b.column(5)[i].as_py(), "<i4").reshape(len(ids), dimension)
-                quids, qids, least = (b.column(c)[i].values.to_numpy() for c in (6, 7, 8))
-                q = np.frombuffer(b.column(9)[i].as_py(), "<i4").reshape(len(qids), dimension)
-                d = to_pivots(lifted_query(q))[:, pivot]
-                r = radius(q, least)
-                inside = np.flatnonzero((far >= d - r) & (near <= d + r))
-                if not len(inside):
-                    continue
-                for j, s in zip(inside.tolist(), products(q[inside], v)):
-                    other = uids != quids[j]
-                    scores, others = s[other], ids[other]
-                    for p in best(scores, others, k, int(least[j])).tolist():
-                        out.append((int(quids[j]), int(qids[j]), int(others[p]), int(scores[p])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["query", "query_id", "vec_id", "score"])
-
-    def raised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with the k-th scores of what was found, where they are higher than the bounds before."""
-        for b in batches:
-            rows = b.to_pylist()
-            for row in rows:
-                found = dict((x["query"], x["score"]) for x in row.pop("kth") or [])
-                row["least"] = [max(a, found.get(u, lowest)) for a, u in zip(row["least"], row["quids"])]
-                q = np.frombuffer(row["q"], "<i4").reshape(row["m"], dimension)
-                row["reach"] = float(radius(q, np.array(row["least"], np.int64)).max())
-            yield pa.RecordBatch.from_pylist(rows, schema=query_schema)
-
-    rank = F.expr("row_number() over (partition by query order by score desc, vec_id)")
-    found, compared = None, 0
-    waves, total = pairs.agg(F.max("wave"), F.sum("work")).first()
-    for wave in range(-1 if waves is None else waves + 1):
-        live = pairs.join(packed.select("queries", "reach"), "queries").where("gap <= reach")
-        left = live.where(F.col("wave") >= wave).agg(F.min("wave"), F.sum(F.when(F.col("wave") == wave, F.col("work")))).first()
-        if left[0] is None:
-            break  # no radius reaches an annulus that wasn't searched
-        if left[0] > wave:
-            continue
-        compared += left[1]
-        now = live.where(F.col("wave") == wave).select("queries", "block").join(packed, "queries").join(blocks, "block")
-        fresh = now.select("pivot", "near", "far", "uids", "ids", "rows", "quids", "qids", "least", "q").mapInArrow(search, "query long, query_id long, vec_id long, score long")
-        fresh = fresh if found is None else fresh.unionByName(found.drop("rank"))
-        found = materialize(fresh.withColumn("rank", rank).where(F.col("rank") <= k), "found")
-        places = packed.select("queries", F.explode("quids").alias("query"))
-        kth = found.where(F.col("rank") == k).join(places, "query").groupBy("queries").agg(F.collect_list(F.struct("query", "score")).alias("kth"))
-        packed = materialize(packed.join(kth, "queries", "left").select(*query_schema.names, "kth").mapInArrow(raised, packed.schema), "query-blocks")
-    if shares is not None:
-        n = vectors.count() * own.count()
-        shares.append(compared / n if n else 0.0)
-    return spark.createDataFrame([], "query long, query_id long, vec_id long, score long, rank int") if found is None else found
 
 
 def top_k(
@@ -246,15 +26,17 @@ def top_k(
     Queries are the rows with an id divisible by ``every``; candidates are all other
     rows, repeated ones and those with the query's id too, and a repeated query has its
     own k results each time. Null vectors and those with null or non-finite parts take
-    no part; very large parts are held at ``LARGEST``; only vectors of equal dimension
-    meet, one pass for each dimension; an empty table gives no rows. ``shares`` takes
-    the share of (query, vector) pairs compared, for each dimension.
+    no part, nor do rows with a null id. Sums are exact; one that passes 64 bits counts as
+    the nearest 64-bit number. Only vectors of equal dimension meet, empty ones with a score of 0, one pass
+    for each dimension; an empty table gives no rows. ``shares`` takes the share of (query, vector) pairs
+    compared, for each dimension.
     """
-    rows = materialize(integers(vectors, id_col, vector_col, scale), "vectors")
+    rows = materialize(integers(vectors, id_col, vector_col, scale, F.lit(0)), "vectors")
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    for n in sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()):
-        part = top_k_of(rows.where(F.size("v") == n), n, k, every, shares)
-        found = found.unionByName(part.select("query_id", "rank", "vec_id", "score"))
+    for n, part in by_dimension(rows):
+        asked = part.where(F.pmod("vec_id", F.lit(every)) == 0)
+        asked = materialize(asked.select(F.col("uid").alias("query"), "*", F.lit(LOWEST).alias("low"), F.lit(HIGHEST).alias("high")), "queries")
+        found = found.unionByName(search(build(part, n), asked, k, shares=shares).select("query_id", "rank", "vec_id", "score"))
     return found
 
 

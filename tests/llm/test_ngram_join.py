@@ -105,7 +105,10 @@ def test_keep_one(spark):
     docs = documents(spark, ["a b c d", "A b c d", "other", None, "", "a b c d", "b", "c"], ids=[5, 2, 9, 7, 7, None, 2, None], extra=True)
     kept = j.keep_one(docs, 3, 90, 100)
     assert kept.schema == docs.schema
-    assert rows_of(kept, "doc_id", "text") == [(None, "a b c d"), (None, "c"), (2, "A b c d"), (7, None), (7, ""), (9, "other")]
+    assert rows_of(kept, "doc_id", "text") == [(None, "c"), (2, "A b c d"), (2, "b"), (7, None), (7, ""), (9, "other")]
+    shared = documents(spark, ["a", "a", "b", "c", "d", "a", "a"], ids=[1, 2, 2, 3, 3, None, None])
+    assert rows_of(j.keep_one(shared, 3, 90, 100), "doc_id", "text") == [(1, "a"), (2, "b"), (3, "c"), (3, "d")]
+    assert rows_of(j.keep_one(documents(spark, ["a"] * 3 + ["b"] * 2, ids=[None, None, None, 4, 4]), 3, 90, 100), "doc_id", "text") == [(None, "a"), (4, "b")]
     assert j.keep_one(documents(spark, []), 5, 80, 100).collect() == []
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import (
-    bpe_codec, hard_negatives, mixing, mpeg_audio, ngram_join, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_codes, vector_topk,
+    bpe_codec, hard_negatives, html_extract, mixing, mpeg_audio, ngram_join, reply_trees, secret_scan, token_counts, token_files, toxicity, vector_codes, vector_topk,
 )
 
 
@@ -53,6 +53,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_secret_scan": op10_secret_scan,
+    "op11_html_extract": op11_html_extract,
     "op12_vector_codes": op12_vector_codes,
     "op13_hard_negatives": op13_hard_negatives,
 }

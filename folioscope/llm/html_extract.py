@@ -174,7 +174,8 @@ def classify(p: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndar
         while n < len(order) and (n + 1) * len(pages[order[n]]) <= BLOCKS:
             n += 1
         if not n:
-            out[order[0]] = classify_long(p, pages[order.pop(0)])
+            i = order.pop(0)
+            out[i] = classify_long(p, pages[i])
             continue
         part, order = order[:n], order[n:]
         lengths = np.array([len(pages[i]) for i in part])

@@ -53,18 +53,34 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(trimmed(c), "(?<=[.!?])\\s+"), lambda s: s != "")
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits: a carry runs through all places of ``a`` at once."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    a, b = a[lead:], b[lead:]
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return lead
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    free = whole
+    for x in b:
+        at = places.get(x)
+        if at is not None:
+            hit = free & at
+            free = (free + hit | free - hit) & whole
+    return lead + len(a) - free.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths, in percent."""
-    if not a and not b:
-        return 100.0
     if a == b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
 def token_set_score(a: str | None, b: str | None) -> float:
@@ -75,13 +91,14 @@ def token_set_score(a: str | None, b: str | None) -> float:
     common = " ".join(sorted(x & y))
     if common and (x <= y or y <= x):
         return 100.0
-    left, right = (" ".join([common, *sorted(z)]).strip() for z in (x - y, y - x))
-    pairs = [(left, right)] + ([(common, left), (common, right)] if common else [])
-    return max(indel_ratio(p, q) for p, q in pairs)
+    left, right = (" ".join([*filter(None, [common]), *sorted(z)]) for z in (x - y, y - x))
+    n = len(common)
+    # the shared tokens lead both sides, so their part of the subsequence is known
+    return max(indel_ratio(left, right), *(200.0 * n / (n + len(side)) for side in (left, right)))
 
 
 def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_score(x, y) for x, y in zip(a, b)])
+    return pd.Series([token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
@@ -89,19 +106,64 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_scores, "double")(a, b)
 
 
-def any_match(needle: Column, hay: Column, jaccard: float = 0.5) -> Column:
-    """Whether a normalised needle and one of an array of normalised texts hold each other or share tokens enough.
+def token_set_bounds(a: Column, b: Column) -> Column:
+    """``struct(low, high)``: what the score of two normalised texts is at least and at most, by tokens and lengths alone.
 
-    The fuzzy ratio needs Python; use ``token_set_ratio`` on the pairs that fail here.
+    The score of the shared tokens with either side is exact; the sides' own tokens add at most their shorter length.
     """
-    def one(h: Column) -> Column:
-        return F.contains(h, needle) | F.contains(needle, h) | (token_jaccard(F.array_distinct(tokens(h)), F.array_distinct(tokens(needle))) >= jaccard)
-    return F.exists(hay, one)
+    x, y = F.array_distinct(tokens(F.coalesce(a, F.lit("")))), F.array_distinct(tokens(F.coalesce(b, F.lit(""))))
+    size = lambda t: F.length(F.array_join(t, " "))
+    shared = F.array_intersect(x, y)
+    n, left, right = size(shared), size(F.array_except(x, y)), size(F.array_except(y, x))
+    gap = (n > 0).cast("int")
+    none, all_shared = (F.size(x) == 0) | (F.size(y) == 0), (n > 0) & ((left == 0) | (right == 0))
+    both = 2 * (n + gap) + left + right
+    low = F.when(n > 0, 200 * n / (2 * n + 1 + F.least(left, right))).otherwise(0.0)
+    high = F.greatest(low, 200 * (n + gap + F.least(left, right)) / both)
+    value = lambda v: F.when(none, 0.0).when(all_shared, 100.0).otherwise(v)
+    return F.struct(value(low).alias("low"), value(high).alias("high"))
+
+
+def _reach(needle: pd.Series, hay: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series([n is not None and h is not None and any(token_set_score(n, x) >= least for x in h) for n, h, least in zip(needle, hay, limit)])
 
 
-def all_needles_match(needles: Column, hay: Column, jaccard: float = 0.5) -> Column:
-    return F.forall(needles, lambda n: any_match(n, hay, jaccard))
+#: Least token-set score and least share of common tokens of a match.
+FUZZY, SHARED = 85, 0.5
 
 
-def any_needles_match(needles: Column, hay: Column, jaccard: float = 0.5) -> Column:
-    return F.exists(needles, lambda n: any_match(n, hay, jaccard))
+def _plain_match(needle: Column, h: Column, jaccard: float, fuzzy: float | None) -> Column:
+    plain = F.contains(h, needle) | F.contains(needle, h) | (token_jaccard(F.array_distinct(tokens(h)), F.array_distinct(tokens(needle))) >= jaccard)
+    return plain if fuzzy is None else plain | (token_set_bounds(needle, h)["low"] >= fuzzy)
+
+
+def any_match(needle: Column, hay: Column, jaccard: float = SHARED, fuzzy: float | None = FUZZY) -> Column:
+    """Whether a normalised needle and one of an array of normalised texts hold each other, share tokens enough or score ``fuzzy``.
+
+    Only texts that their tokens and lengths neither take nor rule out are scored in Python; with ``fuzzy`` None none are.
+    An empty or null needle, and null or empty texts, match nothing.
+    """
+    texts = F.filter(F.coalesce(hay, F.array().cast("array<string>")), lambda h: h.isNotNull() & (h != ""))
+    given = F.coalesce(needle != "", F.lit(False))
+    plain = given & F.exists(texts, lambda h: _plain_match(needle, h, jaccard, fuzzy))
+    if fuzzy is None:
+        return plain
+    open_texts = F.filter(texts, lambda h: token_set_bounds(needle, h)["high"] >= fuzzy)
+    asked = F.when(given & ~plain & (F.size(open_texts) > 0), open_texts)
+    return plain | F.pandas_udf(_reach, "boolean")(needle, asked, F.lit(float(fuzzy)))
+
+
+def all_needles_match(needles: list[Column], hay: Column, jaccard: float = SHARED, fuzzy: float | None = FUZZY) -> Column:
+    """Whether each of the needles matches; with none, true."""
+    out = F.lit(True)
+    for n in needles:
+        out = out & any_match(n, hay, jaccard, fuzzy)
+    return out
+
+
+def any_needles_match(needles: list[Column], hay: Column, jaccard: float = SHARED, fuzzy: float | None = FUZZY) -> Column:
+    """Whether one of the needles matches; with none, false."""
+    out = F.lit(False)
+    for n in needles:
+        out = out | any_match(n, hay, jaccard, fuzzy)
+    return out

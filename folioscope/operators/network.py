@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.stats import ranked
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write and read back in the shared folder, where one is set, to cut the lineage of a loop."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from folioscope.sources.tables import cut
 
 
 def collaboration_pairs(authorship: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import affiliation, entities, identifiers, text, vectors
 from folioscope.operators import annotations, dedupe, filters, fulltext, graph, merge, network, query_language, stats
-from folioscope.plans import services
+from folioscope.plans import mined, services
 from folioscope.plans.views import oracle, table, view
 from folioscope.streaming import state
 
@@ -287,6 +287,8 @@ register("prisma_summary", on("api_log", lambda e: stats.prisma_summary(e.select
 
 for name, query in services.QUERIES.items():
     register(name, query, services.ORACLES.get(name))
+for name, query in mined.QUERIES.items():
+    register(name, query, *mined.ORACLES.get(name, ()))
 
 #: Names under which whole tables were read while the plain names read a part of them; both are the same now.
 for name in ("coauthor_pairs", "degree_centrality", "core_researchers", "collaboration_matrix", "research_groups", "coauthor_edges", "merge_authors"):

@@ -46,9 +46,25 @@ SOURCE_A = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_n
 SOURCE_B = "SELECT p_partkey AS id, p_name || ' b' AS title, p_type AS journal, p_size + 1 AS cited, 'https://doi.org/10.1/' || CAST(p_partkey % 100 AS STRING) AS doi FROM {part} WHERE p_partkey % 3 = 0"
 SOURCE_C = "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name || ' c' END AS title, CAST(NULL AS STRING) AS journal, p_size - 1 AS cited, CAST(NULL AS STRING) AS doi FROM {part} WHERE p_partkey % 5 <> 1"
 
+#: Affiliations with states, postal codes and countries in several places, or none.
+AFFILIATION_TEXTS = """
+SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Dept ' || o_orderkey % 7 || ', University ' || o_orderkey % 50 || ', City ' || o_orderkey % 30 || ', CA 94' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || ', USA'
+  WHEN 1 THEN 'Institute ' || o_orderkey % 50 || ', Town ' || o_orderkey % 30 || ', NSW, ' || (2000 + o_orderkey % 500) || ', Australia' WHEN 2 THEN 'College ' || o_orderkey % 50 || ', Paris, France.'
+  WHEN 3 THEN 'Centre ' || o_orderkey % 50 WHEN 4 THEN 'Hospital ' || o_orderkey % 50 || ', Borough ' || o_orderkey % 9 || ', SW1A 1AA, UK' WHEN 5 THEN '' END AS text FROM {orders}
+"""
+
+#: Citations as plain text, in several forms.
+CITATION_TEXTS = """
+SELECT o.o_orderkey AS id, c.c_mktsegment || ' ' || o.o_orderpriority || ' ' || CAST(o.o_orderkey % 1999 AS STRING) AS title, CAST(CAST(year(o.o_orderdate) AS INT) AS STRING) AS y,
+  CASE o.o_orderkey % 4 WHEN 0 THEN 'Roe A' || o.o_orderkey % 7 || ', Poe B, et al. ' || c.c_mktsegment || ' ' || o.o_orderpriority || ' ' || CAST(o.o_orderkey % 1999 AS STRING) || '. Annals of Things. ' || CAST(CAST(year(o.o_orderdate) AS INT) AS STRING) || ';' || (o.o_orderkey % 90 + 1) || ':5-' || (o.o_orderkey % 90 + 7) || '. doi:10.1/' || o.o_orderkey || '. PMID: ' || o.o_orderkey
+    WHEN 1 THEN 'Smith J. ' || c.c_mktsegment || ' ' || o.o_orderpriority || ' ' || CAST(o.o_orderkey % 1999 AS STRING) || ' (' || CAST(CAST(year(o.o_orderdate) AS INT) AS STRING) || ')'
+    WHEN 2 THEN 'Roe A et al. ' || c.c_mktsegment || ' ' || o.o_orderpriority || ' ' || CAST(o.o_orderkey % 1999 AS STRING) || '. Letters ' || (o.o_orderkey % 90 + 1) || '(' || CAST(CAST(year(o.o_orderdate) AS INT) AS STRING) || ')' ELSE 'NOTHING ' || o.o_orderkey END AS text
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
+"""
+
 API_LOG = "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}"
 
-VIEWS = {"papers": PAPERS, "net_authors": NET_AUTHORS, "citations": CITATIONS, "docs": DOCS, "source_a": SOURCE_A, "source_b": SOURCE_B, "source_c": SOURCE_C, "api_log": API_LOG}
+VIEWS = {"papers": PAPERS, "net_authors": NET_AUTHORS, "citations": CITATIONS, "docs": DOCS, "source_a": SOURCE_A, "source_b": SOURCE_B, "source_c": SOURCE_C, "api_log": API_LOG, "affiliation_texts": AFFILIATION_TEXTS, "citation_texts": CITATION_TEXTS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

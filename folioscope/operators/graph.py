@@ -30,21 +30,47 @@ def iri(name: str) -> str:
     return PREFIXES[prefix] + local if prefix in PREFIXES else name
 
 
+def fact(s: Column, p: str, o: Column, g: str, datatype: str | None = None) -> Column:
+    """One row of the graph as a struct; without a datatype the object is an address."""
+    literal = datatype is not None
+    return F.struct(s.alias("s"), F.lit(iri(p)).alias("p"), o.cast("string").alias("o"), F.lit("literal" if literal else "iri").alias("o_kind"), F.lit(iri(datatype) if literal else None).cast("string").alias("o_datatype"), F.lit(g).alias("g"))
+
+
+def field_facts(subject: Column, fields: dict[str, tuple[str, str]], g: str) -> list[Column]:
+    """Facts of columns: field -> (predicate, datatype or "iri")."""
+    return [fact(subject, p, F.col(c), g, None if t == "iri" else t) for c, (p, t) in fields.items()]
+
+
+def link_facts(subject: Column, predicate: str, target: Column, g: str, inverse: str | None = None) -> list[Column]:
+    """An address for each row, and the way back if it is named."""
+    there = [fact(subject, predicate, target, g)]
+    return there + [fact(target, inverse, subject, g)] if inverse else there
+
+
+def emitted(df: DataFrame, facts: list[Column], lists: list[Column] | None = None) -> DataFrame:
+    """All facts of each row, single ones and arrays of them, by one explode, and each row once: one scan and one exchange.
+
+    Facts whose subject or object is null or empty are left out.
+    """
+    items = F.array(*facts) if facts else None
+    for more in lists or []:
+        some = F.coalesce(more, F.array().cast(FACTS))
+        items = some if items is None else F.concat(items, some)
+    rows = df.select(F.explode(F.filter(items, lambda x: x["s"].isNotNull() & (x["o"] != ""))).alias("x"))
+    return rows.select(*(F.col(f"x.{c}") for c in COLUMNS)).distinct()
+
+
+FACTS = "array<struct<s:string,p:string,o:string,o_kind:string,o_datatype:string,g:string>>"
+
+
 def triples(df: DataFrame, subject: Column, fields: dict[str, tuple[str, str]], graph: str) -> DataFrame:
-    """Melt columns: field -> (predicate, datatype or "iri"); null and empty values make no row."""
-    items = F.array(*(F.struct(F.lit(iri(p)).alias("p"), F.col(c).cast("string").alias("o"), F.lit("iri" if t == "iri" else "literal").alias("o_kind"), F.lit(None if t == "iri" else iri(t)).cast("string").alias("o_datatype")) for c, (p, t) in fields.items()))
-    melted = df.select(subject.alias("s"), F.explode(F.filter(items, lambda x: x["o"].isNotNull() & (x["o"] != ""))).alias("x"))
-    return melted.select("s", "x.p", "x.o", "x.o_kind", "x.o_datatype", F.lit(graph).alias("g"))
+    """Melt columns: field -> (predicate, datatype or "iri"); null and empty values make no row, and each row comes once."""
+    return emitted(df, field_facts(subject, fields, graph))
 
 
 def links(df: DataFrame, subject: Column, predicate: str, target: Column, graph: str, inverse: str | None = None) -> DataFrame:
     """One IRI triple for each row, and its inverse if one is named; duplicates go."""
-    def made(s: Column, p: str, o: Column) -> DataFrame:
-        return df.select(s.alias("s"), F.lit(iri(p)).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(graph).alias("g"))
-    out = made(subject, predicate, target)
-    if inverse:
-        out = out.unionByName(made(target, inverse, subject))
-    return out.where("s is not null and o is not null").distinct()
+    return emitted(df, link_facts(subject, predicate, target, graph, inverse))
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -77,7 +103,7 @@ PAPER_FIELDS = {
 
 
 def paper_triples(papers: DataFrame) -> DataFrame:
-    return triples(papers, paper_uri(), {c: t for c, t in PAPER_FIELDS.items() if c in papers.columns}, "publications").distinct()
+    return triples(papers, paper_uri(), {c: t for c, t in PAPER_FIELDS.items() if c in papers.columns}, "publications")
 
 
 def collaboration_links(authorship: DataFrame) -> DataFrame:
@@ -99,26 +125,41 @@ def institution_members(affiliations: DataFrame) -> DataFrame:
     return known.groupBy("affiliation").agg(F.count_distinct("author").alias("members")).select(institution_uri(F.col("affiliation")).alias("org"), F.col("affiliation").alias("name"), "members")
 
 
+#: Points of a score beside its start of a half, and the least scores of the levels.
+START = 0.5
+PAPER_POINTS = {"doi": 0.2, "pmid": 0.1, "title": 0.1, "citedByCount": 0.1}
+AUTHOR_POINTS = {"orcid": 0.2, "affiliation": 0.1, "name": 0.2}
+INSTITUTION_POINTS = {"country": 0.1, "type": 0.1, "name": 0.1, "members": 0.1}
+LEVELS = (("high", 0.8), ("medium", 0.6))
+
+
+def score(points: dict[str, float], **tests: Column) -> Column:
+    """A half and the points of each field that is given, or passes its own test; one at most."""
+    total = F.lit(START)
+    for field, value in points.items():
+        passed = tests.get(field, F.col(field).cast("string") != "")
+        total = total + F.when(passed, value).otherwise(0.0)
+    return F.least(F.lit(1.0), total)
+
+
 def paper_quality() -> Column:
-    has = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")).isNotNull(), F.lit(False))
-    one = lambda test, points: F.when(test, points).otherwise(0.0)
-    pmid = one(F.coalesce(F.col("pmid") != "", F.lit(False)), 0.1)
-    return F.least(F.lit(1.0), F.lit(0.5) + one(has("doi"), 0.2) + pmid + one(has("title"), 0.1) + one(F.col("citedByCount") > 0, 0.1))
+    return score(PAPER_POINTS, citedByCount=F.col("citedByCount") > 0)
 
 
 def author_quality() -> Column:
-    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    return F.lit(0.5) + F.when(has("orcid"), 0.2).otherwise(0.0) + F.when(has("affiliation"), 0.1).otherwise(0.0) + F.when(has("name"), 0.2).otherwise(0.0)
+    return score(AUTHOR_POINTS)
 
 
 def institution_quality() -> Column:
-    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    return F.lit(0.5) + F.when(has("country"), 0.1).otherwise(0.0) + F.when(has("type"), 0.1).otherwise(0.0) + F.when(F.length("name") > 10, 0.1).otherwise(0.0) + F.when(F.col("members") > 0, 0.1).otherwise(0.0)
+    return score(INSTITUTION_POINTS, name=F.length("name") > 10, members=F.col("members") > 0)
 
 
 def confidence_level(score: Column) -> Column:
-    """High from .8, medium from .6; a hair of slack stands for sums of tenths."""
-    return F.when(score >= 0.8 - 1e-9, "high").when(score >= 0.6 - 1e-9, "medium").otherwise("low")
+    """The first level that a score reaches, else low; a hair of slack stands for sums of tenths."""
+    level = F.lit("low")
+    for name, least in reversed(LEVELS):
+        level = F.when(score >= least - 1e-9, name).otherwise(level)
+    return level
 
 
 def provenance(df: DataFrame, subject: Column, sources: Column, run_ts: str, graph: str = "provenance") -> DataFrame:

@@ -124,27 +124,22 @@ def collaboration_rate(papers: DataFrame) -> DataFrame:
 
 
 #: Wordings that name a class of licences, the first that a text holds counts.
-LICENSE_WORDS = {"public domain": "Public Domain", "publisher": "Publisher", "copyright": "Publisher", "open access": "Open Access", "creative commons": "Creative Commons (other)"}
+LICENSE_WORDS = {"cc0": "CC0", "public domain": "Public Domain", "publisher": "Publisher", "copyright": "Publisher", "open access": "Open Access", "creative commons": "Creative Commons (other)"}
 #: A Creative Commons code: its conditions are the parts behind "cc-by".
 LICENSE_CODE = "cc-by((?:-(?:nc|nd|sa))*)"
 
 
 def normalized_license(license: Column) -> Column:
-    """The class of a licence: the conditions of its code, else its wording, else the text itself.
+    """The class of a licence: that of its code, else of its wording, else the text itself.
 
-    Share-alike isn't told apart. A code with fewer conditions than the rest of the
-    text seems to speak of ("nc" or "nd" anywhere) isn't trusted, but for the share-alike code's name.
+    A code's class is made of the conditions in it, whatever else the text says; share-alike isn't told apart.
     """
     low = F.lower(trimmed(license))
-    parts = F.split(F.regexp_extract(low, LICENSE_CODE, 1), "-")
-    rest = F.regexp_replace(low, LICENSE_CODE, "")
-    part = lambda p: F.array_contains(parts, p)
-    doubtful = ~part("nd") & (F.contains(rest, F.lit("nd")) | (~part("nc") & F.contains(rest, F.lit("nc"))))
-    code = F.concat_ws("-", F.lit("CC-BY"), F.when(part("nc"), F.lit("NC")), F.when(part("nd"), F.lit("ND")))
-    coded = F.when(F.contains(low, F.lit("cc-by")), F.when(~doubtful, code).when(part("sa") & ~part("nc"), F.lit("CC-BY-SA")))
-    worded = F.coalesce(*(F.when(F.contains(low, F.lit(text)), F.lit(name)) for text, name in LICENSE_WORDS.items()))
-    free = F.when(F.contains(low, F.lit("cc0")), F.lit("CC0"))
-    return F.coalesce(F.when(~F.contains(low, F.lit("cc-by")) | doubtful, free), coded, F.when(low == "pd", F.lit("Public Domain")), worded, F.nullif(trimmed(license), F.lit("")), F.lit("Unknown"))
+    conditions = F.split(F.regexp_extract(low, LICENSE_CODE, 1), "-")
+    named = [F.when(F.array_contains(conditions, c), F.lit(c.upper())) for c in ("nc", "nd")]
+    code = F.when(F.rlike(low, F.lit(LICENSE_CODE)), F.concat_ws("-", F.lit("CC-BY"), *named))
+    worded = [F.when(F.contains(low, F.lit(text)), F.lit(name)) for text, name in LICENSE_WORDS.items()]
+    return F.coalesce(code, F.when(low == "pd", F.lit("Public Domain")), *worded, F.nullif(trimmed(license), F.lit("")), F.lit("Unknown"))
 
 
 def license_distribution(papers: DataFrame, top_n: int | None = None) -> DataFrame:

@@ -103,7 +103,10 @@ register(
     CAST(sum(citedByCount) AS BIGINT) AS total_citations, CAST(quantile_cont(citedByCount, 0.25) AS DOUBLE) AS p25, CAST(quantile_cont(citedByCount, 0.75) AS DOUBLE) AS p75, CAST(quantile_cont(citedByCount, 0.9) AS DOUBLE) AS p90 FROM papers GROUP BY 1""",
     "papers",
 )
-register("access_effect", on("papers", stats.access_citation_effect))
+#: Both groups have thousands of papers, where 1.96 stands for the 5 % point of Student's t.
+register("access_effect", on("papers", stats.access_citation_effect), """SELECT coalesce(round(CASE WHEN n_o > 1 AND n_c > 1 AND p > 0 THEN (m_o - m_c) / p END, 4), 0.0) AS effect_size, coalesce(n_o > 1 AND n_c > 1 AND abs((m_o - m_c) / sqrt(v_o / n_o + v_c / n_c)) > 1.962, false) AS is_significant,
+    coalesce(round(CASE WHEN m_c > 0 THEN (m_o - m_c) / m_c * 100 END, 2), 0.0) AS citation_impact_score FROM (SELECT *, sqrt((v_o * (n_o - 1) + v_c * (n_c - 1)) / (n_o + n_c - 2)) AS p FROM (SELECT count(*) FILTER (o) AS n_o, count(*) FILTER (NOT o) AS n_c, avg(c) FILTER (o) AS m_o, avg(c) FILTER (NOT o) AS m_c,
+    var_samp(c) FILTER (o) AS v_o, var_samp(c) FILTER (NOT o) AS v_c FROM (SELECT CAST(citedByCount AS DOUBLE) AS c, isOpenAccess = 'Y' AS o FROM papers)))""", "papers")
 TREND = " UNION ALL ".join(f"SELECT '{k}' AS key, {YEAR} AS year FROM papers WHERE " + " OR ".join(f"contains(lower(title) || ' ' || lower(abstractText), '{t.lower()}')" for t in ts) for k, ts in TREND_TERMS.items())
 TREND_COUNTS = f"(SELECT key, year, count(*) AS count FROM ({TREND}) WHERE year IS NOT NULL GROUP BY 1, 2)"
 register("disease_trends", on("papers", lambda p: stats.disease_trends(p, TREND_TERMS)), f"SELECT key, year, count FROM {TREND_COUNTS}", "papers")
@@ -267,7 +270,8 @@ def jats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("section_rows", lambda spark, d: fulltext.child(jats(spark, d), "sections").select("paper_id", F.col("pos").cast("int").alias("pos"), "title"), "SELECT doc_id AS paper_id, CAST(unnest(range(len(string_split(abstract, chr(10))))) AS INTEGER) AS pos, 'S' || pos AS title FROM docs", "docs")
-register("tag_frequencies", lambda spark, d: fulltext.tag_frequencies(jats(spark, d)))
+register("tag_frequencies", lambda spark, d: fulltext.tag_frequencies(jats(spark, d)), """SELECT t AS tag, CAST(sum(CASE WHEN t IN ('sec', 'title', 'p') THEN lines ELSE 1 END) AS BIGINT) AS count FROM (SELECT len(string_split(abstract, chr(10))) AS lines FROM docs WHERE abstract IS NOT NULL),
+    (SELECT unnest(['article', 'front', 'article-meta', 'title-group', 'article-title', 'body', 'sec', 'title', 'p']) AS t) GROUP BY 1""", "docs")
 register("rate_window_1s", on("api_log", lambda e: state.rate_windows(e, 2, 1)), "SELECT date_trunc('second', ts) AS start, count(*) AS requests, count(*) >= 1.6 AS warned, count(*) > 2 AS exceeded FROM api_log GROUP BY 1", "api_log")
 #: A key's first event misses, and so does its first one later than the time to live after the miss before.
 MISSES = """WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS moment FROM api_log WHERE ts IS NOT NULL),

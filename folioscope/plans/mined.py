@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import places, text
-from folioscope.operators import citations, identity, search_entities
+from folioscope.operators import citations, deep_merge, graph, identity, nodes, quarantine, search_entities
 from folioscope.plans.views import table, view
+from folioscope.sources import graph_store
+from folioscope.sources.tables import cut, shared_path
 
 QUERIES: dict = {}
 #: SQL with the names of the views that it uses.
@@ -165,3 +167,81 @@ ORACLES["institution_entities"] = (
     SELECT t.entity, t.mentions, o.ror, g.grid, i.isni, v.name FROM (SELECT CAST(entity AS BIGINT) AS entity, count(*) AS mentions FROM x GROUP BY 1) t
     LEFT JOIN v ON v.entity = t.entity AND v.place = 1 LEFT JOIN o ON o.entity = t.entity AND o.place = 1 LEFT JOIN g ON g.entity = t.entity AND g.place = 1 LEFT JOIN i ON i.entity = t.entity AND i.place = 1)""",
 )
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a record for each order."""
+    texts = """CASE n WHEN 0 THEN concat('{"a":', k % 3, ',"b":{"c":', k % 5, ',"d":"x"}}') WHEN 1 THEN CASE WHEN k % 4 = 0 THEN '{"b":"flat"}' WHEN k % 4 = 1 THEN 'broken' ELSE concat('{"b":{"e":[', k % 7, ']}}') END
+      ELSE CASE WHEN k % 6 = 0 THEN '{"a":{"n":1},"b":{"f":{}}}' WHEN k % 6 = 1 THEN '{"a":null}' ELSE '{}' END END"""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "explode(array(0, 1, 2)) AS n").selectExpr("k AS id", "n AS seq", f"{texts} AS json")
+
+
+QUERIES["merged_records"] = lambda spark, d: deep_merge.merged(versions(spark, d))
+ORACLES["merged_records"] = (
+    """SELECT k AS id, '{"a":' || CASE k % 6 WHEN 0 THEN '{"n":1}' WHEN 1 THEN 'null' ELSE CAST(k % 3 AS VARCHAR) END || ',"b":' || CASE WHEN k % 4 = 0 AND k % 6 <> 0 THEN '"flat"'
+      ELSE '{' || concat_ws(',', CASE WHEN k % 4 <> 0 THEN '"c":' || k % 5 || ',"d":"x"' END, CASE WHEN k % 4 > 1 THEN '"e":[' || k % 7 || ']' END, CASE WHEN k % 6 = 0 THEN '"f":{}' END) || '}' END || '}' AS json FROM (SELECT o_orderkey AS k FROM orders)""",
+)
+
+
+def landed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is set apart of records of which some are broken."""
+    text = """CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN '{"id":' WHEN 3 THEN '[1]' WHEN 4 THEN '{}' WHEN 5 THEN '{"id":" "}' ELSE concat('{"id":', event_id, '}') END"""
+    rows = view(spark, sf_dir, "api_log").selectExpr("event_id", f"{text} AS json")
+    path = shared_path(spark, "landed")
+    quarantine.set_apart(rows, path)
+    return spark.read.parquet(path).select("event_id", "fault", F.col("quarantined").cast("boolean").alias("quarantined"))
+
+
+QUERIES["landed_faults"] = landed_faults
+ORACLES["landed_faults"] = ("SELECT event_id, ['null', 'empty', 'no json', 'no object', 'no fields', 'no id', NULL, NULL][event_id % 8 + 1] AS fault, event_id % 8 < 6 AS quarantined FROM api_log", "api_log")
+
+
+def article_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rows of articles made of documents: a section for each line, with a section inside of it and a list of items."""
+    plain = F.regexp_replace("abstract", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{fffe}\\x{ffff}]", "")
+    escaped = F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    section = lambda p, i: F.concat(F.lit("<sec id='s"), i.cast("string"), F.lit("'><title>S"), i.cast("string"), F.lit("</title><p>"), p, F.lit("</p><sec kind='inner'><title>I"), i.cast("string"), F.lit("</title><p>note <b>"), i.cast("string"), F.lit("</b></p></sec></sec>"))
+    xml = F.concat(F.lit("<!DOCTYPE article><article xml:lang='en'><front><article-title>T "), F.col("doc_id").cast("string"), F.lit("</article-title></front><body>"), F.array_join(F.transform(F.split(escaped, "\n"), section), ""), F.lit("</body></article>"))
+    docs = view(spark, sf_dir, "docs").select("doc_id", xml.alias("xml"))
+    return cut(nodes.shred(docs, "doc_id", "xml"), "nodes")
+
+
+PATTERNS = {"title": "front/article-title", "outer": "body/sec/title", "inner": ".//sec[@id]/sec/title", "note": ".//sec[@kind='inner']//b", "identified": ".//body/sec[@id]"}
+QUERIES["element_patterns"] = lambda spark, d: nodes.by_patterns(article_nodes(spark, d), PATTERNS, {"identified": "id"})
+LINES = "(SELECT doc_id, CAST(unnest(range(len(string_split(abstract, chr(10))))) AS INTEGER) AS i FROM docs WHERE abstract IS NOT NULL)"
+ORACLES["element_patterns"] = (
+    f"""SELECT doc_id AS doc, 'title' AS field, CAST(0 AS INTEGER) AS pos, 'T ' || doc_id AS value FROM docs WHERE abstract IS NOT NULL UNION ALL SELECT doc_id, f, i, CASE f WHEN 'outer' THEN 'S' || i WHEN 'inner' THEN 'I' || i WHEN 'note' THEN CAST(i AS VARCHAR) ELSE 's' || i END
+    FROM {LINES}, (SELECT unnest(['outer', 'inner', 'note', 'identified']) AS f)""",
+    "docs",
+)
+QUERIES["nested_sections"] = lambda spark, d: nodes.sections(article_nodes(spark, d)).select("doc", "pos", F.col("parent_section").isNotNull().alias("inside"), "title", F.when(F.col("parent_section").isNotNull(), F.col("content")).alias("inner_content"), F.length(F.regexp_replace("content", "\\s", "")).alias("n"))
+ORACLES["nested_sections"] = (
+    f"""SELECT doc_id AS doc, CAST(2 * i + k AS INTEGER) AS pos, k = 1 AS inside, CASE k WHEN 0 THEN 'S' ELSE 'I' END || i AS title, CASE k WHEN 1 THEN 'note ' || i END AS inner_content, CAST(CASE k WHEN 1 THEN 4 + length(CAST(i AS VARCHAR)) ELSE length(regexp_replace(line, '[\\s\\x00-\\x1f\\x{{1c}}-\\x{{1f}}]', '', 'g')) END AS INTEGER) AS n
+    FROM (SELECT doc_id, i, string_split(abstract, chr(10))[i + 1] AS line FROM (SELECT l.doc_id, l.i, d.abstract FROM {LINES} l JOIN docs d ON l.doc_id = d.doc_id)), range(2) AS r(k)""",
+    "docs",
+)
+
+
+def grown_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers' graph, stored from a part of them and grown by two increments that overlap it and each other."""
+    papers = view(spark, sf_dir, "papers")
+    path = shared_path(spark, "graph")
+    graph_store.store(graph.paper_triples(papers.where("id % 3 <> 0")), path)
+    graph_store.add(graph.paper_triples(papers.where("id % 6 <> 1")), path)
+    graph_store.add(graph.paper_triples(papers.where("id % 2 = 1")), path)
+    return graph_store.stored(spark, path).drop("bucket")
+
+
+def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers' graph and that of their references, read back from Turtle files."""
+    path = shared_path(spark, "turtle")
+    graph_store.write_turtle(graph.paper_triples(view(spark, sf_dir, "papers")), path)
+    return graph_store.read_turtle(spark, path)
+
+
+PAPER_GRAPH = " UNION ".join(
+    f"SELECT CASE WHEN coalesce(doi, '') <> '' THEN '{graph.BASE}doi/' || doi ELSE '{graph.BASE}paper/' || id END AS s, '{graph.iri(p)}' AS p, CAST({c} AS VARCHAR) AS o, 'literal' AS o_kind, '{graph.iri(t)}' AS o_datatype, 'publications' AS g FROM papers WHERE CAST({c} AS VARCHAR) <> ''"
+    for c, (p, t) in graph.PAPER_FIELDS.items()
+)
+QUERIES |= {"grown_graph": grown_graph, "graph_files": graph_files}
+ORACLES |= {"grown_graph": (f"SELECT * FROM ({PAPER_GRAPH})", "papers"), "graph_files": (f"SELECT * FROM ({PAPER_GRAPH})", "papers")}

@@ -214,7 +214,16 @@ ORACLES["reference_triples"] = " UNION ".join((
     iri_rows(REFERENCE_SQL, ("rdf:type", f"'{graph.iri('bibo:Article')}'", ""), ("dcterms:title", "'Part ' || l_partkey", "xsd:string"), ("bibo:authorList", "'Doe J, Roe R'", "xsd:string"), ("dcterms:issued", "'1999'", "xsd:gYear"), ("bibo:doi", "CASE WHEN l_partkey % 3 = 1 THEN 'https://doi.org/10.9/' || l_partkey END", "xsd:anyURI"), ("cito:isCitedBy", CITING_SQL, ""), source="lineitem", g="publications"),
     iri_rows(CITING_SQL, ("cito:cites", REFERENCE_SQL, ""), source="lineitem", g="publications"),
 ))
-QUERIES["annotation_triples"] = lambda spark, d: entity_graph.annotation_graph(annotations.landed(landed_annotations(spark, d))).groupBy("p", "o_kind", "g").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+QUERIES["annotation_triples"] = lambda spark, d: entity_graph.annotation_graph(annotations.landed(landed_annotations(spark, d)))
+ANNOTATED = f"""(SELECT *, '{graph.BASE}annotation/' || lower(replace(article, '/', '')) || '-' || n || '-' || md5(exact)[1:8] AS uri FROM (SELECT {E}, n, {E} % 3 AS k, CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} WHEN 1 THEN 'MED/' || {E} ELSE 'MED' END AS article,
+    '{annotations.ARTICLES}' || CASE {E} % 3 WHEN 0 THEN 'PMC' || {E} ELSE 'MED/' || {E} END AS target, CASE {E} % 3 WHEN 0 THEN CASE n WHEN 0 THEN 'x' || {E} ELSE 'y' END WHEN 1 THEN 'z' ELSE 'w' END AS exact, CASE {E} % 3 WHEN 0 THEN '' WHEN 1 THEN 'Body' ELSE 'Title' END AS section,
+    CASE {E} % 3 WHEN 0 THEN 'P' || (n + 1) WHEN 1 THEN 'someone' ELSE 'Unknown' END AS provider FROM events, range(2) AS r(n) WHERE n = 0 OR {E} % 3 = 0))"""
+CONCEPTS = f"(SELECT uri, CASE k WHEN 1 THEN 'http://' || l ELSE CASE n WHEN 0 THEN 'http://c/' || {E} % 5 ELSE 'http://c/y' END END AS concept, CASE k WHEN 1 THEN l ELSE CASE n WHEN 0 THEN 'c' || {E} % 5 ELSE 'cy' END END AS label FROM {ANNOTATED}, (SELECT unnest(['a', 'b']) AS l) WHERE k < 2 AND (k = 1 OR l = 'a'))"
+ORACLES["annotation_triples"] = " UNION ".join((
+    iri_rows("uri", ("rdf:type", f"'{graph.iri('oa:Annotation')}'", ""), ("oa:hasBody", "exact", "xsd:string"), ("dcterms:isPartOf", "section", "xsd:string"), ("dcterms:creator", "provider", "xsd:string"), ("kg:articleId", "article", "xsd:string"), ("oa:hasTarget", "target", ""), source=ANNOTATED, g="annotations"),
+    iri_rows("uri", ("oa:hasBody", "concept", ""), source=CONCEPTS, g="annotations"), iri_rows("concept", ("rdfs:label", "label", "xsd:string"), source=CONCEPTS, g="annotations"),
+    iri_rows("uri", ("rdf:type", f"'{graph.iri('rdf:Statement')}'", ""), ("rdf:predicate", "'treats'", "xsd:string"), ("rdf:subject", "'http://a'", "xsd:string"), ("rdf:object", "'http://b'", "xsd:string"), source=f"(SELECT * FROM {ANNOTATED} WHERE k = 1)", g="annotations"),
+))
 
 
 def journal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

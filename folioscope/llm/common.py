@@ -82,6 +82,11 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(rows: int, wanted: int) -> int:
+    """Of 2**20 values of a hash, so many that about four times the wanted rows have one of them."""
+    return min(1 << 20, 4 * wanted * (1 << 20) // max(rows, 1) + 1)
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just ``id`` and ``text`` (null text: empty), free of clashing names."""
     return df.select(

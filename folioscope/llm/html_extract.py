@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, slices
+from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, few, slices
 from folioscope.llm.html_blocks import Block, layout, leaf_blocks, within
 
 #: Bounds of the fitting: pages (the first by hash) of at most so many characters, layouts made of their texts, and blocks of a training sequence.
@@ -215,10 +215,15 @@ def training_pages(pages: list[str], seed: int = 7, layouts: int = LAYOUTS) -> l
     return real + [layout(rng, paragraphs, short) for _ in range(layouts)]
 
 
-def fit(pages: DataFrame, html_col: str = "html") -> dict[str, np.ndarray]:
-    """The labeller, trained on at most ``SAMPLE`` pages (the first by hash) of at most ``SAMPLE_CHARS`` characters and ``LAYOUTS`` layouts."""
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, np.ndarray]:
+    """The labeller, trained on at most ``SAMPLE`` different pages (by hash) of at most ``SAMPLE_CHARS`` characters and ``LAYOUTS`` layouts.
+
+    Only about four times as many rows as the sample has leave their tasks.
+    """
     html = F.col(f"`{html_col}`")
-    sample = pages.where(F.length(html) <= SAMPLE_CHARS).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(SAMPLE)
+    share = few(pages.count(), SAMPLE)
+    chosen = pages.where((F.length(html) <= SAMPLE_CHARS) & (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), html), F.lit(1 << 20)) < share))
+    sample = chosen.select(html.alias("html")).distinct().orderBy(F.xxhash64("html"), "html").limit(SAMPLE)
     return train(training_pages([r.html for r in sample.collect()]))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize
+from folioscope.llm.common import few, materialize
 
 #: Bounds of what every task holds: sampled vectors and pivots; vectors of an annulus and queries of a block.
 SAMPLE, PIVOTS, BLOCK, QUERIES = 2_000, 48, 1_024, 256
@@ -166,7 +166,8 @@ def build(vectors: DataFrame, dimension: int, block: int | None = None) -> Index
     """The index of a written table ``VECTOR`` of vectors of one dimension that has rows."""
     limit = block or BLOCK
     longest = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).first()[0])
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).collect()
+    share = few(vectors.count(), SAMPLE)  # else each task would send a sample of its own
+    sample = vectors.where(F.pmod(F.xxhash64("uid", "vec_id"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).collect()
     sample_v = np.array([r.v for r in sample], np.float64).reshape(len(sample), dimension)
     pivots = spread_pivots(lifted(sample_v, longest), PIVOTS)
     index = Index(dimension, longest, pivots, np.array([r.uid for r in sample]), np.array([r.label for r in sample]), sample_v, None)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm import tokenizing
-from folioscope.llm.common import id_text, materialize, slices, table_path
+from folioscope.llm.common import forget_others, id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
@@ -80,6 +80,7 @@ def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTE
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_others("tokens")
         chunk = TaskContext.get().partitionId() << 32
         table: dict[str, int] = {}
         held = 0
@@ -139,6 +140,7 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "n", "size", "payload"))))
+        forget_others("tokens")
         coder = tokenizing.encoder(tokenizer)
         out = []
         dtype = tokenizing.id_type(tokenizer)
@@ -239,6 +241,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
     ddl = f"doc_id {kind.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest_only else "ids array<int>")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget_others("")
         dtype = tokenizing.id_type(tokenizer)
         width = np.dtype(dtype).itemsize
         words: dict[int, bytes] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from sys import getsizeof
 
@@ -20,6 +21,17 @@ MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 112 << 20, 96, 256
 SMALL_MEMO_BYTES = 40 << 20
 
 
+_memos: list[weakref.ref] = []
+
+
+def forget_others(owner: str) -> None:
+    """Empty the tables of a worker that belong to other operators, whose stages are over; a worker serves them one after the other."""
+    for m in [r() for r in _memos]:
+        if m is not None and m.owner != owner:
+            m.forget()
+    _memos[:] = [r for r in _memos if r() is not None]
+
+
 class Memo(dict):
     """What ``make`` gave for each key, within a bound of bytes; look keys up with ``[]``.
 
@@ -27,11 +39,12 @@ class Memo(dict):
     that come again move on; longer keys (texts without spaces) are made anew each time.
     """
 
-    def __init__(self, make: Callable, limit: int = MEMO_BYTES):
+    def __init__(self, make: Callable, limit: int = MEMO_BYTES, owner: str = ""):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.owner = make, limit, owner
         self.old: dict = {}
         self.held = 0
+        _memos.append(weakref.ref(self))
 
     def forget(self) -> None:
         self.clear()

@@ -29,8 +29,8 @@ EPOCHS, PAGES_AT_ONCE, RATE = 5, 24, 0.01
 #: Blocks that are read at once.
 BLOCKS = 8_192
 
-_paths = Memo(lambda token: zlib.crc32(token.encode()) % PATHS, SMALL_MEMO_BYTES)
-_words = Memo(lambda word: zlib.crc32(word.lower().encode()) % WORDS, SMALL_MEMO_BYTES)
+_paths = Memo(lambda token: zlib.crc32(token.encode()) % PATHS, SMALL_MEMO_BYTES, "html")
+_words = Memo(lambda word: zlib.crc32(word.lower().encode()) % WORDS, SMALL_MEMO_BYTES, "html")
 
 
 class Features:

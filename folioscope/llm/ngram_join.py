@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, as_row, id_text, materialize, slices
+from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, as_row, forget_others, id_text, materialize, slices
 from folioscope.llm.components import components
 
 #: Production parameters: words in a shingle and the least Jaccard similarity as a fraction.
@@ -137,7 +137,7 @@ class Hasher:
     """Sorted distinct 64-bit hashes of a text's shingles; keeps the hashes of words."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest, SMALL_MEMO_BYTES)
+        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest, SMALL_MEMO_BYTES, "ngram")
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -227,6 +227,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``(id, h, n, d1, d2)``: a hash of each document's text, size and 128-bit digest of its shingle set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("ngram")
         own = hasher(words)
         for batch in batches:
             for x in slices(batch):

@@ -99,8 +99,8 @@ class WordTable:
 
     def __init__(self, of_piece: Callable[[str], object], total: Callable[[Iterable], object]):
         self.of_piece, self.total = of_piece, total
-        self.words = Memo(self.of_key)
-        self.pieces = Memo(of_piece, MEMO_BYTES // 4)
+        self.words = Memo(self.of_key, owner="tokens")
+        self.pieces = Memo(of_piece, MEMO_BYTES // 4, "tokens")
 
     def of_key(self, key: str):
         """None where the whole text has to be given to the library."""
@@ -175,7 +175,7 @@ class Encoder:
         listed = pieces(path)
         self.begins = np.array([x[:1] == b" " for x in listed])
         self.together = cut_by_classes(listed)
-        self.pieces = Memo(self.code_piece, limit // 4)
+        self.pieces = Memo(self.code_piece, limit // 4, "tokens")
         self.words, self.old, self.held = Words(), Words(), 0
 
     def forget(self) -> None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, id_text, materialize, slices
+from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, forget_others, id_text, materialize, slices
 
 #: Bounds of what fitting collects: labelled documents (the first by hash of their id) and features.
 SAMPLE, FEATURES = 12_000, 4_096
@@ -147,7 +147,7 @@ class Scorer:
     """Sums a text's weights; remembers what each distinct word brings."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, Memo(self.word, SMALL_MEMO_BYTES)
+        self.model, self.words = model, Memo(self.word, SMALL_MEMO_BYTES, "toxicity")
 
     def word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """The features of the model that a word brings alone, and with another one."""
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
     weights = tuple(sorted(model.weights.items()))
 
     def severities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("toxicity")
         own = scorer(weights, model.thresholds)
         for batch in batches:
             for x in slices(batch):
@@ -196,6 +197,7 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT, text_col:
     at = columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("toxicity")
         own = scorer(weights, model.thresholds)
         for batch in batches:
             for x in slices(batch, at):

@@ -16,6 +16,16 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
+def side_by_side(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """``key`` and a struct for each frame, null where it has no row of the key: one union and one grouping, whatever their number.
+
+    A frame has one row for each key; of several one is taken.
+    """
+    kinds = {n: f"struct<{', '.join(f'`{c}`:{df.schema[c].dataType.simpleString()}' for c in df.columns if c != key)}>" for n, df in frames.items()}
+    rows = [df.select(key, *(F.struct(*(c for c in df.columns if c != key)).alias(n) if n == name else F.lit(None).cast(kinds[n]).alias(n) for n in frames)) for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, rows).groupBy(key).agg(*(F.first(n, ignorenulls=True).alias(n) for n in frames))
+
+
 def merge_sources(sources: dict[str, DataFrame], key: str = "id", text: tuple[str, ...] = ("title", "journal"), counts: tuple[str, ...] = ("cited",), ids: tuple[str, ...] = ("doi",)) -> DataFrame:
     """One row for each key of any source, sources in the order of their trust.
 
@@ -23,8 +33,7 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "id", text: tuple[st
     own; identifiers take the first in normal form, and differing later ones are
     listed as conflicts; ``sources`` names who had the work.
     """
-    tagged = [df.select(key, F.struct(*(c for c in (*text, *counts, *ids))).alias(name)) for name, df in sources.items()]
-    joined = reduce(lambda a, b: a.join(b, key, "full_outer"), tagged)
+    joined = side_by_side({name: df.select(key, *text, *counts, *ids) for name, df in sources.items()}, key)
     names = list(sources)
     columns = [first_of(*(F.col(f"{n}.{f}") for n in names)).alias(f) for f in text]
     columns += [F.greatest(*(F.col(f"{n}.{f}") for n in names)).alias(f) for f in counts] if len(names) > 1 else [F.col(f"{names[0]}.{f}") for f in counts]

@@ -17,9 +17,8 @@ def collaboration_pairs(authorship: DataFrame) -> DataFrame:
 
 
 def degrees(pairs: DataFrame) -> DataFrame:
-    """``(author, degree)``: distinct co-authors."""
-    ends = pairs.select(F.col("a").alias("author")).unionAll(pairs.select(F.col("b").alias("author")))
-    return ends.groupBy("author").agg(F.count("*").alias("degree"))
+    """``(author, degree)``: distinct co-authors, by one pass over the pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("author")).groupBy("author").agg(F.count("*").alias("degree"))
 
 
 def top_authors(authorship: DataFrame, top_n: int = 10) -> DataFrame:
@@ -27,8 +26,8 @@ def top_authors(authorship: DataFrame, top_n: int = 10) -> DataFrame:
 
 
 def degree_centrality(authorship: DataFrame, top_n: int = 10) -> DataFrame:
-    """Degree over the largest degree, to four digits, for the most prolific authors."""
-    found = degrees(collaboration_pairs(authorship))
+    """Degree over the largest degree, to four digits, for the most prolific authors; degrees are worked out once."""
+    found = cut(degrees(collaboration_pairs(authorship)), "degrees")
     highest = found.agg(F.max("degree").alias("highest"))
     top = top_authors(authorship, top_n).select("author")
     scored = top.join(found, "author", "left").crossJoin(F.broadcast(highest))
@@ -40,7 +39,7 @@ def core_researchers(authorship: DataFrame, top_n: int = 10) -> DataFrame:
 
     The median comes from counts by degree, a table no longer than the largest degree.
     """
-    found = degrees(collaboration_pairs(authorship))
+    found = cut(degrees(collaboration_pairs(authorship)), "degrees")
     counted = found.groupBy("degree").agg(F.count("*").alias("n"))
     running = counted.withColumn("upto", F.expr("sum(n) over (order by degree)")).withColumn("all", F.expr("sum(n) over ()"))
     median = running.where("upto > floor(all / 2)").agg(F.min("degree").alias("median"))
@@ -49,11 +48,10 @@ def core_researchers(authorship: DataFrame, top_n: int = 10) -> DataFrame:
 
 
 def collaboration_matrix(authorship: DataFrame, top_n: int = 10) -> DataFrame:
-    """The counts between the most prolific authors in long form, both directions."""
-    top = top_authors(authorship, top_n).select("author")
-    pairs = collaboration_pairs(authorship)
-    inner = pairs.join(top.withColumnRenamed("author", "a"), "a", "left_semi").join(top.withColumnRenamed("author", "b"), "b", "left_semi")
-    return inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
+    """The counts between the most prolific authors in long form, both directions; only their rows meet."""
+    top = cut(top_authors(authorship, top_n).select("author"), "top-authors")
+    inner = collaboration_pairs(authorship.join(F.broadcast(top), "author", "left_semi"))  # as many rows as top_n
+    return inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "count").select("x.*", "count")
 
 
 def research_groups(authorship: DataFrame, top_n: int = 10) -> DataFrame:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.identifiers import normalized_doi
-from folioscope.operators.merge import first_of
+from folioscope.operators.merge import first_of, side_by_side
 
 SERVICES = ("crossref", "openalex", "unpaywall", "semantic_scholar")
 
 
 def joined_services(key: str = "id", **frames: DataFrame) -> DataFrame:
-    """``key`` and one struct for each service, null where it doesn't know the work; one full join on the key after the other."""
-    tagged = [frames[s].select(key, F.struct(*(c for c in frames[s].columns if c != key)).alias(s)) for s in SERVICES]
-    return reduce(lambda a, b: a.join(b, key, "full_outer"), tagged)
+    """``key`` and one struct for each service, null where it doesn't know the work."""
+    return side_by_side({s: frames[s] for s in SERVICES}, key)
 
 
 def dates() -> dict[str, Column]:

@@ -108,12 +108,22 @@ def affiliation_parts(papers: DataFrame) -> DataFrame:
     return parts.select("id", "part", geo.country_of(F.col("text")).alias("country"), geo.institution_of(F.col("text")).alias("institution"))
 
 
+def named_counts(papers: DataFrame, raw: Column, name: Column, top_n: int | None) -> DataFrame:
+    """Counts by ``name``, a column over ``raw``: equal raw texts of affiliations ``text`` are counted first, so each is read once."""
+    texts = papers.where("affiliation is not null").select(F.explode(geo.split_affiliations(F.col("affiliation"))).alias("text"))
+    raw_counts = texts.select(raw.alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    counts = raw_counts.select(name.alias("name"), "n").where("name <> ''").groupBy("name").agg(F.sum("n").alias("count"))
+    ordered = counts.orderBy(F.desc("count"), "name")
+    return ordered if top_n is None else ordered.limit(top_n)
+
+
 def country_distribution(papers: DataFrame, top_n: int | None = None) -> DataFrame:
-    return ranked(affiliation_parts(papers).where("country <> ''"), "country", top_n)
+    last = F.when(F.contains("text", F.lit(",")), F.substring_index("text", ",", -1))
+    return named_counts(papers, last, geo.normalized_country(F.col("raw")), top_n).withColumnRenamed("name", "country")
 
 
 def institution_distribution(papers: DataFrame, top_n: int | None = None) -> DataFrame:
-    return ranked(affiliation_parts(papers).where("institution <> ''"), "institution", top_n)
+    return named_counts(papers, F.col("text"), geo.institution_of(F.col("raw")), top_n).withColumnRenamed("name", "institution")
 
 
 def collaboration_rate(papers: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import affiliation
 from folioscope.functions import identifiers as ids
+from folioscope.functions.text import normalize_string
 
 
 def blank(c: str) -> Column:
@@ -42,6 +46,7 @@ CHECKS = {
     "figure": [("graphic_uri is no absolute address", ("graphic_uri",), lambda: wrong("graphic_uri", ids.uri(F.col("graphic_uri"))))],
     "reference": [("year is out of range", ("year",), lambda: wrong("year", ids.year(F.col("year").cast("string"))))],
     "annotation": [("exact is missing", ("exact",), lambda: blank("exact"))],
+    "table_row": [("needs cells", ("cells",), lambda: F.coalesce(F.size("cells") == 0, F.lit(True)))],
     "table": [
         ("rows differ in width", ("rows",), lambda: F.size(F.array_distinct(F.transform("rows", F.size))) > 1),
         ("headers don't fit the rows", ("headers", "rows"), lambda: (F.size("rows") > 0) & (F.size("headers") > 0) & (F.size("headers") != F.size(F.get("rows", F.lit(0))))),
@@ -57,3 +62,36 @@ def with_errors(df: DataFrame, entity: str) -> DataFrame:
 
 def valid(df: DataFrame, entity: str) -> DataFrame:
     return with_errors(df, entity).where("size(errors) = 0").drop("errors")
+
+
+def text(c: str) -> Column:
+    return normalize_string(F.col(c), allow_empty=True)
+
+
+def country(c: str) -> Column:
+    """A country's usual name; null for what is too short or a number."""
+    name = F.nullif(affiliation.normalized_country(F.col(c)), F.lit(""))
+    return F.when((F.length(name) >= 2) & ~F.rlike(name, F.lit("^\\d+$")), name)
+
+
+def of(normal: Callable[[Column], Column]) -> Callable[[str], Column]:
+    return lambda c: normal(F.col(c))
+
+
+#: Normal forms by entity and column; text has no outer space, identifiers without a normal form are null.
+NORMAL = {
+    "author": dict.fromkeys(("name", "full_name", "first_name", "last_name", "initials", "affiliation_text", "position", "semantic_scholar_author_id", "scopus_author_id", "researcher_id"), text)
+    | {"orcid": of(ids.orcid), "email": of(ids.email), "openalex_id": of(ids.uri), "semantic_scholar_id": of(ids.uri)},
+    "institution": dict.fromkeys(("display_name", "country_code", "city", "institution_type", "grid_id", "isni", "wikidata_id", "fundref_id"), text) | {"ror_id": of(ids.uri), "openalex_id": of(ids.uri), "website": of(ids.uri), "country": country},
+    "grant": dict.fromkeys(("fundref_doi", "funding_source", "award_id", "recipient"), text),
+    "table_row": {"cells": lambda c: F.transform(F.filter(c, lambda x: x != ""), lambda x: normalize_string(x, allow_empty=True))},
+}
+
+
+def normalized(df: DataFrame, entity: str) -> DataFrame:
+    """``df`` with the columns that the entity knows in their normal form; others stay, and the required name of a person or place is never null."""
+    required = {"author": "full_name", "institution": "display_name"}.get(entity)
+    found = {c: form(c) for c, form in NORMAL[entity].items() if c in df.columns}
+    if required in found:
+        found[required] = F.coalesce(found[required], F.lit(""))
+    return df.withColumns(found)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import places, text
-from folioscope.operators import articles, citations, deep_merge, graph, identity, nodes, quarantine, search_entities
+from folioscope.functions import entities, places, text
+from folioscope.operators import articles, citations, deep_merge, graph, identity, nodes, quarantine, record_graph, search_entities
 from folioscope.plans.views import table, view
 from folioscope.sources import graph_store
 from folioscope.sources.tables import cut, shared_path
@@ -278,3 +278,62 @@ QUERIES["article_publishers"] = lambda spark, d: articles.publishers(article_row
 ORACLES["article_publishers"] = ("SELECT DISTINCT l_orderkey AS doc, 'Pub ' || l_orderkey % 7 AS name, CASE WHEN l_orderkey % 3 = 0 THEN 'Here' END AS location FROM lineitem",)
 QUERIES["article_cells"] = lambda spark, d: articles.cells(article_rows(spark, d))
 ORACLES["article_cells"] = (f"""SELECT l_orderkey AS doc, CAST(0 AS INTEGER) AS "table", i AS row, CAST(n AS INTEGER) AS place, n = 0 AS header, CAST(CASE n WHEN 0 THEN i WHEN 1 THEN l_suppkey ELSE l_partkey END AS VARCHAR) AS text FROM {LISTED}, range(3) AS r(n)""",)
+
+
+QUERIES["record_triples"] = lambda spark, d: record_graph.search_graph(search_records(spark, d))
+SUBJECT = f"'{graph.BASE}doi/10.9/' || id"
+NODE = f"'{graph.BASE}author/author-' || l_suppkey"
+MESH = "'http://id.nlm.nih.gov/mesh/D' || id % 20"
+
+
+def triple_sql(s: str, p: str, o: str, datatype: str, g: str, source: str) -> str:
+    kind = "'literal'" if datatype else "'iri'"
+    return f"SELECT {s} AS s, '{graph.iri(p)}' AS p, {o} AS o, {kind} AS o_kind, {repr(graph.iri(datatype)) if datatype else 'CAST(NULL AS VARCHAR)'} AS o_datatype, '{g}' AS g FROM {source} WHERE coalesce({o}, '') <> ''"
+
+
+PEOPLE, FUNDED, HEADED = "(SELECT DISTINCT l_orderkey AS id, l_suppkey FROM lineitem)", f"(SELECT * FROM {KNOWN} WHERE id % 4 = 0)", f"(SELECT * FROM {KNOWN} WHERE id % 3 <> 1)"
+GRANT = f"'{graph.BASE}grant/agency-' || id % 7 || '-g' || id"
+RECORD_SQL = " UNION ".join((
+    triple_sql(SUBJECT, "rdf:type", f"'{graph.iri('bibo:AcademicArticle')}'", "", "publications", KNOWN), triple_sql(SUBJECT, "dcterms:title", "CASE WHEN id % 4 <> 0 THEN 'Work ' || id END", "xsd:string", "publications", KNOWN),
+    triple_sql(SUBJECT, "bibo:doi", "'10.9/' || id", "xsd:string", "publications", KNOWN), triple_sql(SUBJECT, "dcterms:issued", "CAST(1990 + id % 30 AS VARCHAR)", "xsd:gYear", "publications", KNOWN),
+    triple_sql(SUBJECT, "dcterms:isPartOf", "CASE WHEN id % 5 <> 1 THEN 'Journal ' || id % 8 ELSE 'Old name' END", "xsd:string", "publications", KNOWN),
+    triple_sql(NODE, "rdf:type", f"'{graph.iri('foaf:Person')}'", "", "authors", PEOPLE), triple_sql(NODE, "foaf:name", "'Author ' || l_suppkey", "xsd:string", "authors", PEOPLE), triple_sql(SUBJECT, "dcterms:creator", NODE, "", "authors", PEOPLE), triple_sql(NODE, "foaf:made", SUBJECT, "", "authors", PEOPLE),
+    triple_sql(GRANT, "rdf:type", f"'{graph.iri('frapo:Grant')}'", "", "publications", FUNDED), triple_sql(GRANT, "frapo:hasFundingAgency", "'Agency ' || id % 7", "xsd:string", "publications", FUNDED), triple_sql(GRANT, "datacite:identifier", "'G' || id", "xsd:string", "publications", FUNDED),
+    triple_sql(GRANT, "frapo:funds", SUBJECT, "", "publications", FUNDED), triple_sql(SUBJECT, "foaf:fundedBy", GRANT, "", "publications", FUNDED),
+    triple_sql(MESH, "rdf:type", f"'{graph.iri('meshv:Descriptor')}'", "", "publications", HEADED), triple_sql(MESH, "skos:prefLabel", "'D' || id % 20", "xsd:string", "publications", HEADED), triple_sql(SUBJECT, "meshv:hasDescriptor", MESH, "", "publications", HEADED),
+    triple_sql(SUBJECT, "meshv:hasDescriptor", "'single ' || id % 10", "xsd:string", "publications", f"(SELECT * FROM {KNOWN} WHERE id % 3 = 1)"),
+))
+ORACLES["record_triples"] = (f"SELECT * FROM ({RECORD_SQL})",)
+
+
+def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, articles and papers as one graph."""
+    rows = article_rows(spark, sf_dir)
+    own = record_graph.article_graph(articles.authors(rows), articles.references(rows), F.concat(F.lit(graph.BASE + "doi/10.9/"), F.col("doc").cast("string")))
+    return record_graph.combined(record_graph.search_graph(search_records(spark, sf_dir)), own)
+
+
+QUERIES["combined_graph"] = combined_graph
+WRITER = f"'{graph.BASE}author/g' || l_suppkey % 7 || '-l' || l_suppkey"
+ORG = f"'{graph.BASE}org/' || md5('Institute ' || l_suppkey % 50)[1:16]"
+WRITERS, CITING = "(SELECT l_orderkey AS id, l_suppkey FROM lineitem WHERE l_suppkey % 11 <> 0)", "(SELECT l_orderkey AS id, l_partkey, l_partkey % 2 = 0 AS e FROM lineitem)"
+CITED_SQL = f"'{graph.BASE}reference/' || CASE WHEN e THEN '10.9/' ELSE '10.8/' END || l_partkey"
+ORACLES["combined_graph"] = (
+    f"SELECT * FROM ({RECORD_SQL}) UNION " + " UNION ".join((
+        triple_sql(WRITER, "rdf:type", f"'{graph.iri('foaf:Person')}'", "", "authors", WRITERS), triple_sql(WRITER, "foaf:name", "'G' || l_suppkey % 7 || ' L' || l_suppkey", "xsd:string", "authors", WRITERS), triple_sql(SUBJECT, "dcterms:creator", WRITER, "", "authors", WRITERS), triple_sql(WRITER, "foaf:made", SUBJECT, "", "authors", WRITERS),
+        triple_sql(ORG, "rdf:type", f"'{graph.iri('org:Organization')}'", "", "institutions", WRITERS), triple_sql(ORG, "skos:prefLabel", "'Institute ' || l_suppkey % 50", "xsd:string", "institutions", WRITERS), triple_sql(WRITER, "org:memberOf", ORG, "", "institutions", WRITERS),
+        triple_sql(CITED_SQL, "rdf:type", f"'{graph.iri('bibo:Article')}'", "", "publications", CITING), triple_sql(CITED_SQL, "dcterms:title", "CASE WHEN e THEN 'Part ' ELSE 'Title ' END || l_partkey", "xsd:string", "publications", CITING), triple_sql(CITED_SQL, "bibo:authorList", "CASE WHEN e THEN 'Roe' ELSE 'Roe A' END", "xsd:string", "publications", CITING),
+        triple_sql(CITED_SQL, "dcterms:issued", "CASE WHEN NOT e THEN '2001' END", "xsd:gYear", "publications", CITING), triple_sql(CITED_SQL, "bibo:doi", "CASE WHEN e THEN '10.9/' ELSE '10.8/' END || l_partkey", "xsd:anyURI", "publications", CITING),
+        triple_sql(SUBJECT, "cito:cites", CITED_SQL, "", "publications", CITING), triple_sql(CITED_SQL, "cito:isCitedBy", SUBJECT, "", "publications", CITING),
+    )),
+)
+
+
+def normal_institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Institutions of suppliers with odd spellings, in their normal form."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat(' ', s_name, ' ') AS display_name", "CASE s_suppkey % 4 WHEN 0 THEN ' usa' WHEN 1 THEN '12' WHEN 2 THEN 'x' ELSE concat('NATION ', s_nationkey) END AS country", "CASE WHEN s_suppkey % 2 = 0 THEN concat(' https://ror.org/0', s_suppkey) ELSE 'ror.org/x' END AS ror_id", "' City ' AS city")
+    return entities.normalized(rows, "institution")
+
+
+QUERIES["normal_institutions"] = normal_institutions
+ORACLES["normal_institutions"] = ("SELECT s_suppkey, trim(s_name) AS display_name, CASE s_suppkey % 4 WHEN 0 THEN 'United States' WHEN 3 THEN 'Nation ' || s_nationkey END AS country, CASE WHEN s_suppkey % 2 = 0 THEN 'https://ror.org/0' || s_suppkey END AS ror_id, 'City' AS city FROM supplier",)

@@ -169,3 +169,43 @@ def test_search_records_of_odd_shapes(spark):
     assert [(r.id, r.keyword) for r in search_entities.keywords(found).orderBy("id", "pos").collect()] == [("1", "a"), ("1", "b"), ("2", "one"), ("2", "MeSH:D")]
     assert [(r.id, r.full_term, r.major) for r in search_entities.headings(found).collect()] == [("2", "D", True)]
     assert search_entities.papers(found).count() == 7 and search_entities.grants(found).collect() == [] and search_entities.institutions(search_entities.authors(found)).collect() == []
+
+
+def test_normal_forms(spark):
+    from folioscope.functions import entities
+
+    people = spark.createDataFrame([(" A ", None, "0000-0001-0002-000x", "X@Y.ORG ", "clash"), (None, " ", "bad", "no mail", "clash")], "full_name string, first_name string, orcid string, email string, note string")
+    assert [tuple(r) for r in entities.normalized(people, "author").collect()] == [("A", None, "0000-0001-0002-000X", "x@y.org", "clash"), ("", "", None, None, "clash")]
+    rows = spark.createDataFrame([([" a ", "", None, "b"],), ([],), (None,)], "cells array<string>")
+    assert [r.cells for r in entities.normalized(rows, "table_row").collect()] == [["a", "b"], [], None]
+    assert [r.errors for r in entities.with_errors(rows, "table_row").collect()] == [[], ["needs cells"], ["needs cells"]]
+    grants = spark.createDataFrame([(" d ", None)], "fundref_doi string, award_id string")
+    assert [tuple(r) for r in entities.normalized(grants, "grant").collect()] == [("d", None)]
+
+
+def test_subject_terms_and_empty_sources(spark):
+    from folioscope.operators import articles, nodes, record_graph
+
+    odd = [("1", '{"title":" T ","keywordList":{"keyword":["k1"," "]},"meshHeadingList":{"meshHeading":[{"descriptorName":""}]}}'), ("2", '{"keywordList":{"keyword":"k2"},"meshHeadingList":{"meshHeading":[{"descriptorName":"A B"}]}}'), ("3", "broken"), ("4", None), ("5", "{}")]
+    found = record_graph.search_graph(search_entities.records(spark.createDataFrame(odd, "id string, json string"))).collect()
+    terms = {(r.s[-1], r.o) for r in found if r.p.endswith("hasDescriptor")}
+    assert terms == {("1", "k1"), ("2", "http://id.nlm.nih.gov/mesh/A_B")} and len(found) == len(set(found)) and {r.s[-1] for r in found if r.p.endswith("type")} >= {"1", "2", "5"}
+    rows = nodes.shred(spark.createDataFrame([], "k int, xml string"), "k", "xml")
+    for made in (articles.authors, articles.references, articles.cells, articles.categories, articles.publishers, articles.affiliations):
+        assert made(rows).collect() == []
+
+
+def test_articles_of_odd_shapes(spark):
+    from folioscope.operators import articles, nodes
+
+    xml = """<article><front><contrib-group><contrib><name><surname>Only</surname></name><xref ref-type="aff" rid="a2"/><xref ref-type="aff" rid="a1"/><xref ref-type="aff" rid="none"/></contrib><contrib contrib-type="author"><collab>No name</collab></contrib></contrib-group>
+      <aff id="a1"><sup>1</sup>Uni A, Rome, Italy</aff><aff id="a2">Uni <b>B</b><sup>2</sup></aff><aff>no id</aff><publisher/><publisher><publisher-name>second</publisher-name></publisher></front>
+      <body><table><tr><th>h</th><td/></tr></table><table-wrap><table><tr><td>1</td></tr><tr><td>2</td><td>3</td></tr></table></table-wrap></body>
+      <back><ref-list><ref id="r1"><mixed-citation>Roe A. <source>Given</source></mixed-citation></ref><ref/></ref-list></back></article>"""
+    rows = nodes.shred(spark.createDataFrame([(1, xml), (2, None), (3, "<a/>"), (4, "<a>")], "k int, xml string"), "k", "xml")
+    assert [(r.name, r.orcid, r.affiliation_text, [i.name for i in r.institutions]) for r in articles.authors(rows).collect()] == [("Only", None, "Uni B; Uni A, Rome, Italy", ["Uni B", "Uni A"])]
+    assert sorted((r.id or "", r.markers, r.text) for r in articles.affiliations(rows).collect()) == [("", [], "no id"), ("a1", ["1"], "Uni A, Rome, Italy"), ("a2", ["2"], "Uni B")]
+    assert [tuple(r) for r in articles.publishers(rows).collect()] == [(1, None, None)]
+    assert sorted(tuple(r)[1:] for r in articles.cells(rows).collect()) == [(0, 0, 0, True, "h"), (0, 0, 1, False, ""), (1, 0, 0, False, "1"), (1, 1, 0, False, "2"), (1, 1, 1, False, "3")]
+    refs = {r.id: r for r in articles.references(rows).collect()}
+    assert refs["r1"].source == "Given" and refs["r1"].authors == "Roe A" and refs[None].title is None

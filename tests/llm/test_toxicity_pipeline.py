@@ -116,10 +116,14 @@ def test_stages(spark, sf):
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
-    for name, docs in (("odd", documents(spark, TEXTS + TEXTS[:9], ids=[*range(1, len(TEXTS) + 1), *[None] * 9])), ("none", documents(spark, []))):
+    ids = [*range(1, len(TEXTS) + 1), *[None] * 5, 1, 6, 6, 3]  # null and repeated ids, of equal and of other texts
+    for name, docs in (("odd", documents(spark, TEXTS + TEXTS[:9], ids=ids, extra=True)), ("none", documents(spark, [], extra=True))):
         folder = str(tmp_path / name)
         docs.write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         out = corpus_pipeline.run(spark, folder)
         assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
         assert (out.count() > 0) == (name == "odd")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, docs, folder)
+            assert kept.schema == docs.schema, stage

@@ -15,6 +15,7 @@ a row for each word occurrence would be many times the text.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -30,12 +31,18 @@ from folioscope.llm.common import forget_others, id_text, materialize, slices, t
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
-#: Bytes of text for each bucket of words.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text for each bucket of words, as far as ``MANY`` buckets; beyond, buckets grow as distinct words do, by a power of the text.
+BUCKET_BYTES, MANY, POWER = 16 << 20, 64, 0.6
 #: Begins the key of a text that is encoded whole; no other key begins with two spaces.
 WHOLE = "  "
 
 
+def bucket_count(total: int) -> int:
+    """Buckets for so many bytes of text. A chunk sends at most a row to each, so rows grow with chunks times this."""
+    n = -(-total // BUCKET_BYTES) or 1
+    return n if n <= MANY else math.ceil(MANY * (n / MANY) ** POWER)
+
+
 def pack(data: bytes) -> bytes:
     return pa.compress(data, codec="zstd", asbytes=True)
 
@@ -86,15 +93,12 @@ def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTE
         held = 0
 
         def words() -> Iterator[tuple]:
-            parts: list[list[str]] = [[] for _ in range(buckets)]
-            numbers: list[list[int]] = [[] for _ in range(buckets)]
-            for w, i in table.items():
-                b = xxhash.xxh3_64_intdigest(w) % buckets
-                parts[b].append(w)
-                numbers[b].append(i)
-            for b, (p, q) in enumerate(zip(parts, numbers)):
-                if p:
-                    yield chunk, b, None, len(p), 0, pack_numbers(np.array(q)) + pack_bytes([w.encode() for w in p]), len(pack_numbers(np.array(q)))
+            keys = list(table)  # in the order of their numbers
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in keys), np.int64, len(keys))
+            order = np.argsort(of, kind="stable")
+            for numbers in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if keys else ():
+                packed = pack_numbers(numbers)
+                yield chunk, int(of[numbers[0]]), None, len(numbers), 0, packed + pack_bytes([keys[i].encode() for i in numbers.tolist()]), len(packed)
 
         for batch in batches:
             for x in slices(batch):
@@ -230,7 +234,7 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
     # bucketed by chunk, so that documents meet their chunk's ids without another shuffle;
     # only a table can be bucketed, so its name goes once it is resolved, and the files stay in the shared folder
     name = f"bpe_words_{uuid.uuid4().hex}"
-    split = split_documents(source, -(-total // BUCKET_BYTES) or 1, chunk_bytes)
+    split = split_documents(source, bucket_count(total), chunk_bytes)
     split.write.bucketBy(buckets, "chunk").option("compression", "uncompressed").option("path", table_path(spark, "bpe-words")).format("parquet").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")

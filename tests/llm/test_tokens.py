@@ -189,3 +189,12 @@ def test_word_memory_is_bounded():
 def test_words_coded_together(words):
     text = " ".join(words)
     assert np.frombuffer(tokenizing.encode_bytes(PATH, [text])[0], tokenizing.id_type(PATH)).tolist() == ids(text)
+
+
+def test_buckets_grow_slower_than_text(spark, monkeypatch):
+    counts = [bpe_codec.bucket_count(n) for n in (0, 1, 16 << 20, 1 << 30, 1 << 31, 10**13)]
+    assert counts[:4] == [1, 1, 1, 64] and counts == sorted(counts) and counts[5] < 2 * 64 * (10**13 / (1 << 30)) ** 0.6
+    monkeypatch.setattr(bpe_codec, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(bpe_codec, "MANY", 4)
+    docs = documents(spark, extra=True)
+    assert rows_of(bpe_codec.encode(docs, digest_only=True)) == sorted(coded(i, t) for i, t in enumerate(TEXTS, 1))

@@ -11,7 +11,8 @@ scores and so shrinks their radii; annuli that no radius reaches any more are ne
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import few, materialize
 
-#: Bounds of what every task holds: sampled vectors and pivots; vectors of an annulus and queries of a block.
-SAMPLE, PIVOTS, BLOCK, QUERIES = 2_000, 48, 1_024, 256
+#: Bounds of what every task holds: sampled vectors, the least and most pivots; vectors of an annulus and queries of a block.
+SAMPLE, PIVOTS, MOST_PIVOTS, BLOCK, QUERIES = 2_000, 48, 512, 1_024, 256
+#: Annuli of a pivot that one task lists for the blocks of queries, on average.
+LISTED = 2_048
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: Which vectors a query takes: all others, or those of its own label, or those of other labels.
 ANY, SAME, OTHER = "any", "same", "other"
@@ -166,10 +169,11 @@ def build(vectors: DataFrame, dimension: int, block: int | None = None) -> Index
     """The index of a written table ``VECTOR`` of vectors of one dimension that has rows."""
     limit = block or BLOCK
     longest = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).first()[0])
-    share = few(vectors.count(), SAMPLE)  # else each task would send a sample of its own
+    rows = vectors.count()
+    share = few(rows, SAMPLE)  # else each task would send a sample of its own
     sample = vectors.where(F.pmod(F.xxhash64("uid", "vec_id"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).collect()
     sample_v = np.array([r.v for r in sample], np.float64).reshape(len(sample), dimension)
-    pivots = spread_pivots(lifted(sample_v, longest), PIVOTS)
+    pivots = spread_pivots(lifted(sample_v, longest), min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows) // 8)))
     index = Index(dimension, longest, pivots, np.array([r.uid for r in sample]), np.array([r.label for r in sample]), sample_v, None)
     schema = pa.schema([("block", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("n", pa.int64()), ("uids", pa.binary()), ("ids", pa.binary()), ("labels", pa.binary()), ("rows", pa.binary())])
 
@@ -229,7 +233,10 @@ def search(index: Index, queries: DataFrame, k: int, wanted: str = ANY, shares:
     # the annuli that a block of queries may need, by the least distance, in waves
     sides = packed.select("queries", "m", "reach", "start", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "d"))
     gap = F.greatest(F.lit(0.0), F.col("near") - F.col("d.high"), F.col("d.low") - F.col("far"))
-    pairs = sides.join(index.blocks.select("block", "pivot", "near", "far", "n"), "pivot").withColumn("gap", gap)
+    salts = 1 + index.blocks.count() // (len(at.pivots) * LISTED)  # so many tasks for each pivot
+    salted = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    annuli = index.blocks.select("block", "pivot", "near", "far", "n", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = salted.join(annuli, ["pivot", "salt"]).drop("salt").withColumn("gap", gap)
     pairs = pairs.where((F.col("gap") <= F.col("reach")) & (F.col("far") + F.col("d.high") >= F.col("start")))
     place = F.expr("row_number() over (partition by queries order by gap, block)")
     pairs = materialize(pairs.withColumn("wave", F.floor(F.log2(place) / 2).cast("int")).select("queries", "block", "gap", "wave", (F.col("m") * F.col("n")).alias("work")), "waves")

@@ -86,6 +86,8 @@ def test_negatives_of_clusters_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK", 16)
     monkeypatch.setattr(index, "QUERIES", 2)
     monkeypatch.setattr(index, "SAMPLE", 40)
+    monkeypatch.setattr(index, "LISTED", 1)  # several salts for each pivot
+    monkeypatch.setattr(index, "PIVOTS", 5)
     rows = clusters(700) + [(1000 + i, [0.25, 0.5, -0.25, 0.125], i % 3) for i in range(120)]  # ties
     rows += ODD + [rows[4], rows[4], (1100, [0.25, 0.5, -0.25, 0.125], 0), (2300, [1.0, 2.0], 1), (2301, [1.0, 3.0], 1), (2302, [0.5, 1.0], 2), (2400, [], 1), (2401, [], 2), (2403, [], 1)]
     rows += [(2500, [3e30] * 3, 1), (2501, [1e30] * 3, 1), (2503, [1e-12] * 3, 2), (2504, [2e30] * 3, 2)]

@@ -35,7 +35,9 @@ def resolved(mentions: DataFrame, id_col: str, keys: dict[str, Column]) -> DataF
     thing that a third of all rows mention is one row in the loop. Ids are unique; rows with a null id get no entity.
     """
     named = {f"__k{i}": F.when(value.cast("string") != "", F.concat(F.lit(name + ":"), value.cast("string"))) for i, (name, value) in enumerate(keys.items())}
-    keyed = mentions.withColumns(named)
+    told = cut(mentions.withColumns(named), "mentions")
+    any_key = F.coalesce(*named).isNotNull()
+    keyed, alone = told.where(any_key), told.where(~any_key)  # keyless mentions would be one group
     nodes = cut(keyed.groupBy(*named).agg(F.min(id_col).alias("__node")), "identity-nodes")
     pairs = nodes.select(F.col("__node").alias("node"), F.explode(F.array_compact(F.array(*named))).alias("key"))
     labels = components(pairs).select(F.col("node").alias("__node"), F.col("label").alias("entity"))
@@ -45,7 +47,8 @@ def resolved(mentions: DataFrame, id_col: str, keys: dict[str, Column]) -> DataF
     for other in same[1:]:
         on = on & other
     found = keyed.join(known, on, "left").drop(*named, *(f"{k}_of" for k in named))
-    return found.withColumn("entity", F.coalesce("entity", F.col(f"`{id_col}`")))
+    own = F.col(f"`{id_col}`")
+    return found.withColumn("entity", F.coalesce("entity", own)).unionByName(alone.drop(*named).withColumn("entity", own))
 
 
 def described(found: DataFrame, fields: list[str]) -> DataFrame:

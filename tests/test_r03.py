@@ -21,3 +21,9 @@ def test_picked_nodes_are_enough(spark):
     assert [tuple(r) for r in articles.categories(whole).where("doc = 1").orderBy("pos").collect()] == [(1, 0, "r", "h", ["A"]), (1, 1, "r", None, ["B"])]
     plan = articles.categories(nodes.shred(docs, "k", "xml", articles.TAGS["categories"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan  # one look at the nodes
+
+
+def test_mentions_without_keys_stay_alone_where_ids_clash(spark):
+    rows = spark.createDataFrame([(1, "r1"), (1, None), (2, None), (3, ""), (4, "r1")], "mention long, ror string")
+    found = identity.resolved(rows, "mention", {"ror": F.col("ror")})
+    assert sorted((r.mention, r.ror or "", r.entity) for r in found.collect()) == [(1, "", 1), (1, "r1", 1), (2, "", 2), (3, "", 3), (4, "r1", 1)]

@@ -124,33 +124,46 @@ def token_set_bounds(a: Column, b: Column) -> Column:
     return F.struct(value(low).alias("low"), value(high).alias("high"))
 
 
-def _reach(needle: pd.Series, hay: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([n is not None and h is not None and any(token_set_score(n, x) >= least for x in h) for n, h, least in zip(needle, hay, limit)])
+def matches(needle: str, text: str, jaccard: float, fuzzy: float) -> bool:
+    """Whether one of two normalised texts holds the other, or they share tokens enough or score ``fuzzy``; lengths rule most pairs out before they are scored."""
+    if needle in text or text in needle:
+        return True
+    x, y = set(needle.split()), set(text.split())
+    if not x or not y:
+        return False
+    shared = x & y
+    if len(shared) >= jaccard * (len(x) + len(y) - len(shared)) or shared and (x <= y or y <= x):
+        return True
+    size = lambda z: sum(map(len, z)) + max(len(z) - 1, 0)
+    n, left, right = size(shared), size(x - y), size(y - x)
+    gap = n > 0
+    highest = max(200 * (n + gap + min(left, right)) / (2 * (n + gap) + left + right), 200 * n / (2 * n + 1 + min(left, right)))
+    return highest >= fuzzy and token_set_score(needle, text) >= fuzzy
+
+
+def _reach(needle: pd.Series, hay: pd.Series, jaccard: pd.Series, limit: pd.Series) -> pd.Series:
+    rows = zip(needle, hay, jaccard, limit)
+    return pd.Series([bool(n) and h is not None and any(x and matches(n, x, share, least) for x in h) for n, h, share, least in rows], dtype="bool")
 
 
 #: Least token-set score and least share of common tokens of a match.
 FUZZY, SHARED = 85, 0.5
 
 
-def _plain_match(needle: Column, h: Column, jaccard: float, fuzzy: float | None) -> Column:
-    plain = F.contains(h, needle) | F.contains(needle, h) | (token_jaccard(F.array_distinct(tokens(h)), F.array_distinct(tokens(needle))) >= jaccard)
-    return plain if fuzzy is None else plain | (token_set_bounds(needle, h)["low"] >= fuzzy)
+def _plain_match(needle: Column, h: Column, jaccard: float) -> Column:
+    return F.contains(h, needle) | F.contains(needle, h) | (token_jaccard(F.array_distinct(tokens(h)), F.array_distinct(tokens(needle))) >= jaccard)
 
 
 def any_match(needle: Column, hay: Column, jaccard: float = SHARED, fuzzy: float | None = FUZZY) -> Column:
     """Whether a normalised needle and one of an array of normalised texts hold each other, share tokens enough or score ``fuzzy``.
 
-    Only texts that their tokens and lengths neither take nor rule out are scored in Python; with ``fuzzy`` None none are.
+    A task compares a pair in one look, where built-in expressions would repeat each other; with ``fuzzy`` None there is no Python.
     An empty or null needle, and null or empty texts, match nothing.
     """
+    if fuzzy is not None:
+        return F.pandas_udf(_reach, "boolean")(needle, hay, F.lit(float(jaccard)), F.lit(float(fuzzy)))
     texts = F.filter(F.coalesce(hay, F.array().cast("array<string>")), lambda h: h.isNotNull() & (h != ""))
-    given = F.coalesce(needle != "", F.lit(False))
-    plain = given & F.exists(texts, lambda h: _plain_match(needle, h, jaccard, fuzzy))
-    if fuzzy is None:
-        return plain
-    open_texts = F.filter(texts, lambda h: token_set_bounds(needle, h)["high"] >= fuzzy)
-    asked = F.when(given & ~plain & (F.size(open_texts) > 0), open_texts)
-    return plain | F.pandas_udf(_reach, "boolean")(needle, asked, F.lit(float(fuzzy)))
+    return F.coalesce(needle != "", F.lit(False)) & F.exists(texts, lambda h: _plain_match(needle, h, jaccard))
 
 
 def all_needles_match(needles: list[Column], hay: Column, jaccard: float = SHARED, fuzzy: float | None = FUZZY) -> Column:

@@ -69,7 +69,8 @@ def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "papers")
     slip = F.when(F.col("id") % 3 == 0, F.concat(F.substring("title", 2, 1000), F.lit(" x"))).when(F.col("id") % 3 == 1, F.translate("title", "EI", "IE")).otherwise(F.concat(F.lit("on "), F.substring("title", 1, 9)))
     hay = F.array(*(text.normalized(F.col(c)) for c in ("journalTitle", "abstractText", "title")))
-    rows = p.select("id", text.normalized(slip).alias("needle"), hay.alias("hay"))
+    # exploded, so that no later projection works them out again wherever it names them
+    rows = p.select("id", F.explode(F.array(F.struct(text.normalized(slip).alias("needle"), hay.alias("hay")))).alias("x")).select("id", "x.*")
     return rows.select("id", text.any_match(F.col("needle"), F.slice("hay", 1, 2)).alias("elsewhere"), text.any_match(F.col("needle"), F.slice("hay", 3, 1)).alias("in_title"))
 
 

@@ -98,6 +98,23 @@ def parse_article(xml: str | None) -> dict:
     }
 
 
+#: Documents and characters that are parsed at once: their fields take many times the room of their text.
+PART_ROWS, PART_CHARS = 200, 1_000_000
+
+
+def parts(xml: pd.Series) -> Iterator[list[str | None]]:
+    """A batch in pieces of bounded size; a longer document is a piece of its own."""
+    held, chars = [], 0
+    for x in xml:
+        if held and (len(held) >= PART_ROWS or chars + len(x or "") > PART_CHARS):
+            yield held
+            held, chars = [], 0
+        held.append(x)
+        chars += len(x or "")
+    if held:
+        yield held
+
+
 def parse(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """``docs``' ids with a column ``article`` of the fields above."""
     names = [x.split(" ")[0] for x in ARTICLE.replace("<", " <").split(", ")]
@@ -105,8 +122,9 @@ def parse(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     @F.pandas_udf(f"struct<{_as_struct(ARTICLE)}>")
     def articles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for xml in batches:
-            rows = [parse_article(x) for x in xml]
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
+            for part in parts(xml):
+                rows = [parse_article(x) for x in part]
+                yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
 
     return docs.select(F.col(id_col).alias("paper_id"), articles(F.col(xml_col)).alias("article"))
 

@@ -5,72 +5,73 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.sources.tables import cut
 
-def leaves(versions: DataFrame) -> DataFrame:
-    """``(id, seq, path, value, hollow)`` of ``(id, seq, json)``: every value that isn't an object with keys; an empty object is ``hollow``.
+#: Levels that are opened between two writes; deeper objects take more rounds.
+LEVELS = 4
 
-    Texts that hold no object are left out. A round opens one level of all documents.
+
+def inside(v: Column) -> Column:
+    """The keys and values of an object, null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def settled(level: DataFrame) -> DataFrame:
+    """One level of ``(id, path, turn, v, value)`` opened, of which rows with a ``value`` are done.
+
+    Of the versions at a path those before the last value that isn't an object are left out. If it is the
+    last of all, its text is the ``value``; else the later objects are opened, or are empty.
     """
-    root = F.array().cast("array<string>")
-    level = versions.select("id", "seq", root.alias("path"), F.try_parse_json(F.col("json")).alias("v"))
-    inside = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    level = level.where(inside(F.col("v")).isNotNull())
+    at = W.partitionBy("id", "path")
+    rows = level.withColumn("m", inside(F.col("v")))
+    rows = rows.select("*", F.max("turn").over(at).alias("last"), F.coalesce(F.max(F.when(F.col("m").isNull(), F.col("turn"))).over(at), F.lit(0)).alias("solid"), F.max(F.when(F.size("m") > 0, F.col("turn"))).over(at).alias("filled"))
+    one = lambda path, v, value: F.struct(path.alias("path"), v.alias("v"), value.alias("value"))
+    none = F.lit(None)
+    text = F.coalesce("value", F.to_json("v"), F.lit("null"))
+    below = F.transform(F.map_entries("m"), lambda e: one(F.array_append("path", e["key"]), e["value"], none.cast("string")))
+    hollow = (F.size("m") == 0) & F.coalesce(F.col("filled") < F.col("solid"), F.lit(True))
+    made = F.when(F.col("m").isNull(), F.array(one(F.col("path"), none.cast("variant"), text))).when(hollow, F.array(one(F.col("path"), none.cast("variant"), F.lit("{}")))).otherwise(below)
+    kept = rows.where("turn >= solid and (turn = last or size(m) > 0)")
+    return kept.select("id", "turn", F.inline(made)).select("id", "path", "turn", "v", "value")
+
+
+def values(versions: DataFrame) -> DataFrame:
+    """``(id, path, value)`` of what is left of ``(id, seq, json)``: values that aren't objects with keys. Texts that hold no object are left out.
+
+    Versions meet by id, once for each round.
+    """
+    level = versions.select("id", "seq", F.try_parse_json(F.col("json")).alias("v")).where(inside(F.col("v")).isNotNull())
+    turn = F.row_number().over(W.partitionBy("id").orderBy("seq"))
+    level = level.select("id", F.array().cast("array<string>").alias("path"), turn.alias("turn"), "v", F.lit(None).cast("string").alias("value"))
     done = []
     while True:
-        opened = level.withColumn("m", inside(F.col("v")))
-        kept = opened.where("m is null or size(m) = 0").select("id", "seq", "path", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"), F.col("m").isNotNull().alias("hollow"))
-        done.append(cut(kept, "leaves"))
-        # values travel as text between the rounds
-        below = opened.where("size(m) > 0").select("id", "seq", "path", F.explode("m").alias("k", "x")).select("id", "seq", F.array_append("path", F.col("k")).alias("path"), F.coalesce(F.to_json("x"), F.lit("null")).alias("value"))
-        level = cut(below, "level")
-        if level.isEmpty():
+        for _ in range(LEVELS):
+            level = settled(level)
+        found = cut(level.select("id", "path", "turn", F.to_json("v").alias("open"), "value"), "level")  # values travel as text between the rounds
+        done.append(found.where("value is not null").select("id", "path", "value"))
+        more = found.where("value is null")
+        if more.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        level = level.select("id", "seq", "path", F.parse_json("value").alias("v"))
-
+        level = more.repartition("id").select("id", "path", "turn", F.parse_json(F.coalesce("open", F.lit("null"))).alias("v"), "value")
 
-def above(path: Column, itself: bool) -> Column:
-    """The paths on the way to a path, the empty one included."""
-    n = F.size(path) if itself else F.size(path) - 1
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(path, F.lit(1), i))
 
+def rebuilt(found: DataFrame) -> DataFrame:
+    """``(id, json)`` from ``(id, path, value)``. In the order of paths each value follows what closes the objects of the one before it, and opens its own."""
+    quoted = lambda k: F.when(F.rlike(k, F.lit("^[A-Za-z0-9_]*$")), F.concat(F.lit('"'), k, F.lit('"'))).otherwise(F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", ""))
+    top = F.array().cast("array<string>")
 
-def surviving(found: DataFrame) -> DataFrame:
-    """``(id, path, value)`` of the leaves that no later version replaces.
+    def piece(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("items", i - 1)["path"], top)
+        same = F.array_position(F.zip_with(x["path"], before, lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int") - 1  # keys in common
+        opened = F.array_join(F.transform(F.slice(x["path"], same + 1, F.size(x["path"])), lambda k: F.concat(quoted(k), F.lit(":"))), "{")
+        closed = F.concat(F.repeat(F.lit("}"), F.size(before) - same - 1), F.lit(","))
+        return F.when(F.size(x["path"]) == 0, x["value"]).otherwise(F.concat(F.when(i == 0, F.lit("{")).otherwise(closed), opened, x["value"]))
 
-    A leaf goes where a later version has another value at its path or on the way to it, or, if it is a
-    value itself, an object at its path. Empty objects stay where nothing is left below them.
-    """
-    solid = found.where("not hollow").groupBy("id", "path").agg(F.max("seq").alias("solid"))
-    inner = found.where("size(path) > 0").select("id", "seq", F.explode(above(F.col("path"), False)).alias("path")).unionByName(found.where("hollow").select("id", "seq", "path"))
-    objects = inner.groupBy("id", "path").agg(F.max("seq").alias("object"))
-    latest = cut(solid.join(objects, ["id", "path"], "full"), "paths")
-    ways = found.select("id", "seq", "path", "value", "hollow", F.explode(above(F.col("path"), True)).alias("at"))
-    seen = ways.join(latest.withColumnRenamed("path", "at"), ["id", "at"], "left")
-    replaced = (F.col("solid") > F.col("seq")) | ((F.col("at") == F.col("path")) & ~F.col("hollow") & (F.col("object") > F.col("seq")))
-    left = seen.groupBy("id", "seq", "path", "value", "hollow").agg(F.max(F.coalesce(replaced, F.lit(False))).alias("gone")).where("not gone")
-    left = cut(left.select("id", "path", "value", "hollow").distinct(), "left")
-    filled = left.where("size(path) > 0").select("id", F.explode(above(F.col("path"), False)).alias("path")).distinct().withColumn("filled", F.lit(True))
-    return left.join(filled, ["id", "path"], "left").where("not (hollow and coalesce(filled, false))").select("id", "path", "value")
-
-
-def rebuilt(values: DataFrame) -> DataFrame:
-    """``(id, json)`` from ``(id, path, value)``: the objects of each depth are made of those below them, keys in order."""
-    values = cut(values.withColumn("depth", F.size("path")), "values")
-    deepest = values.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return values.select("id", F.col("value").alias("json")).where("false")
-    level = values.where(F.col("depth") == deepest).select("id", "path", "value")
-    for depth in range(deepest, 0, -1):
-        key = F.element_at("path", -1)
-        quoted = F.regexp_replace(F.to_json(F.array(key)), r"^\[|\]$", "")
-        item = F.struct(key.alias("key"), F.concat(quoted, F.lit(":"), "value").alias("text"))
-        made = level.select("id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), item.alias("item")).groupBy("id", "path").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        made = made.select("id", "path", F.concat(F.lit("{"), F.array_join(F.transform("items", lambda x: x["text"]), ","), F.lit("}")).alias("value"))
-        level = made.unionByName(values.where(F.col("depth") == depth - 1).select("id", "path", "value"))
-    return level.select("id", F.col("value").alias("json"))
+    grouped = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("items"))
+    return grouped.select("id", F.concat(F.array_join(F.transform("items", piece), ""), F.repeat(F.lit("}"), F.size(F.element_at("items", -1)["path"]))).alias("json"))
 
 
 def merged(versions: DataFrame, id_col: str = "id", seq_col: str = "seq", json_col: str = "json") -> DataFrame:
@@ -80,4 +81,4 @@ def merged(versions: DataFrame, id_col: str = "id", seq_col: str = "seq", json_c
     An id's versions have distinct ``seq``. An empty table gives no rows.
     """
     rows = versions.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{seq_col}`").alias("seq"), F.col(f"`{json_col}`").alias("json")).where("id is not null")
-    return rebuilt(surviving(leaves(rows)))
+    return rebuilt(values(rows))

@@ -132,6 +132,17 @@ PAPER_FIELDS = {
 }
 
 
+#: What the facts of a paper's fields have in common, by the places of the fields.
+PAPER_KINDS = tuple((iri(p), "literal", iri(t), "publications") for p, t in PAPER_FIELDS.values())
+
+
+def paper_facts(paper: Column) -> Column:
+    """Facts of a paper, a struct of ``PAPER_FIELDS``, for ``sources.graph_store``; null where a field is null or empty."""
+    kind = F.lit(None).cast("struct<p:string,o_kind:string,o_datatype:string,g:string>")
+    values = (paper[c].cast("string") for c in PAPER_FIELDS)
+    return F.array(*(F.when(o != "", F.struct(F.lit(i).alias("k"), o.alias("o"), kind.alias("kind"))) for i, o in enumerate(values)))
+
+
 def paper_triples(papers: DataFrame) -> DataFrame:
     return triples(papers, paper_uri(), {c: t for c, t in PAPER_FIELDS.items() if c in papers.columns}, "publications")
 

@@ -226,11 +226,13 @@ ORACLES["nested_sections"] = (
 
 def grown_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers' graph, stored from a part of them and grown by two increments that overlap it and each other."""
-    papers = view(spark, sf_dir, "papers")
+    papers = cut(view(spark, sf_dir, "papers").select("id", graph.paper_uri().alias("s"), *graph.PAPER_FIELDS).where("s is not null"), "papers")
+    rows = lambda test: papers.where(test).select("s", F.struct(*graph.PAPER_FIELDS).alias("row"))
     path = shared_path(spark, "graph")
-    graph_store.store(graph.paper_triples(papers.where("id % 3 <> 0")), path)
-    graph_store.add(graph.paper_triples(papers.where("id % 6 <> 1")), path)
-    graph_store.add(graph.paper_triples(papers.where("id % 2 = 1")), path)
+    made = {"kinds": graph.PAPER_KINDS, "facts": graph.paper_facts}
+    graph_store.store(rows("id % 3 <> 0"), path, **made)
+    graph_store.add(rows("id % 6 <> 1"), path, **made)
+    graph_store.add(rows("id % 2 = 1"), path, **made)
     return graph_store.stored(spark, path).drop("bucket")
 
 

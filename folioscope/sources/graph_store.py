@@ -1,62 +1,108 @@
 """Graphs in storage: a table that grows by increments, and files in Turtle.
 
 The table is partitioned by a hash of the subject; an increment opens only the partitions of its own
-subjects, and adds files there. Turtle files are clustered by subject: rows are range-partitioned and sorted,
-and each task writes its rows in one pass, whatever number of rows a subject has.
+subjects, and adds files there. Rows meet what is stored before they become facts. Turtle files are clustered
+by subject: rows are range-partitioned and sorted, and each task writes its rows in one pass, whatever number
+of rows a subject has.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.graph import COLUMNS, PREFIXES
+from folioscope.sources.tables import cut
 
-#: Partitions of a stored graph.
-BUCKETS = 64
+#: Partitions of a stored graph, and parts of each of them that tasks work on.
+BUCKETS, PARTS = 64, 8
 #: Types whose subjects are content of papers; all other subjects are metadata.
 CONTENT = ("bibo:DocumentPart", "bibo:Table", "bibo:Row", "bibo:Image", "bibo:Article")
 SCHEMA = "s string, p string, o string, o_kind string, o_datatype string, g string"
+#: What facts of a kind have in common, and a fact without its subject.
+KIND = ("p", "o_kind", "o_datatype", "g")
+FACT = "struct<k:int,o:string,kind:struct<p:string,o_kind:string,o_datatype:string,g:string>>"
+Kinds = Sequence[tuple[str, str, str | None, str]]
+Facts = Callable[[Column], Column]
 
 
 def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("s"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def store(graph: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write a graph of distinct rows as a table; each of its partitions is the work of one task for each shuffle partition that has rows of it."""
-    rows = graph.select(*COLUMNS, bucket(buckets))
-    rows.repartition("bucket", F.pmod(F.xxhash64("o"), F.lit(4))).write.partitionBy("bucket").parquet(path)
-
-
 def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{SCHEMA}, bucket int").parquet(path)
 
 
-def add(graph: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
+def held_as(kinds: Kinds) -> tuple[Column, Column]:
+    """Number of a row's kind among ``kinds``, and its kind where it has no number there, so that rows carry one of the two."""
+    same = (reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(KIND, kind))) for kind in kinds)
+    k = F.coalesce(*(F.when(x, i) for i, x in enumerate(same)), F.lit(None).cast("int"))
+    return k, F.when(k.isNull(), F.struct(*KIND))
+
+
+def as_rows(graph: DataFrame) -> DataFrame:
+    """A graph as rows of a subject and what ``as_they_are`` makes its fact of."""
+    return graph.select("s", F.struct("o", F.struct(*KIND).alias("kind")).alias("row"))
+
+
+def as_they_are(row: Column) -> Column:
+    return F.array(F.struct(F.lit(None).cast("int").alias("k"), row["o"].alias("o"), row["kind"].alias("kind")))
+
+
+def fresh(rows: DataFrame, kinds: Kinds, facts: Facts, buckets: int) -> DataFrame:
+    """What ``facts`` makes of each ``row`` and no row with the same subject has in ``held``, each once, with its ``bucket``.
+
+    Rows and held facts meet by one exchange and become facts afterwards. A subject's rows are in one part of its
+    partition, as any of them may give any of its facts; the rows of a graph are dealt to parts by their objects.
+    """
+    dealt = F.col("s") if kinds else F.coalesce("held.o", "row.o")
+    part = F.pmod(F.shiftright(F.xxhash64(dealt), 32), F.lit(PARTS)).cast("int")
+    met = rows.withColumns({"bucket": bucket(buckets), "part": part}).repartition("bucket", "part")
+    kept = F.col("held").isNotNull()
+    found = met.select("bucket", "part", "s", kept.alias("kept"), F.explode(F.when(kept, F.array("held")).otherwise(facts(F.col("row")))).alias("x")).where("x is not null")
+    once = found.groupBy("bucket", "part", "s", F.col("x.k").alias("k"), F.col("x.o").alias("o"), F.col("x.kind").alias("kind")).agg(F.max("kept").alias("kept")).where("not kept")
+    named = (F.get(F.array(*(F.lit(v).cast("string") for v in values)), F.col("k")) for values in zip(*kinds)) if kinds else [F.lit(None)] * len(KIND)
+    whole = {c: F.when(F.col("k").isNull(), F.col("kind")[c]).otherwise(v) for c, v in zip(KIND, named)}
+    return once.withColumns(whole).select(*COLUMNS, "bucket")
+
+
+def store(graph: DataFrame, path: str, buckets: int = BUCKETS, kinds: Kinds = (), facts: Facts = as_they_are) -> None:
+    """Write a graph as a table, each of its rows once.
+
+    ``graph`` has the graph's rows or, with ``facts``, rows ``(s, row)``: ``facts`` makes an array of structs
+    (k: place in ``kinds``, o, kind: null) of a row; null is no fact. ``kinds`` are (p, o_kind, o_datatype, g).
+    """
+    rows = graph if kinds else as_rows(graph)
+    fresh(rows.withColumn("held", F.lit(None).cast(FACT)), kinds, facts, buckets).write.partitionBy("bucket").parquet(path)
+
+
+def add(graph: DataFrame, path: str, buckets: int = BUCKETS, kinds: Kinds = (), facts: Facts = as_they_are) -> list[int]:
     """Add the rows of ``graph`` that the table at ``path`` lacks; the partitions that got some.
 
     Only partitions of the increment's subjects are read; files that were there stay as they are. Running it
-    again adds nothing. The increment is written down first, so it is worked out once.
+    again adds nothing. ``graph``, ``kinds`` and ``facts`` are as in ``store``. A graph is written down first, so it
+    is worked out once; rows for ``facts`` are read twice, so they should come from files.
     """
-    from folioscope.sources.tables import cut
-
     spark = graph.sparkSession
-    new = cut(graph.select(*COLUMNS).distinct().withColumn("bucket", bucket(buckets)), "increment")
-    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most the number of partitions
+    rows = graph if kinds else cut(as_rows(graph), "increment")
+    touched = sorted(r.bucket for r in rows.select(bucket(buckets)).distinct().collect())  # at most the number of partitions
     if not touched:
         return []
-    old = stored(spark, path).where(F.col("bucket").isin(touched)).select(*(F.col(c).alias(f"old_{c}") for c in (*COLUMNS, "bucket")))
-    same = F.col("bucket") == F.col("old_bucket")
-    for c in COLUMNS:
-        same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
-    fresh = cut(new.join(old, same, "left_anti"), "increment")
-    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
-    return sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+    table = stored(spark, path)
+    known = set(table.inputFiles())
+    k, kind = held_as(kinds)
+    held = table.where(F.col("bucket").isin(touched)).select("s", F.struct(k.alias("k"), "o", kind.alias("kind")).alias("held"))
+    if kinds:  # what is of another kind equals no new fact
+        held = held.where("held.k is not null")
+    both = rows.select("s", "row", F.lit(None).cast(FACT).alias("held")).unionByName(held.select("s", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "held"))
+    fresh(both, kinds, facts, buckets).write.mode("append").partitionBy("bucket").parquet(path)
+    return sorted({int(re.search(r"/bucket=(\d+)/[^/]*$", f)[1]) for f in stored(spark, path).inputFiles() if f not in known})
 
 
 def by_kind(graph: DataFrame, kind: str) -> DataFrame:

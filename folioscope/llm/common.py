@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -30,6 +31,15 @@ def forget_others(owner: str) -> None:
         if m is not None and m.owner != owner:
             m.forget()
     _memos[:] = [r for r in _memos if r() is not None]
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system. An executor has up to twice as many workers as cores, and the idle ones keep it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 class Memo(dict):

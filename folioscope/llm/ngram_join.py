@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, as_row, forget_others, id_text, materialize, slices
+from folioscope.llm.common import as_row, forget_others, give_back, id_text, materialize, slices
 from folioscope.llm.components import components
 
 #: Production parameters: words in a shingle and the least Jaccard similarity as a fraction.
@@ -41,8 +41,10 @@ SAMPLE, LEAST_HOLDERS, FREQUENT = 4_000, 8, 100_000
 BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 1_000_000
 #: Rows of a table of large groups that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
-#: Index keys that a task combines before it passes them on.
-COMBINE = 1_000_000
+#: Index keys that a task combines before it passes them on, and rows that it passes on at once.
+COMBINE, PASSED_ROWS = 1_000_000, 1 << 16
+#: The index is several times as large as the texts, so it is shuffled to as many times the usual partitions.
+INDEX_SPREAD = 4
 
 
 @dataclass(frozen=True)
@@ -134,15 +136,15 @@ def text_words(text: str) -> list[bytes]:
 
 
 class Hasher:
-    """Sorted distinct 64-bit hashes of a text's shingles; keeps the hashes of words."""
+    """Sorted distinct 64-bit hashes of a text's shingles. Words are hashed each time, which costs less than to look their hashes up."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, Memo(xxhash.xxh3_64_intdigest, SMALL_MEMO_BYTES, "ngram")
+        self.words = words
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         size = min(self.words, len(words))
         n = len(words) - size + 1
         out = mixed(h[:n] + np.uint64(size))
@@ -253,9 +255,10 @@ def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.nda
         held: list[tuple[np.ndarray, int]] = []
         count = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([k for k, _ in held]).view(np.int64)
             node = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
+            held.clear()
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -263,10 +266,13 @@ def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.nda
             extra = ~first & (hub != node)
             links = np.unique(np.stack([hub[extra], node[extra]], 1), axis=0)
             n = int(first.sum())
-            return pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([key[first], links[:, 1]])), pa.array(np.concatenate([node[first], links[:, 1]])), pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 0]]), mask=np.arange(n + len(links)) < n)],
                 ["key", "node", "hub"],
             )
+            del order, key, node, first, hub, extra, links
+            for begin in range(0, rows.num_rows, PASSED_ROWS):
+                yield rows.slice(begin, PASSED_ROWS)
 
         for batch in batches:
             for x in slices(batch):
@@ -283,11 +289,12 @@ def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.nda
                         held.append((k, d1))
                         count += len(k)
                 if count >= COMBINE:
-                    yield flush()
-                    held.clear()
+                    yield from flush()
                     count = 0
         if held:
-            yield flush()
+            yield from flush()
+        seen.clear()
+        give_back()
 
     return docs.select("id", "text").mapInArrow(keys, "key long, node long, hub long")
 
@@ -295,7 +302,8 @@ def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.nda
 def candidate_links(index: DataFrame) -> DataFrame:
     """``(a, b)`` from each set to the smallest one with the same key: whatever shares a key is connected."""
     least = F.expr("min(if(hub is null, node, null)) over (partition by key)")
-    return index.select(F.coalesce("hub", least).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    parts = INDEX_SPREAD * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(parts, "key").select(F.coalesce("hub", least).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def shingle_numbers(texts: list[np.ndarray], size: int, base: int) -> list[np.ndarray]:
@@ -387,7 +395,6 @@ def exact_links(groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
             split = text_words(text.as_py())
             if node not in chosen and digest(own(split))[0] == node:
                 chosen[node] = (side, np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in split), np.int32, len(split)))
-        own.memo.forget()
         nodes = sorted(chosen)
         cross = table.column("part_a")[0].as_py() != table.column("part_b")[0].as_py()
         sets = shingle_numbers([chosen[x][1] for x in nodes], words, len(numbers) + 1) if nodes else []

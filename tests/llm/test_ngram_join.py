@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import ngram_join as j
@@ -146,3 +148,36 @@ def test_components(spark):
     assert len({found[i] for i in range(61)}) == 1 and len({found[n] for n in [100, *range(200, 230)]}) == 1
     assert len(set(found.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+class Caught:
+    """Stands in for a table and keeps the function that would run in its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, task, schema):
+        self.task = task
+        return self
+
+
+def test_index_task_keeps_nothing():
+    texts = [" ".join(f"w{i}x{k}" for k in range(1000)) for i in range(150)]
+    batches = [pa.record_batch([pa.array([i]), pa.array([t])], names=["id", "text"]) for i, t in enumerate(texts)]
+    task = j.index_rows(Caught(), 5, 80, 100, np.zeros(0, np.uint64)).task
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in task(iter(batches))]
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) > 10_000 and max(sizes) <= 1 << 16
+    assert kept < 4 << 20  # the words alone take more than 20 MB in a table
+
+
+def test_index_is_spread(spark):
+    index = spark.createDataFrame([(1, 5, None), (1, 6, None), (6, 6, 5), (2, 7, None)], "key long, node long, hub long")
+    links = j.candidate_links(index)
+    assert rows_of(links) == [(5, 6)]
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert re.search(rf"hashpartitioning\(key#\d+L, {parts}\)", links._jdf.queryExecution().executedPlan().toString())

@@ -18,6 +18,8 @@ BATCH_CHARS = 2_000_000
 #: Bytes that a worker's table of remembered words may hold in each of its two generations,
 #: what an entry costs besides its key and value, and the longest key that is remembered.
 MEMO_BYTES, ENTRY_BYTES, LONGEST_KEY = 112 << 20, 96, 256
+#: Rows of an Arrow batch while a table is written: whole texts of 10,000 rows, the default, take 64 MB beside the heap in each task.
+BATCH_ROWS = 2_000
 #: The bound of tables whose values are cheap to make anew.
 SMALL_MEMO_BYTES = 40 << 20
 
@@ -101,7 +103,14 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.options(**options).parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(setting)
+    if not 0 < int(rows) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(setting, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

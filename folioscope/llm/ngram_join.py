@@ -44,7 +44,7 @@ BROADCAST_ROWS = 100_000
 #: Index keys that a task combines before it passes them on, and rows that it passes on at once.
 COMBINE, PASSED_ROWS = 1_000_000, 1 << 16
 #: The index is several times as large as the texts, so it is shuffled to as many times the usual partitions.
-INDEX_SPREAD = 4
+INDEX_SPREAD = 3
 
 
 @dataclass(frozen=True)

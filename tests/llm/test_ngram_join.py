@@ -179,5 +179,5 @@ def test_index_is_spread(spark):
     index = spark.createDataFrame([(1, 5, None), (1, 6, None), (6, 6, 5), (2, 7, None)], "key long, node long, hub long")
     links = j.candidate_links(index)
     assert rows_of(links) == [(5, 6)]
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = j.INDEX_SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert re.search(rf"hashpartitioning\(key#\d+L, {parts}\)", links._jdf.queryExecution().executedPlan().toString())

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm import tokenizing
-from folioscope.llm.common import forget_others, id_text, materialize, slices, table_path
+from folioscope.llm.common import forget_others, give_back, id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
 CHUNK_BYTES = 48 << 20
@@ -118,6 +118,8 @@ def split_documents(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTE
                     table.clear()
         for w in words():
             yield to_batch([(*w[:4], w[6], w[5])])
+        table.clear()
+        give_back()
 
     kind = docs.schema["id"].dataType
     arrow = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("id", to_arrow(kind)), ("n", pa.int64()), ("size", pa.int64()), ("payload", pa.binary())])
@@ -202,6 +204,7 @@ def with_pieces(coded: DataFrame, tokenizer: str) -> DataFrame:
                 row = (chunk, len(ids), 0, None, None, None, pack_numbers(ids), pack_bytes([piece[i] for i in ids.tolist()]))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, PIECES_ARROW)], schema=PIECES_ARROW)
             used.clear()
+            give_back()
 
         for b in batches:
             ids = b.filter(b.column("token").is_valid())  # a bucket's pieces come before its words

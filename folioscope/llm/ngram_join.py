@@ -10,8 +10,9 @@ Each band gets the cheapest split in plain and deleting segments, with a few spa
 ones that pay for leaving out empty subsets, which many sets would share: an empty
 segment counts for nothing, a deleting one with a single element once. The rare set
 that loses more than the spare ones takes keys of single elements besides. Elements that
-very many sets hold stay out of the segments. What shares a
-key is compared exactly, on the words.
+very many sets hold stay out of the segments. Of the sets that share a key, sketches
+part those that can't link, as chance keys would else chain more and more sets the more
+there are; what is left is compared exactly, on the words.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SAMPLE, LEAST_HOLDERS, FREQUENT = 4_000, 8, 100_000
 BLOCK_SETS, BLOCK_ELEMENTS = 1_000, 1_000_000
 #: Rows of a table of large groups that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 100_000
+#: A key that more sets of a task part share, and more than a hundredth of them, stands once for all; a star of more sets is taken whole.
+CROWD_SETS, STAR_SETS = 32, 5_000
 #: Index keys that a task combines before it passes them on, and rows that it passes on at once.
 COMBINE, PASSED_ROWS = 1_000_000, 1 << 16
 #: The index is several times as large as the texts, so it is shuffled to as many times the usual partitions.
@@ -163,6 +166,61 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each place of a bitmap, whether an odd number of the set's hashes falls there.
+
+    It has a power of two of places, 64 and as many as the set has elements at least. Halves
+    fold upon one another, so sets of any sizes compare.
+    """
+    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+@dataclass(frozen=True)
+class Sketched:
+    """A set by its size and sketch."""
+
+    node: int
+    n: int
+    width: int
+    bits: int
+
+    @classmethod
+    def of(cls, node: int, n: int, sketch: bytes) -> Sketched:
+        return cls(node, n, 8 * len(sketch), int.from_bytes(sketch, "little"))
+
+    def folded(self, width: int) -> int:
+        bits, at = self.bits, self.width
+        while at > width:
+            at //= 2
+            bits = (bits >> at) ^ (bits & ((1 << at) - 1))
+        return bits
+
+    def may_link(self, other: Sketched, num: int, den: int) -> bool:
+        """False only if the two don't link: places that differ are no more than elements that just one set has, and of these
+        links have no more than the share ``(den - num) / (den + num)`` of both sizes."""
+        if den * min(self.n, other.n) < num * max(self.n, other.n):
+            return False
+        width = min(self.width, other.width)
+        return (self.folded(width) ^ other.folded(width)).bit_count() * (den + num) <= (self.n + other.n) * (den - num)
+
+
+def parted(star: list[Sketched], num: int, den: int) -> list[tuple[int, int]]:
+    """``(a, b)`` from the smallest set to the others, in each part of a star that pairs which may link connect."""
+    out, rest = [], star
+    while rest:
+        part, rest, at = rest[:1], rest[1:], 0
+        while at < len(part) and rest:
+            near, far = [], []
+            for x in rest:
+                (near if part[at].may_link(x, num, den) else far).append(x)
+            part, rest, at = part + near, far, at + 1
+        least = min(x.node for x in part)
+        out += [(least, x.node) for x in part if x.node != least]
+    return out
+
+
 def index_keys(shingles: np.ndarray, num: int, den: int, frequent: np.ndarray) -> np.ndarray:
     """All index keys of a set of sorted hashes. Sorted ``frequent`` elements fall in no segment:
     without them two sets differ by no more than with them."""
@@ -226,7 +284,7 @@ def text_hash(text: Column) -> Column:
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``(id, h, n, d1, d2)``: a hash of each document's text, size and 128-bit digest of its shingle set."""
+    """``(id, h, n, d1, d2, sketch)``: a hash of each document's text, size, 128-bit digest and sketch of its shingle set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("ngram")
@@ -236,41 +294,45 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 rows = []
                 for text in x.column(1).to_pylist():
                     s = own(text_words(text))
-                    rows.append((len(s), *digest(s)))
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["id", "h", "n", "d1", "d2"])
+                    rows.append((len(s), *digest(s), sketch(s)))
+                columns = (pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.binary()]))
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), *columns], ["id", "h", "n", "d1", "d2", "sketch"])
 
-    return docs.select("id", "text", text_hash(F.col("text")).alias("h")).mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, d1 long, d2 long")
+    return docs.select("id", "text", text_hash(F.col("text")).alias("h")).mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, d1 long, d2 long, sketch binary")
 
 
 def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """``(key, node, hub)``: the sets' index keys, combined within tasks.
 
-    A key stands once for each task part, with its smallest set (``hub`` null); the
-    part's other sets with the key follow as links to that one under keys of their
-    own, so a key that many sets share gets no more rows than there are parts.
+    A key stands with each of its sets (``hub`` null). Where a crowd of a task part's sets
+    shares it, it stands once, with the smallest of them (``hub`` that set itself); the others
+    follow as links to that one under keys of their own, so a key that very many sets
+    share gets no more rows than ``CROWD_SETS`` or a hundredth of them from each part.
     """
 
+    crowd_sets = CROWD_SETS
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = hasher(words), set()
         held: list[tuple[np.ndarray, int]] = []
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([k for k, _ in held]).view(np.int64)
+            key, crowd = np.concatenate([k for k, _ in held]).view(np.int64), max(crowd_sets, len(held) // 100)
             node = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
             held.clear()
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
-            hub = node[first][np.cumsum(first) - 1]
-            extra = ~first & (hub != node)
+            of = np.cumsum(first) - 1
+            hub, crowded = node[first][of], (np.bincount(of) > crowd)[of]
+            extra, stays = crowded & (hub != node), first | ~crowded
             links = np.unique(np.stack([hub[extra], node[extra]], 1), axis=0)
-            n = int(first.sum())
             rows = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[first], links[:, 1]])), pa.array(np.concatenate([node[first], links[:, 1]])), pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 0]]), mask=np.arange(n + len(links)) < n)],
+                [pa.array(np.concatenate([key[stays], links[:, 1]])), pa.array(np.concatenate([node[stays], links[:, 1]])), pa.array(np.concatenate([hub[stays], links[:, 0]]), mask=np.concatenate([~crowded[stays], np.zeros(len(links), bool)]))],
                 ["key", "node", "hub"],
             )
-            del order, key, node, first, hub, extra, links
+            del order, key, node, first, of, hub, crowded, extra, stays, links
             for begin in range(0, rows.num_rows, PASSED_ROWS):
                 yield rows.slice(begin, PASSED_ROWS)
 
@@ -299,11 +361,49 @@ def index_rows(docs: DataFrame, words: int, num: int, den: int, frequent: np.nda
     return docs.select("id", "text").mapInArrow(keys, "key long, node long, hub long")
 
 
-def candidate_links(index: DataFrame) -> DataFrame:
-    """``(a, b)`` from each set to the smallest one with the same key: whatever shares a key is connected."""
-    least = F.expr("min(if(hub is null, node, null)) over (partition by key)")
-    parts = INDEX_SPREAD * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(parts, "key").select(F.coalesce("hub", least).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+def candidate_links(index: DataFrame, sketches: DataFrame | None = None, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``(a, b)`` from each set to the smallest one with the same key: whatever shares a key is connected.
+
+    With ``sketches`` (node, n, sketch) of the sets a star of such links falls into the parts within
+    which sets may link: all links stay connected, but not sets that share a key by chance. Links of crowded keys stay.
+    """
+    own = "hub is null or hub = node"
+    least, crowd = F.expr(f"min(if({own}, node, null)) over (partition by key)"), F.expr("bool_or(hub = node) over (partition by key)")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = index.repartition(INDEX_SPREAD * parts, "key").select(F.when(F.expr(own), least).otherwise(F.col("hub")).alias("a"), F.col("node").alias("b"), (F.col("hub").isNotNull() | F.coalesce(crowd, F.lit(False))).alias("whole"))
+    stars = keyed.where("a <> b").distinct()
+    if sketches is None:
+        return stars.select("a", "b").distinct()
+    stars = materialize(stars, "stars")
+    loose = stars.where("not whole")
+    members = loose.select("a", F.col("b").alias("node")).unionByName(loose.select("a", F.col("a").alias("node")).distinct())
+    sketched = members.join(sketches, "node").select("a", "node", "n", "sketch").repartition(parts, "a").sortWithinPartitions("a")
+    most = STAR_SETS
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, held, whole = None, [], False
+        for batch in batches:
+            found = []
+            for a, node, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if a != star:
+                    found += parted(held, num, den)
+                    star, held, whole = a, [], False
+                if not whole:
+                    held.append(Sketched.of(node, n, bits))
+                    whole = len(held) > most
+                    if whole:
+                        found += [(a, x.node) for x in held]
+                        held = []
+                else:
+                    found.append((a, node))
+            yield links_batch(found)
+        yield links_batch(parted(held, num, den))
+
+    return sketched.mapInArrow(part, "a long, b long").where("a <> b").unionByName(stars.where("whole").select("a", "b"))
+
+
+def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def shingle_numbers(texts: list[np.ndarray], size: int, base: int) -> list[np.ndarray]:
@@ -452,7 +552,8 @@ def join_classes(docs: DataFrame, sets: DataFrame, words: int, num: int, den: in
     """``(node, label)`` of all sets that link with another one."""
     classes = sets.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"))
     frequent = frequent_elements(docs, words, sets.count())
-    near = components(candidate_links(index_rows(docs, words, num, den, frequent)))
+    sketches = sets.where("n > 0").groupBy(F.col("d1").alias("node")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = components(candidate_links(index_rows(docs, words, num, den, frequent), sketches, num, den))
     members = materialize(classes.join(near, "node").withColumnRenamed("label", "group"), "candidates")
     # sets of a larger group meet those of the same or the next size class, part by part
     many = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).where((F.col("sets") > BLOCK_SETS) | (F.col("elements") > BLOCK_ELEMENTS))

@@ -181,3 +181,42 @@ def test_index_is_spread(spark):
     assert rows_of(links) == [(5, 6)]
     parts = j.INDEX_SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert re.search(rf"hashpartitioning\(key#\d+L, {parts}\)", links._jdf.queryExecution().executedPlan().toString())
+
+
+def test_chance_keys_do_not_chain(spark, monkeypatch):
+    """Texts that share half of their words with the next one share keys by chance, but none links."""
+    blocks = [" ".join(f"b{i}w{k}" for k in range(60)) for i in range(61)]
+    texts = [f"{a} {b}" for a, b in zip(blocks, blocks[1:])]
+    texts += [texts[3] + " more", texts[40] + " more"]
+    compared = []
+    links = j.exact_links
+    monkeypatch.setattr(j, "exact_links", lambda groups, *a: compared.append(groups.select("node").distinct().count()) or links(groups, *a))
+    assert rows_of(j.near_duplicates(documents(spark, texts), 5, 80, 100)) == brute(list(enumerate(texts, 1)), 5, 80, 100)
+    assert compared == [4]
+
+
+@pytest.mark.parametrize("crowd,star", [(1, 5_000), (32, 2)])
+def test_crowds_and_large_stars(spark, monkeypatch, crowd, star):
+    monkeypatch.setattr(j, "CROWD_SETS", crowd)
+    monkeypatch.setattr(j, "STAR_SETS", star)
+    texts = near_copies(11, 90, 8) + near_copies(12, 90, 300)
+    assert rows_of(j.near_duplicates(documents(spark, texts).repartition(3), 5, 80, 100)) == brute(list(enumerate(texts, 1)), 5, 80, 100)
+
+
+@pytest.mark.parametrize("num,den", [(1, 10), (1, 3), (80, 100), (90, 100), (1, 1)])
+def test_sketches_part_no_link(num, den):
+    rng = np.random.default_rng(den - num)
+    linked = unlike = 0
+    for n in [1, 2, 5, 9, 40, 63, 64, 65, 127, 128, 129, 300, 1100]:
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            removed, added = rng.integers(0, n + 1), rng.integers(0, n + 1) * int(rng.integers(0, 2))
+            other = np.unique(np.concatenate([rng.permutation(base)[removed:], rng.integers(0, 1 << 64, added, np.uint64)]))
+            common = len(np.intersect1d(base, other))
+            a, b = (j.Sketched.of(i, len(x), j.sketch(x)) for i, x in enumerate((base, other)))
+            if j.linked(len(base), len(other), common, num, den):
+                linked += 1
+                assert a.may_link(b, num, den) and b.may_link(a, num, den)
+                assert j.parted([b, a], num, den) == [(0, 1)]
+            unlike += not a.may_link(b, num, den)
+    assert linked > 10 and unlike > 10

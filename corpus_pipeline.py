@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import bpe_codec, mixing, ngram_join, secret_scan, toxicity
-from folioscope.llm.common import materialize
+from folioscope.llm.common import materialize, text_batches
 
 #: Near duplicates: five-word shingles that agree by 80 of 100 or more.
 SHINGLE_WORDS, SIMILAR, OF = 5, 80, 100
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one by their text: null and empty ones stay, repeated ones share their fate. Without
     labels all stay; rows with a null id can't be labelled but are judged. A severity of just the bound goes.
     """
+    text_batches(spark)
     labels = toxicity.sample_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, toxicity.fit(toxicity.labelled_documents(docs, labels)))
 
@@ -51,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for each row of the mix, repeated ones each time; null texts count as empty."""
+    text_batches(spark)
     return bpe_codec.encode(docs, digest_only=True)
 
 

@@ -30,7 +30,7 @@ from folioscope.llm import tokenizing
 from folioscope.llm.common import forget_others, give_back, id_text, materialize, slices, table_path
 
 #: Bytes of text in a chunk: its word table and numbers fit one task.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 24 << 20
 #: Bytes of text for each bucket of words, as far as ``MANY`` buckets; beyond, buckets grow as distinct words do, by a power of the text.
 BUCKET_BYTES, MANY, POWER = 16 << 20, 64, 0.6
 #: Begins the key of a text that is encoded whole; no other key begins with two spaces.
@@ -163,7 +163,10 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         coder.forget()  # no other bucket has these words
         if used.any():
             out.insert(0, (None, 0, 0, None, None, None, np.flatnonzero(used)))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), CODED_ARROW)], schema=CODED_ARROW)
+        result = pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), CODED_ARROW)], schema=CODED_ARROW)
+        rows = keys = whole = ids = flat = payload = out = None
+        give_back()
+        return result
 
     return words.select("bucket", "chunk", "n", "size", "payload").groupBy("bucket").applyInArrow(encode, CODED_SCHEMA)
 
@@ -268,7 +271,10 @@ def encode_chunks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, c
         for key, n, payload in zip(*(left.column(c).to_pylist() for c in ("id", "n", "payload"))):
             ids = np.frombuffer(b"".join(map(look, unpack_numbers(payload, n).tolist())), dtype)
             out.append((key, len(ids), *(digests(ids.tolist(), decimal, piece) if digest_only else [ids.astype("i4")])))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), result)] if out else [[]] * len(result), schema=result)
+        table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), result)] if out else [[]] * len(result), schema=result)
+        look = decimal = piece = payload = ids = flat = out = None
+        give_back()
+        return table
 
     return documents.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, ddl)
 

@@ -114,6 +114,13 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """From now on the session passes at most ``BATCH_ROWS`` rows at once to Python: what a step returns is planned after the step."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def few(rows: int, wanted: int) -> int:
     """Of 2**20 values of a hash, so many that about four times the wanted rows have one of them."""
     return min(1 << 20, 4 * wanted * (1 << 20) // max(rows, 1) + 1)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, forget_others, id_text, materialize, slices
+from folioscope.llm.common import SMALL_MEMO_BYTES, Memo, forget_others, give_back, id_text, materialize, slices
 
 #: Bounds of what fitting collects: labelled documents (the first by hash of their id) and features.
 SAMPLE, FEATURES = 12_000, 4_096
@@ -202,6 +202,7 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT, text_col:
         for batch in batches:
             for x in slices(batch, at):
                 yield x.filter(pa.array([own.score(t or "") < reject for t in x.column(at).to_pylist()], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)
 

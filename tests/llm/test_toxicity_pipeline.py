@@ -127,3 +127,18 @@ def test_stages_on_odd_rows(spark, tmp_path):
         for stage, f in corpus_pipeline.STAGES[:-1]:
             kept = f(spark, docs, folder)
             assert kept.schema == docs.schema, stage
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.encode_texts):
+            spark.conf.set(setting, 10_000)
+            stage(spark, table(spark, sf, "documents"), sf)
+            assert int(spark.conf.get(setting)) <= 2_000
+            spark.conf.set(setting, 50)
+            stage(spark, table(spark, sf, "documents"), sf)
+            assert int(spark.conf.get(setting)) == 50
+    finally:
+        spark.conf.set(setting, before)
